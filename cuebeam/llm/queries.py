@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuebeam.llm import byte_bpe, packing
 from cuebeam.llm.common import documents
 from cuebeam.llm.sharding import shard
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), length=2048)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=16)
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
