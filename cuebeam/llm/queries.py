@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuebeam.llm import byte_bpe, packing
-from cuebeam.llm.common import documents
+from cuebeam.llm import byte_bpe, packing, simhash, vectors
+from cuebeam.llm.common import documents, embeddings
 from cuebeam.llm.sharding import shard
 
 
@@ -13,18 +14,60 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), length=2048)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=16)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, most_bits=3)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(embeddings(spark, sf_dir), threshold=0.98)
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_USABLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE: dict[str, str] = {
+    "op4_exact_top_k": f"""
+        WITH v AS (
+            SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+            FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE}
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 5""",
+    "op10_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN degree ON degree.a = e.vec_id""",
+}
