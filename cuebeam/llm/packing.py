@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuebeam.llm.common import drop, stage
-from cuebeam.llm.tokens import tokenizer_path, word_ids
+from cuebeam.llm.tokens import runs_of_texts, tokenizer_path, word_ids
 
 #: A bin with at most this many free places counts as full below the root of the tree.
 NEARLY = 8
@@ -39,12 +39,14 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_file: str, end_id: int =
         step = 4 * length
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for c, v in zip(cols, (doc_id, k, at // 4, len(part) // 4, crc32(part)), strict=True):
-                        c.append(v)
+            doc_ids = batch.column(0).to_pylist()
+            for first, texts in runs_of_texts(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[first : first + len(texts)], encode.many(texts), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        for c, v in zip(cols, (doc_id, k, at // 4, len(part) // 4, crc32(part)), strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
