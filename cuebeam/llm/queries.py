@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebeam.llm import byte_bpe, packing, simhash, vectors
+from cuebeam.llm import byte_bpe, packing, quality, simhash, vectors
 from cuebeam.llm.common import documents, embeddings
 from cuebeam.llm.sharding import shard
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality.held_out(F.col("doc_id"))
+    model = quality.train(docs, labels, usable=~out)
+    scored = quality.score(docs.select("doc_id", "text"), model, at_least=0.7)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), length=2048)
 
@@ -35,6 +43,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_sharding": op5_sharding,
