@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebeam.llm import byte_bpe, packing, quality, simhash, suffix_dedup, vectors
+from cuebeam.llm import byte_bpe, packing, pitman_yor, quality, simhash, suffix_dedup, vectors
 from cuebeam.llm.common import documents, embeddings
 from cuebeam.llm.sharding import shard
 
@@ -34,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, most_bits=3)
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir), quality.held_out(F.col("doc_id"), folds=7, fold=2))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir), length=100)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
