@@ -18,6 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebeam.llm.common import claim, holds
 from cuebeam.llm.tokens import CACHE_CHARS, CACHE_ENTRIES, tokenizer, tokenizer_path
 
 #: A single match of the pattern beyond this many characters is encoded as a tree.
@@ -149,6 +150,9 @@ def byte_bpe(path: str, leaf: int = LEAF_CHARS) -> ByteBpe:
     return ByteBpe(path, leaf)
 
 
+holds("byte bpe", byte_bpe.cache_clear)
+
+
 def encode(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of each text; null and empty texts have none."""
     path = tokenizer_file or tokenizer_path("byte_bpe_50k.json")
@@ -156,6 +160,7 @@ def encode(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("byte bpe")
         bpe = byte_bpe(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -170,6 +175,7 @@ def decode(encoded: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("byte bpe")
         bpe = byte_bpe(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
@@ -191,6 +197,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
 
         import pyarrow as pa
 
+        claim("byte bpe")
         bpe = byte_bpe(path)
         for b in batches:
             n, ids_of, decoded_of = [], [], []

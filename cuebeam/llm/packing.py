@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebeam.llm.common import drop, stage
+from cuebeam.llm.common import claim, drop, stage
 from cuebeam.llm.tokens import runs_of_texts, tokenizer_path, word_ids
 
 #: A bin with at most this many free places counts as full below the root of the tree.
@@ -35,6 +35,7 @@ def cut_pieces(docs: DataFrame, length: int, tokenizer_file: str, end_id: int =
 
         import pyarrow as pa
 
+        claim("word ids")
         encode, end = word_ids(tokenizer_file), end_id.to_bytes(4, "little")
         step = 4 * length
         for batch in batches:

@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuebeam.llm.common import drop, stage
+from cuebeam.llm.common import claim, drop, holds, stage
 
 #: Restaurants: contexts are hashed to so many, whatever the input.
 GROUPS = 1 << 16
@@ -47,6 +47,9 @@ def _tables():
     return byte, grow(_BASE), grow(pow(_BASE, -1, _M)), space
 
 
+holds("pitman-yor", _tables.cache_clear)
+
+
 def word_hashes(texts: list[bytes]):
     """Hashes of all words of the texts, each text's followed by that of its end, and tokens per text."""
     import numpy as np
@@ -303,6 +306,7 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = 2, samples: int = 3,
         import pyarrow as pa
         from pyspark import TaskContext
 
+        claim("pitman-yor")
         ids, held, texts, size, number = [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def block():

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuebeam.llm.common import claim, holds
 from cuebeam.llm.tokens import CACHE_CHARS, CACHE_ENTRIES
 
 #: Bound of the training sample: labelled rows of each class, and characters of a row that may be in it.
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
 
 
 _remembered: dict[bytes, dict[str, float]] = {}
+holds("quality", _remembered.clear)
 
 
 def score(docs: DataFrame, model: Model, at_least: float = 0.7) -> DataFrame:
@@ -169,6 +171,7 @@ def score(docs: DataFrame, model: Model, at_least: float = 0.7) -> DataFrame:
 
         from cuebeam.llm.tokens import runs_of_texts
 
+        claim("quality")
         own = Model(weights, bias)
         key = blake2b(weights.tobytes()).digest()
         if key not in _remembered:

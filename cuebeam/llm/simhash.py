@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebeam.llm.common import stage
+from cuebeam.llm.common import claim, stage
 from cuebeam.llm.components import components
 
 BYTES = 8
@@ -40,6 +40,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
         import pyarrow as pa
         from xxhash import xxh64_intdigest as h
 
+        claim("simhash")
+
         def fingerprint(text: str | None) -> int:
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             if not words:

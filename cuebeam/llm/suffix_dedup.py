@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuebeam.llm.common import drop, stage
+from cuebeam.llm.common import claim, drop, holds, stage
 
 GRAM = 32
 #: Bytes that are scanned at once; a longer text is scanned in overlapping parts.
-BLOCK = 1_500_000
+BLOCK = 700_000
 #: Bytes of text after which a task hands on the anchors it has.
-FLUSH = 64_000_000
+FLUSH = 24_000_000
 #: Contexts of one anchor in a shard; more are dealt over several shards.
 SHARD_CONTEXTS = 1500
 #: Characters of a suffix array.
-SHARD_CHARS = 1_000_000
+SHARD_CHARS = 600_000
 
 _B1, _B2, _M = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 64
 
@@ -46,6 +46,9 @@ def _tables(n: int):
     return byte, [grow(_B1), grow(_B2)], [grow(pow(_B1, -1, _M)), grow(pow(_B2, -1, _M))]
 
 
+holds("suffix", _tables.cache_clear)
+
+
 def contexts(texts: list[bytes], length: int):
     """Anchor hash, context hash, text number, first window, windows less one of each context."""
     import numpy as np
@@ -56,7 +59,7 @@ def contexts(texts: list[bytes], length: int):
     start = np.cumsum(size) - size
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    byte, power, inverse = _tables(max(1 << 21, 1 << int(n).bit_length()))
+    byte, power, inverse = _tables(max(1 << 20, 1 << int(n).bit_length()))
     sums = [np.zeros(n + 1, np.uint64) for _ in range(2)]
     for k in range(2):
         np.cumsum(byte[k][flat] * power[k][:n], out=sums[k][1:])
@@ -215,6 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        claim("suffix")
         held: list = []
         seen = 0
 

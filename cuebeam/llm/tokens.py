@@ -6,6 +6,8 @@ import json
 import os
 import re
 
+from cuebeam.llm.common import holds
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct chunks a worker remembers; beyond it the cache starts anew. Bounds memory, never results.
@@ -227,6 +229,7 @@ class WordIds:
 
 
 _word_ids: dict[str, WordIds] = {}
+holds("word ids", _word_ids.clear)
 
 
 def word_ids(path: str) -> WordIds:
