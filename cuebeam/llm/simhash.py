@@ -173,3 +173,203 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 3, id_co
 
 
 __all__ = ["fingerprints", "links", "near_duplicates", "spanning_links"]
+
+
+# similarity of shingle sets
+
+#: 64-bit lanes of the wide fingerprint, and its byte positions.
+LANES = 4
+WIDE_BYTES = BYTES * LANES
+#: Postings of a wide fingerprint: pairs of its positional bytes.
+PAIRS = 64
+#: Members of a posting list that are compared with each other, or with as many others, in one task.
+SLICE_ROWS = 600
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, same (hash of the set of shingles) and the lanes l0.. of each text's wide fingerprint; ids that are null have no row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest as h
+
+        claim("simhash")
+        odd = np.random.default_rng(29).integers(1, 1 << 62, LANES, dtype=np.uint64) | np.uint64(1)
+        for b in batches:
+            rows = np.zeros((b.num_rows, LANES + 1), np.int64)
+            for k, t in enumerate(b.column(1)):
+                got = shingle_set(t.as_py(), shingle)
+                if not len(got):
+                    continue
+                rows[k, 0] = np.array([h(got.tobytes(), 7)], np.uint64).view(np.int64)[0]
+                for lane in range(LANES):
+                    x = got * odd[lane]
+                    x ^= x >> np.uint64(31)
+                    x *= odd[-1 - lane]
+                    ones = np.zeros(64, np.int64)
+                    for i in range(0, len(x), 1 << 15):
+                        ones += np.unpackbits(x[i : i + (1 << 15)].view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    rows[k, lane + 1] = np.packbits(ones * 2 > len(got), bitorder="little").view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows.T)], names=["doc_id", "same", *[f"l{k}" for k in range(LANES)]])
+
+    lanes = ", ".join(f"l{k} long" for k in range(LANES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).filter("doc_id is not null")
+    return rows.mapInArrow(run, f"doc_id long, same long, {lanes}")
+
+
+def shingle_set(text: str | None, shingle: int):
+    """Ascending distinct hashes of a text's shingles; a text of fewer words has one, a text of none has none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([h(joined, 42)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length + 1) - 1
+    starts = (ends - length)[: 1 - shingle].tolist()
+    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def forest(ids, lanes, side, most_bits: int, least_shared: int):
+    """Links of a posting list's maximum spanning forest: by rounds, each group takes its nearest link to another.
+
+    side tells the slices apart where two meet, else is the same for all: then any two may link. So for every threshold
+    below most_bits, the links within it connect what all pairs within it connect.
+    """
+    import numpy as np
+
+    n = len(ids)
+    near: list = []
+    for lo in range(0, n, 256):
+        d = lanes[lo : lo + 256, None, :] ^ lanes[None, :, :]
+        bits = np.bitwise_count(d.view(np.uint64)).sum(2, dtype=np.int64)
+        shared = (d.view(np.uint8).reshape(len(d), n, -1) == 0).sum(2)
+        x, y = np.nonzero((bits <= most_bits) & (shared >= least_shared))
+        keep = (x + lo < y) & ((side[x + lo] != side[y]) | (side.min() == side.max()))
+        near.append((bits[x[keep], y[keep]], x[keep] + lo, y[keep]))
+    bits, x, y = (np.concatenate([c[k] for c in near]) for k in range(3))
+    order = np.lexsort((ids[y], ids[x], bits))
+    x, y = x[order], y[order]
+    root = np.arange(n)
+    out = []
+    while len(x):
+        # each group's first link in the order: np.unique keeps the first of each
+        ends = np.r_[root[x], root[y]]
+        place = np.r_[np.arange(len(x)), np.arange(len(x))]
+        o = np.argsort(place, kind="stable")
+        _, first = np.unique(ends[o], return_index=True)
+        take = np.unique(place[o][first])
+        out.append(take_links := np.stack([x[take], y[take]]))
+        while True:
+            a, b = root[take_links[0]], root[take_links[1]]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            if (low == high).all():
+                break
+            parent = np.arange(n)
+            np.minimum.at(parent, high, low)
+            root = parent[root]
+        left = root[x] != root[y]
+        x, y = x[left], y[left]
+    links = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return ids[links[0]], ids[links[1]]
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (smallest id reachable) by links at Jaccard similarity >= similarity of shingle sets.
+
+    A wide SimHash finds the pairs: its byte-position index posts pairs of positional bytes, and a pair of
+    documents goes on if it shares at least 3 bytes and differs in no more bits than its similarity makes likely (2.5
+    standard deviations). At similarity 0.8 such a pair is met with probability 0.98, above 0.85 nearly always.
+    Each list hands on its maximum spanning forest; its links are then verified on the texts' own
+    shingle sets. Texts with one set are one node. Rows without an id have no row here.
+    """
+    from math import acos, pi, sqrt
+
+    angle = acos(2 * similarity / (1 + similarity)) / pi
+    bits = 64 * LANES
+    most = int(bits * angle + 2.5 * sqrt(bits * angle * (1 - angle)))
+    lanes = [f"l{k}" for k in range(LANES)]
+    signed = stage(wide_fingerprints(docs, shingle), "simhash-wide")
+    classes = stage(signed.groupBy("same", *lanes).agg(F.min("doc_id").alias("id")), "simhash-classes")
+
+    import random
+
+    rng = random.Random(31)
+    chosen = rng.sample([*combinations(range(WIDE_BYTES), 2)], PAIRS)
+    at = lambda p: F.shiftrightunsigned(f"l{p // BYTES}", 8 * (p % BYTES)).bitwiseAND(F.lit(0xFF))
+    keys = F.array(*[F.lit(k << 16) + F.shiftleft(at(a), 8) + at(b) for k, (a, b) in enumerate(chosen)])
+    posted = classes.filter("same <> 0").select("id", *lanes, F.explode(keys).alias("key"))
+    many = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE_ROWS).select("key", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
+    rows = posted.join(many, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = rows.select("id", *lanes, "key", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def find(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        key, a, b, own, ids = (t[c].to_numpy().astype(np.int64) for c in ("key", "a", "b", "own", "id"))
+        wide = np.stack([t[c].to_numpy() for c in lanes], axis=1)
+        order = np.lexsort((ids, b, a, key))
+        key, a, b, own, ids, wide = key[order], a[order], b[order], own[order], ids[order], wide[order]
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        count = np.diff(np.r_[start, len(key)])
+        x, y = [], []
+        short = np.repeat(count <= SHORT_LIST, count)
+        cell = np.repeat(np.arange(len(start)), count)
+        for d in range(1, min(SHORT_LIST, int(count.max()))):
+            p = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:] & ((own[d:] != own[:-d]) | (a[d:] == b[d:])))
+            for q in np.array_split(p, len(p) // 200_000 + 1):
+                z = wide[q] ^ wide[q + d]
+                hit = q[(np.bitwise_count(z.view(np.uint64)).sum(1, dtype=np.int64) <= most) & ((z.view(np.uint8).reshape(len(z), -1) == 0).sum(1) >= 3)]
+                x.append(ids[hit])
+                y.append(ids[hit + d])
+        for s, n in zip(start[count > SHORT_LIST], count[count > SHORT_LIST], strict=True):
+            i, j = forest(ids[s : s + n], wide[s : s + n], own[s : s + n] if a[s] != b[s] else np.zeros(n, np.int64), most, 3)
+            x.append(i)
+            y.append(j)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+        if len(x):
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    likely = stage(cells.repartition("key", "a", "b").mapInArrow(find, "a long, b long").distinct(), "simhash-likely")
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        claim("simhash")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+
+    asked = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(asked, "id", "left_semi")
+    of = stage(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "simhash-sets")
+
+    def verify(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = likely.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
+    found = components(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
+    labels = stage(found.select(F.col("node").alias("id"), "label"), "simhash-labels")
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    of_class = stage(classes.join(labels.join(least, "label").select("id", "least"), "id", "left").select("same", F.coalesce("least", "id").alias("component_id"), *lanes), "simhash-classes")
+    return signed.join(of_class, ["same", *lanes]).select("doc_id", "component_id")
