@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebeam.llm import byte_bpe, packing, pitman_yor, quality, simhash, suffix_dedup, vectors
+from cuebeam.llm import byte_bpe, chat, packing, pitman_yor, quality, simhash, suffix_dedup, vectors
 from cuebeam.llm.common import documents, embeddings
 from cuebeam.llm.sharding import shard
 
@@ -22,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), length=2048)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -53,6 +57,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
