@@ -79,6 +79,29 @@ def test_simhash_links_any_three_bits(spark):
     assert got == set(signed)
 
 
+@pytest.mark.parametrize("slice_rows,short", [(600, 48), (5, 2)])
+def test_similar_groups(make, monkeypatch, slice_rows, short):
+    monkeypatch.setattr(simhash, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    rng = random.Random(9)
+    texts = list(ODD)
+    for _ in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(300)]
+        texts += [" ".join(base)] * 2
+        for _ in range(12):
+            c = list(base)
+            for _ in range(rng.randint(1, 9)):
+                c[rng.randrange(300)] = "zz"
+            texts.append(" ".join(c))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    want = groups(len(texts), links)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(texts, extra=True)).collect()}
+    assert all(want[k] == want[g] for k, g in got.items())  # nothing is linked that should not be
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(texts)
+    assert simhash.similar_groups(make([])).count() == 0
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score long, node long, key string"
 
 
