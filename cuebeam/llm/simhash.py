@@ -172,9 +172,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 3, id_co
     return signed.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprints", "links", "near_duplicates", "spanning_links"]
-
-
 # similarity of shingle sets
 
 #: 64-bit lanes of the wide fingerprint, and its byte positions.
@@ -248,7 +245,7 @@ def forest(ids, lanes, side, most_bits: int, least_shared: int):
     for lo in range(0, n, 256):
         d = lanes[lo : lo + 256, None, :] ^ lanes[None, :, :]
         bits = np.bitwise_count(d.view(np.uint64)).sum(2, dtype=np.int64)
-        shared = (d.view(np.uint8).reshape(len(d), n, -1) == 0).sum(2)
+        shared = (d.view(np.uint8).reshape(len(d), n, WIDE_BYTES) == 0).sum(2)
         x, y = np.nonzero((bits <= most_bits) & (shared >= least_shared))
         keep = (x + lo < y) & ((side[x + lo] != side[y]) | (side.min() == side.max()))
         near.append((bits[x[keep], y[keep]], x[keep] + lo, y[keep]))
@@ -328,9 +325,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         cell = np.repeat(np.arange(len(start)), count)
         for d in range(1, min(SHORT_LIST, int(count.max()))):
             p = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:] & ((own[d:] != own[:-d]) | (a[d:] == b[d:])))
-            for q in np.array_split(p, len(p) // 200_000 + 1):
+            for q in np.array_split(p, len(p) // 200_000 + 1) if len(p) else []:
                 z = wide[q] ^ wide[q + d]
-                hit = q[(np.bitwise_count(z.view(np.uint64)).sum(1, dtype=np.int64) <= most) & ((z.view(np.uint8).reshape(len(z), -1) == 0).sum(1) >= 3)]
+                hit = q[(np.bitwise_count(z.view(np.uint64)).sum(1, dtype=np.int64) <= most) & ((z.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(1) >= 3)]
                 x.append(ids[hit])
                 y.append(ids[hit + d])
         for s, n in zip(start[count > SHORT_LIST], count[count > SHORT_LIST], strict=True):
@@ -373,3 +370,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     least = labels.groupBy("label").agg(F.min("id").alias("least"))
     of_class = stage(classes.join(labels.join(least, "label").select("id", "least"), "id", "left").select("same", F.coalesce("least", "id").alias("component_id"), *lanes), "simhash-classes")
     return signed.join(of_class, ["same", *lanes]).select("doc_id", "component_id")
+
+
+__all__ = ["fingerprints", "links", "near_duplicates", "similar_groups", "spanning_links"]
