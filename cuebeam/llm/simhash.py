@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebeam.llm.common import claim, stage
+from cuebeam.llm.common import claim, drop, stage
 from cuebeam.llm.components import components
 
 BYTES = 8
@@ -174,17 +175,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 3, id_co
 
 # similarity of shingle sets
 
-#: 64-bit lanes of the wide fingerprint, and its byte positions.
+#: 64-bit lanes of a set's parity bits.
 LANES = 4
-WIDE_BYTES = BYTES * LANES
-#: Postings of a wide fingerprint: pairs of its positional bytes.
-PAIRS = 64
+#: Buckets in which shingles are counted. Counts only order the shingles: no result hangs on them.
+BUCKETS = 1 << 20
+#: Rows that a task hands on at once.
+FLUSH_ROWS = 400_000
 #: Members of a posting list that are compared with each other, or with as many others, in one task.
 SLICE_ROWS = 600
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, same (hash of the set of shingles) and the lanes l0.. of each text's wide fingerprint; ids that are null have no row."""
+def shingle_set(text: str | None, shingle: int):
+    """Ascending distinct hashes of a text's shingles; a text of fewer words has one, a text of none has none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([h(joined, 42)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length + 1) - 1
+    starts = (ends - length)[: 1 - shingle].tolist()
+    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """Of each row (id, text): same (hash of its set), size and parity bits l0..; and rows of chunk and counts (shingles by bucket) beside.
+
+    A parity bit tells whether an even or odd number of the set's shingles have its low hash bits. A shingle that
+    only one of two sets has flips one bit, so sets differ in at least as many shingles as parity bits.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -192,154 +215,104 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
         from xxhash import xxh64_intdigest as h
 
         claim("simhash")
-        odd = np.random.default_rng(29).integers(1, 1 << 62, LANES, dtype=np.uint64) | np.uint64(1)
+        counts = np.zeros(BUCKETS, np.int32)
+        names = ["id", "same", "size", *[f"l{k}" for k in range(LANES)], "chunk", "counts"]
         for b in batches:
-            rows = np.zeros((b.num_rows, LANES + 1), np.int64)
+            out = np.zeros((b.num_rows, LANES + 2), np.int64)
             for k, t in enumerate(b.column(1)):
                 got = shingle_set(t.as_py(), shingle)
                 if not len(got):
                     continue
-                rows[k, 0] = np.array([h(got.tobytes(), 7)], np.uint64).view(np.int64)[0]
-                for lane in range(LANES):
-                    x = got * odd[lane]
-                    x ^= x >> np.uint64(31)
-                    x *= odd[-1 - lane]
-                    ones = np.zeros(64, np.int64)
-                    for i in range(0, len(x), 1 << 15):
-                        ones += np.unpackbits(x[i : i + (1 << 15)].view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    rows[k, lane + 1] = np.packbits(ones * 2 > len(got), bitorder="little").view(np.int64)[0]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows.T)], names=["doc_id", "same", *[f"l{k}" for k in range(LANES)]])
+                np.add.at(counts, _bucket(got), 1)
+                out[k, 0] = np.array([h(got.tobytes(), 7)], np.uint64).view(np.int64)[0]
+                out[k, 1] = len(got)
+                odd = np.bincount((got % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) % 2
+                out[k, 2:] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+            nulls = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T), *nulls], names=names)
+        parts = [(k, c.tobytes()) for k, c in enumerate(np.split(counts, 64)) if c.any()]
+        nulls = [pa.nulls(len(parts), pa.int64())] * (LANES + 3)
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
 
     lanes = ", ".join(f"l{k} long" for k in range(LANES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).filter("doc_id is not null")
-    return rows.mapInArrow(run, f"doc_id long, same long, {lanes}")
+    return rows.mapInArrow(run, f"id long, same long, size long, {lanes}, chunk int, counts binary")
 
 
-def shingle_set(text: str | None, shingle: int):
-    """Ascending distinct hashes of a text's shingles; a text of fewer words has one, a text of none has none."""
+def _bucket(shingles):
     import numpy as np
-    from xxhash import xxh64_intdigest as h
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([h(joined, 42)], np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length + 1) - 1
-    starts = (ends - length)[: 1 - shingle].tolist()
-    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
 
+    return (shingles >> np.uint64(32)).astype(np.int64) % BUCKETS
 
-def forest(ids, lanes, side, most_bits: int, least_shared: int):
-    """Links of a posting list's maximum spanning forest: by rounds, each group takes its nearest link to another.
 
-    side tells the slices apart where two meet, else is the same for all: then any two may link. So for every threshold
-    below most_bits, the links within it connect what all pairs within it connect.
-    """
+def _counts(signed: DataFrame):
+    """The counts of all buckets, added up by chunk in tasks."""
     import numpy as np
 
-    n = len(ids)
-    near: list = []
-    for lo in range(0, n, 256):
-        d = lanes[lo : lo + 256, None, :] ^ lanes[None, :, :]
-        bits = np.bitwise_count(d.view(np.uint64)).sum(2, dtype=np.int64)
-        shared = (d.view(np.uint8).reshape(len(d), n, WIDE_BYTES) == 0).sum(2)
-        x, y = np.nonzero((bits <= most_bits) & (shared >= least_shared))
-        keep = (x + lo < y) & ((side[x + lo] != side[y]) | (side.min() == side.max()))
-        near.append((bits[x[keep], y[keep]], x[keep] + lo, y[keep]))
-    bits, x, y = (np.concatenate([c[k] for c in near]) for k in range(3))
-    order = np.lexsort((ids[y], ids[x], bits))
-    x, y = x[order], y[order]
-    root = np.arange(n)
-    out = []
-    while len(x):
-        # each group's first link in the order: np.unique keeps the first of each
-        ends = np.r_[root[x], root[y]]
-        place = np.r_[np.arange(len(x)), np.arange(len(x))]
-        o = np.argsort(place, kind="stable")
-        _, first = np.unique(ends[o], return_index=True)
-        take = np.unique(place[o][first])
-        out.append(take_links := np.stack([x[take], y[take]]))
-        while True:
-            a, b = root[take_links[0]], root[take_links[1]]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            if (low == high).all():
-                break
-            parent = np.arange(n)
-            np.minimum.at(parent, high, low)
-            root = parent[root]
-        left = root[x] != root[y]
-        x, y = x[left], y[left]
-    links = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return ids[links[0]], ids[links[1]]
+    def add(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        sums: dict = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c.as_buffer(), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype(np.int32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (smallest id reachable) by links at Jaccard similarity >= similarity of shingle sets.
+    out = np.zeros((64, BUCKETS // 64), np.int32)
+    for r in signed.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return out.reshape(-1)
 
-    A wide SimHash finds the pairs: its byte-position index posts pairs of positional bytes, and a pair of
-    documents goes on if it shares at least 3 bytes and differs in no more bits than its similarity makes likely (2.5
-    standard deviations). At similarity 0.8 such a pair is met with probability 0.98, above 0.85 nearly always.
-    Each list hands on its maximum spanning forest; its links are then verified on the texts' own
-    shingle sets. Texts with one set are one node. Rows without an id have no row here.
-    """
-    from math import acos, pi, sqrt
 
-    angle = acos(2 * similarity / (1 + similarity)) / pi
-    bits = 64 * LANES
-    most = int(bits * angle + 2.5 * sqrt(bits * angle * (1 - angle)))
-    lanes = [f"l{k}" for k in range(LANES)]
-    signed = stage(wide_fingerprints(docs, shingle), "simhash-wide")
-    classes = stage(signed.groupBy("same", *lanes).agg(F.min("doc_id").alias("id")), "simhash-classes")
-
-    import random
-
-    rng = random.Random(31)
-    chosen = rng.sample([*combinations(range(WIDE_BYTES), 2)], PAIRS)
-    at = lambda p: F.shiftrightunsigned(f"l{p // BYTES}", 8 * (p % BYTES)).bitwiseAND(F.lit(0xFF))
-    keys = F.array(*[F.lit(k << 16) + F.shiftleft(at(a), 8) + at(b) for k, (a, b) in enumerate(chosen)])
-    posted = classes.filter("same <> 0").select("id", *lanes, F.explode(keys).alias("key"))
-    many = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE_ROWS).select("key", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices"))
-    rows = posted.join(many, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cells = rows.select("id", *lanes, "key", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+def prefixes(rows: DataFrame, counts, shingle: int, similarity: float) -> DataFrame:
+    """key, id, place and size: of each row (id, text) the shingles of its prefix, rare ones first.
 
-    def find(batches: Iterator) -> Iterator:
+    Two sets of that similarity have at least similarity * size shingles of either in common. In one order of all
+    shingles, the first they share is then in both prefixes of size - that + 1.
+    """
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        key, a, b, own, ids = (t[c].to_numpy().astype(np.int64) for c in ("key", "a", "b", "own", "id"))
-        wide = np.stack([t[c].to_numpy() for c in lanes], axis=1)
-        order = np.lexsort((ids, b, a, key))
-        key, a, b, own, ids, wide = key[order], a[order], b[order], own[order], ids[order], wide[order]
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        count = np.diff(np.r_[start, len(key)])
-        x, y = [], []
-        short = np.repeat(count <= SHORT_LIST, count)
-        cell = np.repeat(np.arange(len(start)), count)
-        for d in range(1, min(SHORT_LIST, int(count.max()))):
-            p = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:] & ((own[d:] != own[:-d]) | (a[d:] == b[d:])))
-            for q in np.array_split(p, len(p) // 200_000 + 1) if len(p) else []:
-                z = wide[q] ^ wide[q + d]
-                hit = q[(np.bitwise_count(z.view(np.uint64)).sum(1, dtype=np.int64) <= most) & ((z.view(np.uint8).reshape(-1, WIDE_BYTES) == 0).sum(1) >= 3)]
-                x.append(ids[hit])
-                y.append(ids[hit + d])
-        for s, n in zip(start[count > SHORT_LIST], count[count > SHORT_LIST], strict=True):
-            i, j = forest(ids[s : s + n], wide[s : s + n], own[s : s + n] if a[s] != b[s] else np.zeros(n, np.int64), most, 3)
-            x.append(i)
-            y.append(j)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
-        if len(x):
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    likely = stage(cells.repartition("key", "a", "b").mapInArrow(find, "a long, b long").distinct(), "simhash-likely")
+        claim("simhash")
+        held: list = []
+
+        def flush():
+            cols = [np.concatenate([x[k] for x in held]) for k in range(4)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["key", "id", "place", "size"])
+
+        n = 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = shingle_set(t.as_py(), shingle)
+                size = len(got)
+                if not size:
+                    continue
+                prefix = size - ceil(similarity * size - 1e-9) + 1
+                got = got[np.lexsort((got, counts[_bucket(got)]))][:prefix]
+                held.append((got.view(np.int64), np.full(prefix, i, np.int64), np.arange(prefix, dtype=np.int32), np.full(prefix, size, np.int32)))
+                n += prefix
+                if n >= FLUSH_ROWS:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "key long, id long, place int, size int")
+
+
+def likely(similarity: float, lanes: list[str]):
+    """Condition on two postings (x, y) of one key that a pair of that similarity meets where its prefixes first meet."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    both = x("size") + y("size")
+    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in lanes), F.lit(0))
+    return (F.least(x("size") - x("place"), y("size") - y("place")) >= both * (similarity / (1 + similarity)) - 1e-6) & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets, of rows (id, text), have that Jaccard similarity."""
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -348,10 +321,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
 
-    asked = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(asked, "id", "left_semi")
-    of = stage(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "simhash-sets")
-
     def verify(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -364,12 +333,126 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
                 keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = likely.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
-    found = components(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    of = stage(rows.join(asked, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "simhash-sets")
+    both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
+    links = stage(both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"), "simhash-links")
+    drop(of)
+    return links
+
+
+def other_pairs(posts: DataFrame, lanes: list[str], similarity: float) -> DataFrame:
+    """All pairs (a, b) of postings (key, id, place, size, lanes, label) of one key with differing labels that may be that similar."""
+    mixed = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = posts.join(mixed.select("key", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = rows.select("id", *lanes, "key", "place", "size", "label", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    share, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+
+    def find(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        key, a, b, own, ids, place, size, label = (t[c].to_numpy().astype(np.int64) for c in ("key", "a", "b", "own", "id", "place", "size", "label"))
+        wide = np.stack([t[c].to_numpy() for c in lanes], axis=1)
+        order = np.lexsort((ids, b, a, key))
+        key, a, b, own, ids, left, size, label, wide = (v[order] for v in (key, a, b, own, ids, size - place, size, label, wide))
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        count = np.diff(np.r_[start, len(key)])
+        cell = np.repeat(np.arange(len(start)), count)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def test(i, j):
+            ok = (label[i] != label[j]) & ((own[i] != own[j]) | (a[i] == b[i])) & (np.minimum(left[i], left[j]) >= share * (size[i] + size[j]) - 1e-6)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count((wide[i] ^ wide[j]).view(np.uint64)).sum(1, dtype=np.int64) <= apart * (size[i] + size[j]) + 1e-6
+            x.append(ids[i[ok]])
+            y.append(ids[j[ok]])
+
+        short = np.repeat(count <= SHORT_LIST, count)
+        for d in range(1, min(SHORT_LIST, int(count.max()))):
+            p = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:])
+            for q in np.array_split(p, len(p) // 200_000 + 1) if len(p) else []:
+                test(q, q + d)
+        for s, n in zip(start[count > SHORT_LIST].tolist(), count[count > SHORT_LIST].tolist(), strict=True):
+            for k in range(0, n, 256):
+                i, j = np.meshgrid(np.arange(s + k, s + min(k + 256, n)), np.arange(s + k, s + n), indexing="ij")
+                later = i < j
+                test(i[later], j[later])
+            if sum(map(len, x)) > FLUSH_ROWS:
+                yield pairs_of(x, y)
+                x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        yield pairs_of(x, y)
+
+    def pairs_of(x, y):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = np.concatenate(x), np.concatenate(y)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return cells.repartition("key", "a", "b").mapInArrow(find, "a long, b long").distinct()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of each row that stays as it is."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+
+
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """__row, doc_id, first (row number) and component_id of each row, by links at Jaccard similarity >= similarity of shingle sets.
+
+    docs has a __row that stays as it is. The first row of all that are linked is that of the smallest doc_id, nulls
+    last, and of these of the least __row; its id is component_id. Texts with one set are one node. Texts without words
+    are alike; a row with neither an id nor words has no row here.
+
+    All links are met: two such sets share a shingle of their prefixes, and each prefix is posted whole. Pairs are
+    reduced only by true links: first each posting is compared with a few of its list's, then, in lists of
+    documents that these links leave apart, all pairs that sizes, places and parity bits allow. Every
+    pair is verified on the texts' own sets.
+    """
+    lanes = [f"l{k}" for k in range(LANES)]
+    whole = docs.select(F.col("__row").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = whole.select("id", "text")
+    raw = stage(signatures(texts, shingle), "simhash-sets")
+    counts = _counts(raw)
+    signed = raw.filter("chunk is null").join(whole.select("id", "doc_id"), "id").filter("doc_id is not null or same <> 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    signed = stage(signed.select("id", "doc_id", "same", "size", *lanes), "simhash-wide")
+    classes = stage(signed.groupBy("same", "size", *lanes).agg(F.min(rank).alias("rank")).withColumn("id", F.col("rank.id")), "simhash-classes")
+
+    nodes = texts.join(classes.filter("same <> 0").select("id"), "id", "left_semi")
+    posted = stage(prefixes(nodes, counts, shingle, similarity), "simhash-posted")
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    posts = stage(posted.join(shared, "key").join(classes.select("id", *lanes), "id").select("key", "id", "place", "size", *lanes), "simhash-posts")
+    drop(posted)
+
+    # four orders of the documents, so that a document's lists agree on few partners
+    near = F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("order"), "id", "place", "size", *lanes)
+    pivots = posts.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*").drop("order")
+    met = posts.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & likely(similarity, lanes))
+    first = stage(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "simhash-likely")
+    links = verified(first, texts, shingle, similarity)
+    known = stage(components(links), "simhash-labels")
+    labelled = posts.join(known.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = stage(other_pairs(labelled, lanes, similarity), "simhash-likely")
+    found = components(links.unionByName(verified(rest, texts, shingle, similarity)))
+
     labels = stage(found.select(F.col("node").alias("id"), "label"), "simhash-labels")
-    least = labels.groupBy("label").agg(F.min("id").alias("least"))
-    of_class = stage(classes.join(labels.join(least, "label").select("id", "least"), "id", "left").select("same", F.coalesce("least", "id").alias("component_id"), *lanes), "simhash-classes")
-    return signed.join(of_class, ["same", *lanes]).select("doc_id", "component_id")
+    ranked = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = ranked.groupBy("label").agg(F.min("rank").alias("least"))
+    of_class = stage(ranked.join(least, "label").select("same", "size", *lanes, F.col("least.id").alias("first"), F.col("least.doc_id").alias("component_id")), "simhash-classes")
+    return signed.join(of_class, ["same", "size", *lanes]).select(F.col("id").alias("__row"), "doc_id", "first", "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (smallest id reachable; null where no row has one) of each row; see similar_rows."""
+    return similar_rows(numbered(docs.select("doc_id", "text")), shingle, similarity).select("doc_id", "component_id")
 
 
-__all__ = ["fingerprints", "links", "near_duplicates", "similar_groups", "spanning_links"]
+__all__ = ["fingerprints", "links", "near_duplicates", "numbered", "similar_groups", "similar_rows", "spanning_links"]

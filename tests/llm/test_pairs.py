@@ -102,6 +102,33 @@ def test_similar_groups(make, monkeypatch, slice_rows, short):
     assert simhash.similar_groups(make([])).count() == 0
 
 
+def jaccard_groups(texts, least=0.8):
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    return groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))])
+
+
+def families(rng, edits, sizes=(60, 250), n=5, members=60):
+    """Texts of families whose members lie around similarity 0.8 of each other."""
+    texts = []
+    for _ in range(n):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(*sizes))]
+        for _ in range(members):
+            c = list(base)
+            for _ in range(rng.randint(1, max(1, int(edits * len(c))))):
+                c[rng.randrange(len(c))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(c))
+    return texts
+
+
+@pytest.mark.parametrize("slice_rows,short", [(600, 48), (9, 3)])
+def test_similar_groups_of_long_lists_are_whole(make, monkeypatch, slice_rows, short):
+    monkeypatch.setattr(simhash, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    texts = [*ODD, *families(random.Random(12), 0.035)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == jaccard_groups(texts)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score long, node long, key string"
 
 
