@@ -129,6 +129,21 @@ def test_similar_groups_of_long_lists_are_whole(make, monkeypatch, slice_rows, s
     assert [got[k] for k in range(len(texts))] == jaccard_groups(texts)
 
 
+def test_similar_groups_of_two_are_all_found(make):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(250):
+        n = rng.randint(60, 300)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(base)
+        for k in range(0, max(1, (n - 4) // 9)):  # the last words differ: similarity is just over 0.8
+            other[n - 1 - k] = f"z{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    want = jaccard_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want and sum(w != k for k, w in enumerate(want)) >= 240
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score long, node long, key string"
 
 
