@@ -201,17 +201,36 @@ def equal_windows(found: list[bytes], length: int):
     return context, offset, group_of_place[place[start[context] + offset]]
 
 
-_KEY = "coalesce(cast(doc_id as bigint), -9223372036854775808L)"
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, written once, with __doc (the id; null ids as the least long) and __tie, which tells rows of one __doc apart.
+
+    Rows of one id are told apart by their texts, so that a row repeated whole is one document; each row without an id
+    is a document of its own.
+    """
+    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col("text").cast("string")))
+    return stage(docs.withColumn("__tie", tie).withColumn("__doc", F.expr("coalesce(cast(doc_id as bigint), -9223372036854775808L)")), "suffix-rows")
+
+
+def ranked(doc, tie):
+    """Places of (doc, tie) in the order of all different ones, and these."""
+    import numpy as np
+
+    order = np.lexsort((tie, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1])
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, doc[order][new], tie[order][new]
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc (the id; null ids as the least long) and spans (array of start, end) of the bytes that go.
+def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
+    """__doc, __tie and spans (array of start, end) of the bytes that go, of keyed rows.
 
     Spans of one document may overlap. Documents without spans have no row.
     """
     if not GRAM < length <= 128:
         raise ValueError(f"length must be over {GRAM} and at most 128")
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches: Iterator) -> Iterator:
@@ -223,8 +242,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         seen = 0
 
         def flush():
-            anchor, context, doc, first, more = (np.concatenate([h[k] for h in held]) for k in range(5))
+            anchor, context, doc, tie, first, more = (np.concatenate([h[k] for h in held]) for k in range(6))
             held.clear()
+            doc, docs, ties = ranked(doc, tie)
             order = np.lexsort((first, doc, context, anchor))
             anchor, context, doc, first, more = (x[order] for x in (anchor, context, doc, first, more))
             same = np.zeros(len(anchor), bool)
@@ -237,24 +257,24 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # sorted, as anchors are
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             of_gone = np.linspace(0, len(gone[0]), buckets + 1).astype(np.int64)
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(11)]
             for k in range(buckets):
                 a, b, c, d = edge[k], edge[k + 1], of_gone[k], of_gone[k + 1]
                 if a < b or c < d:
-                    row = (k, anchor[a:b], context[a:b], doc[a:b], first[a:b].astype(np.int64), more[a:b].astype(np.uint8), gone[0][c:d], gone[1][c:d], gone[2][c:d])
+                    row = (k, anchor[a:b], context[a:b], docs[doc[a:b]], ties[doc[a:b]], first[a:b].astype(np.int64), more[a:b].astype(np.uint8), docs[gone[0][c:d]], ties[gone[0][c:d]], gone[1][c:d], gone[2][c:d])
                     for col, v in zip(cols, row, strict=True):
                         col.append(v if isinstance(v, int) else v.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
 
-        names = ["bucket", "anchor", "context", "doc", "first", "more", "gone", "gone_from", "gone_to"]
+        names = ["bucket", "anchor", "context", "doc", "tie", "first", "more", "gone", "gone_tie", "gone_from", "gone_to"]
 
-        def take(texts, ids, offsets):
+        def take(texts, ids, ties, offsets):
             found = contexts(texts, length)
-            held.append((found[0], found[1], np.array(ids, np.int64)[found[2]], found[3] + np.array(offsets, np.int64)[found[2]], found[4]))
+            held.append((found[0], found[1], np.array(ids, np.int64)[found[2]], np.array(ties, np.int64)[found[2]], found[3] + np.array(offsets, np.int64)[found[2]], found[4]))
 
-        texts, ids, offsets, size = [], [], [], 0
+        texts, ids, ties, offsets, size = [], [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = text.as_py() or b""
                 for at in range(0, max(1, len(data) - length + 1), BLOCK):
                     part = data[at : at + BLOCK + length - 1]
@@ -262,17 +282,18 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                         continue
                     texts.append(part)
                     ids.append(doc)
+                    ties.append(tie)
                     offsets.append(at)
                     size += len(part)
                     if size >= BLOCK:
-                        take(texts, ids, offsets)
+                        take(texts, ids, ties, offsets)
                         seen += size
-                        texts, ids, offsets, size = [], [], [], 0
+                        texts, ids, ties, offsets, size = [], [], [], [], 0
                         if seen >= FLUSH:
                             yield flush()
                             seen = 0
         if texts:
-            take(texts, ids, offsets)
+            take(texts, ids, ties, offsets)
         if held:
             yield flush()
 
@@ -280,15 +301,19 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        got: list[list] = [[] for _ in range(8)]
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.int64, np.int64, np.int64)
+        got: list[list] = [[] for _ in range(10)]
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.int64, np.int64, np.int64, np.int64)
         for batch in batches:
-            for k in range(8):
+            for k in range(10):
                 got[k] += [np.frombuffer(v.as_buffer(), kinds[k]) for v in batch.column(k + 1) if v.as_buffer().size]
         if not any(got):
             return
-        anchor, context, doc, first, more, *gone = (np.concatenate(g) if g else np.zeros(0, t) for g, t in zip(got, kinds, strict=True))
+        anchor, context, doc, tie, first, more, gone_doc, gone_tie, *gone = (np.concatenate(g) if g else np.zeros(0, t) for g, t in zip(got, kinds, strict=True))
         del got
+        n = len(doc)
+        both, docs, ties = ranked(np.r_[doc, gone_doc], np.r_[tie, gone_tie])
+        doc, gone = both[:n], [both[n:], *gone]
+        del both, tie, gone_doc, gone_tie
         order = np.lexsort((first, doc, context, anchor))
         anchor, context, doc, first, more = (x[order] for x in (anchor, context, doc, first, more))
         more = more.astype(np.int64)
@@ -302,34 +327,34 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         later = ~new & ((doc != doc[head]) | (first != first[head]))
         out = merged(*(np.concatenate(x) for x in zip(gone, (doc[later], first[later], (first + more + length)[later]), strict=True)))
         nulls = pa.nulls(len(out[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, out), nulls, nulls, nulls], names=names)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (docs[out[0]], ties[out[0]], *out[1:])), nulls, nulls, nulls], names=names)
         ask = np.flatnonzero(new & (n > 1))
         shards = -(-n[ask] // SHARD_CONTEXTS)
         number = np.cumsum(new)[ask] - 1
         salt = number % shards
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[ask], first[ask], (first + more + length)[ask], anchor[ask].view(np.int64), salt, shards)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[doc[ask]], ties[doc[ask]], first[ask], (first + more + length)[ask], anchor[ask].view(np.int64), salt, shards)], names=names)
 
-    names = ["doc", "from", "to", "anchor", "salt", "shards"]
-    keyed = docs.select(F.expr(_KEY).alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
-    records = keyed.mapInArrow(scan, "bucket int, anchor binary, context binary, doc binary, first binary, more binary, gone binary, gone_from binary, gone_to binary")
-    settled = stage(records.repartition("bucket").mapInArrow(settle, "doc long, `from` long, `to` long, anchor long, salt long, shards long"), "suffix-settled")
+    names = ["doc", "tie", "from", "to", "anchor", "salt", "shards"]
+    texts = rows.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("text").cast("string").cast("binary").alias("text"))
+    records = texts.mapInArrow(scan, "bucket int, anchor binary, context binary, doc binary, tie binary, first binary, more binary, gone binary, gone_tie binary, gone_from binary, gone_to binary")
+    settled = stage(records.repartition("bucket").mapInArrow(settle, "doc long, tie long, `from` long, `to` long, anchor long, salt long, shards long"), "suffix-settled")
 
-    asked = settled.filter("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("from", "to", "anchor", "salt", "shards")).alias("asked"))
+    asked = settled.filter("anchor is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to", "anchor", "salt", "shards")).alias("asked"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in range(7)]
+            for doc, tie, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = text.as_py() or b""
                 for a in asks:
                     if a["to"] <= len(data):
-                        for col, v in zip(cols, (a["anchor"], a["salt"], a["shards"], doc, a["from"], data[a["from"] : a["to"]]), strict=True):
+                        for col, v in zip(cols, (a["anchor"], a["salt"], a["shards"], doc, tie, a["from"], data[a["from"] : a["to"]]), strict=True):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["anchor", "salt", "shards", "doc", "first", "bytes"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], names=["anchor", "salt", "shards", "doc", "tie", "first", "bytes"])
 
-    pieces = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(cut, "anchor long, salt long, shards long, doc long, first long, bytes binary")
+    pieces = texts.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(cut, "anchor long, salt long, shards long, doc long, tie long, first long, bytes binary")
 
     def sort_shard(rows):
         """Ranges that go (doc, from, to) and, of anchors over several shards, the first windows (doc, from, window)."""
@@ -353,9 +378,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("anchor", "ascending"), ("salt", "ascending"), ("doc", "ascending"), ("first", "ascending")])
-        whole = {k: t[k].to_numpy() for k in ("anchor", "salt", "shards", "doc", "first")} | {"bytes": t["bytes"].to_pylist()}
+        t = pa.Table.from_batches(got).sort_by([("anchor", "ascending"), ("salt", "ascending"), ("doc", "ascending"), ("tie", "ascending"), ("first", "ascending")])
+        whole = {k: t[k].to_numpy() for k in ("anchor", "salt", "shards", "doc", "tie", "first")} | {"bytes": t["bytes"].to_pylist()}
         del got, t
+        whole["doc"], docs, ties = ranked(whole["doc"], whole.pop("tie"))
         size = np.fromiter(map(len, whole["bytes"]), np.int64, len(whole["bytes"]))
         new = np.r_[True, (whole["anchor"][1:] != whole["anchor"][:-1]) | (whole["salt"][1:] != whole["salt"][:-1])]
         edges, before = np.r_[np.flatnonzero(new), len(size)], np.r_[0, np.cumsum(size)]
@@ -365,12 +391,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             a, b = edges[lo], edges[hi]
             gone, firsts = sort_shard({k: v[a:b] for k, v in whole.items()})
             k = len(gone[0])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, gone), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["doc", "from", "to", "shard", "window"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (docs[gone[0]], ties[gone[0]], *gone[1:])), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["doc", "tie", "from", "to", "shard", "window"])
             k = len(firsts[0])
-            yield pa.RecordBatch.from_arrays([pa.array(firsts[0]), pa.array(firsts[1]), pa.array(firsts[1] + length), pa.array(firsts[2]), pa.array(firsts[3], pa.binary())], names=["doc", "from", "to", "shard", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[firsts[0]]), pa.array(ties[firsts[0]]), pa.array(firsts[1]), pa.array(firsts[1] + length), pa.array(firsts[2]), pa.array(firsts[3], pa.binary())], names=["doc", "tie", "from", "to", "shard", "window"])
             lo = hi
 
-    compared = stage(pieces.repartition("anchor", "salt").mapInArrow(shards, "doc long, `from` long, `to` long, shard long, window binary"), "suffix-shards")
+    compared = stage(pieces.repartition("anchor", "salt").mapInArrow(shards, "doc long, tie long, `from` long, `to` long, shard long, window binary"), "suffix-shards")
 
     def merge(batches: Iterator) -> Iterator:
         import numpy as np
@@ -381,7 +407,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         window = np.frombuffer(b"".join(t["window"].to_pylist()), f"S{length}")
-        doc, at, shard = (t[k].to_numpy() for k in ("doc", "from", "shard"))
+        doc, tie, at, shard = (t[k].to_numpy() for k in ("doc", "tie", "from", "shard"))
+        doc, docs, ties = ranked(doc, tie)
         runs = []
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
@@ -402,18 +429,20 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             runs = after
         lost = np.concatenate(lost) if lost else np.zeros(0, np.int64)
         # a repeated row lies in one shard, so the loser of a meeting starts later
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(doc[lost], at[lost], at[lost] + length)], names=["doc", "from", "to"])
+        of, *span = merged(doc[lost], at[lost], at[lost] + length)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs[of], ties[of], *span)], names=["doc", "tie", "from", "to"])
 
-    across = compared.filter("window is not null").select("doc", "from", "shard", "window").repartition("window").mapInArrow(merge, "doc long, `from` long, `to` long")
-    span = lambda df: df.select("doc", "from", "to")
+    across = compared.filter("window is not null").select("doc", "tie", "from", "shard", "window").repartition("window").mapInArrow(merge, "doc long, tie long, `from` long, `to` long")
+    span = lambda df: df.select("doc", "tie", "from", "to")
     spans = span(settled.filter("anchor is null")).unionByName(span(compared.filter("window is null"))).unionByName(across)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return spans.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """All columns of docs with spans (null where nothing goes)."""
-    spans = repeated_spans(docs, length).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    return docs.withColumn("__key", F.expr(_KEY)).join(spans, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    rows = keyed(docs)
+    spans = repeated_spans(rows, length).withColumnRenamed("spans", "__spans")
+    return rows.join(spans, ["__doc", "__tie"], "left").drop("__doc", "__tie")
 
 
 def kept_bytes(data: bytes, spans: list | None) -> tuple[bytes, int, int]:
@@ -437,9 +466,9 @@ def kept_bytes(data: bytes, spans: list | None) -> tuple[bytes, int, int]:
 def digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; all strings are judged on the input.
 
-    Null texts are empty. Texts under `length` bytes stay whole. An id stands for one text: rows repeated
-    whole get the same result and do not count as earlier than each other; a null id comes before all
-    others. An empty table gives no rows. Columns besides doc_id and text play no part.
+    Null texts are empty. Texts under `length` bytes stay whole. Rows repeated whole, with
+    their id, get the same result and do not count as earlier than each other; other rows of one id come in an order by
+    their texts' hash. Rows without an id are documents of their own, before all others. An empty table gives no rows. Columns besides doc_id and text play no part.
     """
 
     def run(batches: Iterator) -> Iterator:

@@ -249,6 +249,17 @@ def test_suffix_dedup_repeated_rows(spark, make):
     assert kept[2]["text"] is None and len(kept[1]["text"]) < 100 and kept[0].asDict().keys() >= {"score", "spans"}
 
 
+def test_suffix_dedup_null_and_shared_ids(spark):
+    rng = random.Random(3)
+    t = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(5)]
+    rows = [(None, t[0] + t[1]), (None, t[1]), (None, t[0] + t[1]), (None, t[2]), (7, t[3] + t[4]), (7, t[4]), (8, t[2])]
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(0 <= r["n_removed"] <= r["n_bytes"] for r in got)
+    assert sum(r["n_bytes"] - r["n_removed"] for r in got) == sum(map(len, t)) and {r["doc_id"]: r["n_removed"] for r in got}[8] == 400
+    kept = "".join(r["text"] for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(kept) == sum(map(len, t))
+
+
 def rows_of(t):
     return removed([(1, t.encode())])[1][1]
 
