@@ -50,3 +50,11 @@ def test_nulls_and_clashing_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 50] and kept.columns == docs.columns
     assert corpus_pipeline.suffix_stage(spark, kept, SF).count() == 7
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    t = [" ".join(random.Random(k).choices("the of a river stone quiet".split(), k=40)) for k in range(4)]
+    rows = [(1, t[0]), (1, t[0]), (2, t[0]), (2, t[1]), (None, t[2]), (None, t[2]), (None, t[0]), (None, t[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, t[0]), (2, t[1]), (None, t[2]), (None, t[3])], key=str)
