@@ -29,7 +29,9 @@ def groups(n, links):
     return [find(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     rng = random.Random(5)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(220)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
