@@ -175,12 +175,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 3, id_co
 
 # similarity of shingle sets
 
-#: 64-bit lanes of a set's parity bits.
-LANES = 4
+#: 64-bit lanes of a set's parity bits that go with each posting, and of those that are fetched for postings with likely partners.
+LANES, WIDE_LANES = 4, 16
+#: Rounds in which each document tries its nearest partner of another component, before all pairs left apart are met.
+NEAREST_ROUNDS = 2
 #: Buckets in which shingles are counted. Counts only order the shingles: no result hangs on them.
 BUCKETS = 1 << 20
-#: Rows that a task hands on at once.
-FLUSH_ROWS = 400_000
+#: Rows that a task hands on at once, and pairs that it looks at before.
+FLUSH_ROWS, FLUSH_PAIRS = 400_000, 4_000_000
 #: Members of a posting list that are compared with each other, or with as many others, in one task.
 SLICE_ROWS = 600
 
@@ -203,10 +205,11 @@ def shingle_set(text: str | None, shingle: int):
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """Of each row (id, text): same (hash of its set), size and parity bits l0..; and rows of chunk and counts (shingles by bucket) beside.
+    """Of each row (id, text): same (hash of its set), size, parity bits l0.. and wide; and rows of chunk and counts (shingles by bucket) beside.
 
     A parity bit tells whether an even or odd number of the set's shingles have its low hash bits. A shingle that
-    only one of two sets has flips one bit, so sets differ in at least as many shingles as parity bits.
+    only one of two sets has flips one bit, so sets differ in at least as many shingles as parity bits. The few
+    bits l0.. are the many of wide, folded.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -216,9 +219,9 @@ def signatures(rows: DataFrame, shingle: int) -> DataFrame:
 
         claim("simhash")
         counts = np.zeros(BUCKETS, np.int32)
-        names = ["id", "same", "size", *[f"l{k}" for k in range(LANES)], "chunk", "counts"]
+        names = ["id", "same", "size", *[f"l{k}" for k in range(LANES)], "wide", "chunk", "counts"]
         for b in batches:
-            out = np.zeros((b.num_rows, LANES + 2), np.int64)
+            out, wide = np.zeros((b.num_rows, LANES + 2), np.int64), [bytes(8 * WIDE_LANES)] * b.num_rows
             for k, t in enumerate(b.column(1)):
                 got = shingle_set(t.as_py(), shingle)
                 if not len(got):
@@ -226,16 +229,18 @@ def signatures(rows: DataFrame, shingle: int) -> DataFrame:
                 np.add.at(counts, _bucket(got), 1)
                 out[k, 0] = np.array([h(got.tobytes(), 7)], np.uint64).view(np.int64)[0]
                 out[k, 1] = len(got)
-                odd = np.bincount((got % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) % 2
-                out[k, 2:] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+                odd = np.bincount((got % np.uint64(64 * WIDE_LANES)).astype(np.int64), minlength=64 * WIDE_LANES) % 2
+                bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+                wide[k] = bits.tobytes()
+                out[k, 2:] = np.bitwise_xor.reduce(bits.reshape(-1, LANES), axis=0)
             nulls = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T), *nulls], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T), pa.array(wide, pa.binary()), *nulls], names=names)
         parts = [(k, c.tobytes()) for k, c in enumerate(np.split(counts, 64)) if c.any()]
         nulls = [pa.nulls(len(parts), pa.int64())] * (LANES + 3)
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(parts), pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
 
     lanes = ", ".join(f"l{k} long" for k in range(LANES))
-    return rows.mapInArrow(run, f"id long, same long, size long, {lanes}, chunk int, counts binary")
+    return rows.mapInArrow(run, f"id long, same long, size long, {lanes}, wide binary, chunk int, counts binary")
 
 
 def _bucket(shingles):
@@ -341,13 +346,39 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return links
 
 
-def other_pairs(posts: DataFrame, lanes: list[str], similarity: float) -> DataFrame:
-    """All pairs (a, b) of postings (key, id, place, size, lanes, label) of one key with differing labels that may be that similar."""
+def mixed_lists(posts: DataFrame) -> DataFrame:
+    """posts (key, label, ..) of the keys with differing labels, with n (postings of the key)."""
     mixed = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rows = posts.join(mixed.select("key", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cells = rows.select("id", *lanes, "key", "place", "size", "label", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    share, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    return posts.join(mixed.select("key", "n"), "key")
+
+
+def cells(posts: DataFrame) -> DataFrame:
+    """posts of mixed_lists() with own (slice) and a, b: each two postings of one key and differing labels meet where own is a or b.
+
+    A list of more than SLICE_ROWS is cut into slices. Those of its most frequent label come first and never meet
+    each other, so a large component with a few strays costs no more than its size.
+    """
+    of_label = posts.filter(F.col("n") > SLICE_ROWS).groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = of_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("most")).select("key", "most.m", F.col("most.label").alias("major"))
+    most = most.select("key", "major", F.ceil(F.col("m") / SLICE_ROWS).cast("int").alias("major_slices"), "m")
+    major = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+    before = F.coalesce("major_slices", F.lit(0))
+    rest = F.ceil((F.col("n") - F.coalesce("m", F.lit(0))) / SLICE_ROWS).cast("int")
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.greatest(count, F.lit(1))).cast("int")
+    rows = posts.join(most, "key", "left").withColumn("own", F.when(major, deal(before)).otherwise(before + deal(rest)))
+    other = F.sequence(F.when(major, before).otherwise(0), before + rest - 1)
+    rows = rows.withColumn("other", F.explode(other)).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    return rows.drop("m", "n", "major", "major_slices", "other")
+
+
+def partners(cells: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs that may be that similar, by places, sizes and parity bits (lanes, binary), of cells of mixed lists.
+
+    nearest: for each posting with any, one row (key, id, partner, apart: bits that differ, for each shingle);
+    else all pairs a, b.
+    """
+    share, limit = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+    names = ["key", "id", "partner", "apart"] if nearest else ["a", "b"]
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
@@ -358,45 +389,88 @@ def other_pairs(posts: DataFrame, lanes: list[str], similarity: float) -> DataFr
             return
         t = pa.Table.from_batches(got)
         key, a, b, own, ids, place, size, label = (t[c].to_numpy().astype(np.int64) for c in ("key", "a", "b", "own", "id", "place", "size", "label"))
-        wide = np.stack([t[c].to_numpy() for c in lanes], axis=1)
         order = np.lexsort((ids, b, a, key))
-        key, a, b, own, ids, left, size, label, wide = (v[order] for v in (key, a, b, own, ids, size - place, size, label, wide))
+        wide = np.frombuffer(b"".join(t["lanes"].to_pylist()), np.uint64).reshape(len(ids), -1)[order]
+        key, a, b, own, ids, left, size, label = (v[order] for v in (key, a, b, own, ids, size - place, size, label))
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         count = np.diff(np.r_[start, len(key)])
         cell = np.repeat(np.arange(len(start)), count)
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found: list = []
 
         def test(i, j):
             ok = (label[i] != label[j]) & ((own[i] != own[j]) | (a[i] == b[i])) & (np.minimum(left[i], left[j]) >= share * (size[i] + size[j]) - 1e-6)
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count((wide[i] ^ wide[j]).view(np.uint64)).sum(1, dtype=np.int64) <= apart * (size[i] + size[j]) + 1e-6
-            x.append(ids[i[ok]])
-            y.append(ids[j[ok]])
+            apart = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+            ok = apart <= limit * (size[i] + size[j]) + 1e-6
+            found.append((i[ok], j[ok], apart[ok]))
+
+        def batch():
+            x, y, apart = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else [np.zeros(0, np.int64)] * 3
+            found.clear()
+            if not nearest:
+                both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=names)
+            x, y, apart = np.r_[x, y], np.r_[y, x], np.r_[apart, apart]
+            each = apart / (size[x] + size[y])
+            # of equally near ones another for each: their order is dealt anew from one to the next
+            best = np.lexsort(((ids[x] ^ ids[y]) * -7046029254386353131, each, x))
+            best = best[np.r_[True, x[best][1:] != x[best][:-1]]] if len(best) else best
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x[best]], ids[x[best]], ids[y[best]], each[best])], names=names)
 
         short = np.repeat(count <= SHORT_LIST, count)
-        for d in range(1, min(SHORT_LIST, int(count.max()))):
-            p = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:])
-            for q in np.array_split(p, len(p) // 200_000 + 1) if len(p) else []:
-                test(q, q + d)
-        for s, n in zip(start[count > SHORT_LIST].tolist(), count[count > SHORT_LIST].tolist(), strict=True):
-            for k in range(0, n, 256):
-                i, j = np.meshgrid(np.arange(s + k, s + min(k + 256, n)), np.arange(s + k, s + n), indexing="ij")
-                later = i < j
-                test(i[later], j[later])
-            if sum(map(len, x)) > FLUSH_ROWS:
-                yield pairs_of(x, y)
-                x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        yield pairs_of(x, y)
-
-    def pairs_of(x, y):
-        import numpy as np
-        import pyarrow as pa
+        for lo, hi in _stretches(start, count):
+            for d in range(1, min(SHORT_LIST, int(count[lo:hi].max()))):
+                f, e = start[lo], start[hi - 1] + count[hi - 1]
+                p = f + np.flatnonzero((cell[f + d : e] == cell[f : e - d]) & short[f + d : e])
+                for q in np.array_split(p, len(p) // 200_000 + 1) if len(p) else []:
+                    test(q, q + d)
+            for s, n in zip(start[lo:hi][count[lo:hi] > SHORT_LIST].tolist(), count[lo:hi][count[lo:hi] > SHORT_LIST].tolist(), strict=True):
+                for k in range(0, n, 256):
+                    i, j = np.meshgrid(np.arange(s + k, s + min(k + 256, n)), np.arange(s + k, s + n), indexing="ij")
+                    later = i < j
+                    test(i[later], j[later])
+            yield batch()
+
+    return cells.repartition("key", "a", "b").mapInArrow(find, "key long, id long, partner long, apart double" if nearest else "a long, b long")
+
+
+def _stretches(start, count):
+    """Ranges of whole cells, of some pairs to look at each."""
+    import numpy as np
+
+    work = np.cumsum(count * np.minimum(count, 2 * SLICE_ROWS))
+    cut = np.unique(np.r_[0, np.searchsorted(work, np.arange(1, work[-1] // FLUSH_PAIRS + 1) * FLUSH_PAIRS), len(start)])
+    return [(int(lo), int(hi)) for lo, hi in zip(cut, cut[1:], strict=False) if lo < hi]
 
-        x, y = np.concatenate(x), np.concatenate(y)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    return cells.repartition("key", "a", "b").mapInArrow(find, "a long, b long").distinct()
+def left_apart(posts: DataFrame, lanes: list[str], wide: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """links and those that they leave out, or enough of these to connect what all true links of the postings connect.
+
+    Postings without a likely partner of another component go first. Then, in a few rounds, each document tries
+    the nearest partner it still has in another component; at last all pairs that are left apart are verified.
+    """
+    bits = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in lanes])
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        known = stage(components(links).withColumnRenamed("node", "id"), "simhash-labels")
+        return mixed_lists(rows.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")))
+
+    near = partners(cells(labelled(posts)).select("key", "a", "b", "own", "id", "place", "size", "label", bits.alias("lanes")), similarity, nearest=True)
+    near = stage(near, "simhash-near")
+    live = posts.select("key", "id", "place", "size").join(near.select("key", "id").distinct(), ["key", "id"])
+    live = stage(live.join(wide.select("id", F.col("wide").alias("lanes")), "id"), "simhash-live")
+    for k in range(NEAREST_ROUNDS):
+        tried = near.groupBy("id").agg(F.min_by("partner", F.struct("apart", "partner")).alias("partner"))
+        links = stage(links.unionByName(verified(tried.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).distinct(), texts, shingle, similarity)), "simhash-links")
+        drop(near)
+        if k < NEAREST_ROUNDS - 1:
+            # within one slice, dealt anew each time
+            slices = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE_ROWS)).cast("int")
+            own = F.pmod(F.xxhash64("id", F.lit(k)), slices).cast("int")
+            near = labelled(live).withColumn("own", own).select("*", F.col("own").alias("a"), F.col("own").alias("b")).drop("n")
+            near = stage(partners(near, similarity, nearest=True), "simhash-near")
+    rest = stage(partners(cells(labelled(live)), similarity, nearest=False).distinct(), "simhash-likely")
+    return links.unionByName(verified(rest, texts, shingle, similarity))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -412,9 +486,9 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     are alike; a row with neither an id nor words has no row here.
 
     All links are met: two such sets share a shingle of their prefixes, and each prefix is posted whole. Pairs are
-    reduced only by true links: first each posting is compared with a few of its list's, then, in lists of
-    documents that these links leave apart, all pairs that sizes, places and parity bits allow. Every
-    pair is verified on the texts' own sets.
+    reduced only by true links: first each posting is compared with a few of its list's, then with the nearest of
+    another component, and at last, in lists of documents that these links leave apart, with all that sizes, places
+    and parity bits allow. Every pair is verified on the texts' own sets.
     """
     lanes = [f"l{k}" for k in range(LANES)]
     whole = docs.select(F.col("__row").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -438,10 +512,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     met = posts.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & likely(similarity, lanes))
     first = stage(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "simhash-likely")
     links = verified(first, texts, shingle, similarity)
-    known = stage(components(links), "simhash-labels")
-    labelled = posts.join(known.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = stage(other_pairs(labelled, lanes, similarity), "simhash-likely")
-    found = components(links.unionByName(verified(rest, texts, shingle, similarity)))
+    found = components(left_apart(posts, lanes, raw.filter("chunk is null"), texts, links, shingle, similarity))
 
     labels = stage(found.select(F.col("node").alias("id"), "label"), "simhash-labels")
     ranked = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
