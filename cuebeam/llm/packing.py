@@ -20,6 +20,8 @@ from cuebeam.llm.tokens import runs_of_texts, tokenizer_path, word_ids
 NEARLY = 8
 #: Partitions whose underfull bins meet in the next round.
 FAN_IN = 16
+#: Items that one partition packs, and the least share of its items that a round over more of them must save to go on.
+MOST_ITEMS, LEAST_SAVED = 400_000, 0.002
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -118,23 +120,30 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer_file: str | None = None,
     repeated rows are packed each; ties are broken by number. Columns besides doc_id and text
     play no part.
 
-    Each round but the last leaves out all bins with at most `nearly` free places; so what goes on
-    is a few bins a partition, and the root sees a small share of the pieces.
+    Each round but the last leaves out all bins with at most `nearly` free places, and all that not even the
+    least of the others would fit in. A partition gets MOST_ITEMS at most on average; where more than that is left, because hardly
+    any two items fit together, the tree ends when a round over newly dealt items saves less than LEAST_SAVED of
+    them. So no task's share grows with the input.
     """
     tokenizer_file = tokenizer_file or tokenizer_path("word_bpe_49k.json")
     pieces = stage(cut_pieces(docs, length, tokenizer_file).withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     items, rounds, tag = pieces.select("item", F.col("length").alias("size")), [], 0
-    width = max(1, items.rdd.getNumPartitions())
+    width, before = max(1, items.rdd.getNumPartitions()), None
     while True:
         last = width == 1
         placed = stage(_pack_round(items, length, 0 if last else nearly, tag), "pack-round")
         rounds.append(placed)
         if last:
             break
-        width = -(-width // fan_in)
-        tag += 1
         open_bins = placed.filter(~F.col("done")).groupBy(F.col("bin").alias("item")).agg(F.max("filled").alias("size"))
-        items = open_bins.repartition(width, F.pmod(F.xxhash64("item"), F.lit(1 << 20)))
+        least = open_bins.agg(F.min("size")).first()[0] or 0
+        open_bins = open_bins.filter(F.col("size") <= length - least)
+        left = open_bins.count()
+        needed = -(-left // MOST_ITEMS)
+        if left < 2 or (needed >= width and before is not None and left > before * (1 - LEAST_SAVED)):
+            break
+        width, before, tag = max(-(-width // fan_in), needed), left, tag + 1
+        items = open_bins.repartition(width, F.pmod(F.xxhash64("item", F.lit(tag)), F.lit(1 << 20)))
     # from the root down: where each bin of a round lies in its final sequence
     at = rounds[-1].select("item", F.col("bin").alias("sequence_id"), "offset")
     for placed in reversed(rounds[:-1]):
