@@ -231,7 +231,9 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     if not GRAM < length <= 128:
         raise ValueError(f"length must be over {GRAM} and at most 128")
     spark = rows.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a few for each partition, of which there are more where there is more to read
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    buckets = 4 * parts
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
@@ -337,7 +339,7 @@ def repeated_spans(rows: DataFrame, length: int = 100) -> DataFrame:
     names = ["doc", "tie", "from", "to", "anchor", "salt", "shards"]
     texts = rows.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("text").cast("string").cast("binary").alias("text"))
     records = texts.mapInArrow(scan, "bucket int, anchor binary, context binary, doc binary, tie binary, first binary, more binary, gone binary, gone_tie binary, gone_from binary, gone_to binary")
-    settled = stage(records.repartition("bucket").mapInArrow(settle, "doc long, tie long, `from` long, `to` long, anchor long, salt long, shards long"), "suffix-settled")
+    settled = stage(records.repartition(parts, "bucket").mapInArrow(settle, "doc long, tie long, `from` long, `to` long, anchor long, salt long, shards long"), "suffix-settled")
 
     asked = settled.filter("anchor is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to", "anchor", "salt", "shards")).alias("asked"))
 
