@@ -104,6 +104,7 @@ def plan_shots(segments: DataFrame, clips: DataFrame, entities: DataFrame, optio
     named = chosen.join(entities.select("job_id", "entity_id", F.col("canonical").alias("entity_name")), ["job_id", "entity_id"], "left")
     rows = named.join(clips.select("job_id", "clip_id", F.col("filename").alias("clip_filename"), F.col("duration_ms").alias("_available")), ["job_id", "clip_id"])
     shown = F.coalesce("entity_name", "entity_id")
+    # fixed values: reasons that callers compare
     reason = (
         F.when(F.col("pool_kind") == "fallback", "no clip for this character - b-roll").when(F.col("pool_kind") == "broll", "no character named - b-roll")
         .when(F.col("source") == "named", F.concat(F.lit("named: "), shown)).otherwise("carried from previous mention")
@@ -136,6 +137,7 @@ def overused_clips(shots: DataFrame) -> DataFrame:
 
 def plan_warnings(shots: DataFrame, clips: DataFrame, jobs: DataFrame) -> DataFrame:
     """job_id and warning: no clips, an entity without a clip (once each), a clip used too often."""
+    # fixed values: sentences that callers compare
     none = jobs.select("job_id").join(clips.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit("No clips were provided, so there is nothing to build a video from.").alias("warning"))
     missing = shots.filter("pool_kind = 'fallback'").select("job_id", F.coalesce("entity_name", "entity_id").alias("n")).distinct()
     missing = missing.select("job_id", F.concat(F.lit('No clip is tagged for "'), "n", F.lit('" - those moments fall back to b-roll.')).alias("warning"))

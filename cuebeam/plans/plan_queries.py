@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuebeam.functions import text
 from cuebeam.operators import jobs, script, shots
 from cuebeam.operators.mentions import build_cast
 from cuebeam.plans.analyse import Analysis, analyse
@@ -16,19 +17,27 @@ from cuebeam.sources.files import concat_line, exact_duration, probe
 BRAND_OF = {"click": "Brand#11", "purchase": "Brand#22", "view": "Brand#33"}
 
 
+#: Parts of a library, about.
+LIBRARY_PARTS = 20
+
+
 def _clips(spark: SparkSession, d: str) -> DataFrame:
-    """One library: a part of a listed brand belongs to that brand's event type, others to nobody."""
+    """Parts dealt over libraries: a part of a listed brand belongs to that brand's event type, others to nobody."""
     entity = F.lit(None).cast("string")
     for e, b in BRAND_OF.items():
         entity = F.when(F.col("p_brand") == b, e).otherwise(entity)
     c = part_clips(spark, d).withColumn("entity_ids", F.when(entity.isNull(), F.array().cast("array<string>")).otherwise(F.array(entity)))
-    # libraries are small: the first 40 parts of each kind
-    few = F.row_number().over(Window.partitionBy("entity_ids").orderBy("clip_ord"))
-    return c.withColumn("_n", few).filter("_n <= 40").drop("_n")
+    return c.withColumn("library", F.col("clip_ord") % _libraries(spark, d))
+
+
+def _libraries(spark: SparkSession, d: str) -> int:
+    return max(1, table(spark, d, "part").count() // LIBRARY_PARTS)
 
 
 def _job_clips(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id")).distinct().join(F.broadcast(_clips(spark, d)))
+    """The clips of each user's library."""
+    users = table(spark, d, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("job_id"), (F.col("user_id") % _libraries(spark, d)).alias("library"))
+    return users.join(_clips(spark, d), "library").drop("library")
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -78,10 +87,11 @@ def unclaimed_clips(spark: SparkSession, d: str) -> DataFrame:
 
 def cast_from_parts(spark: SparkSession, d: str) -> DataFrame:
     """The cast of a library named after parts, against the conversations' words as one script each."""
-    clips = _clips(spark, d).select("clip_ord", "clip_id", "filename", F.array().cast("array<string>").alias("tags"))
+    n = _libraries(spark, d)
+    clips = _clips(spark, d).select("library", "clip_ord", "clip_id", "filename", F.array().cast("array<string>").alias("tags"))
     w = conversation_words(spark, d)
-    words = w.select("job_id").distinct()
-    return build_cast(words.join(F.broadcast(clips)), w).select("job_id", "entity_ord", "entity_id", "canonical", F.array_join("aliases", "|").alias("aliases"), "kind")
+    words = w.select("job_id").distinct().withColumn("library", F.col("job_id").cast("long") % n)
+    return build_cast(words.join(clips, "library").drop("library"), w).select("job_id", "entity_ord", "entity_id", "canonical", F.array_join("aliases", "|").alias("aliases"), "kind")
 
 
 def _analysis(spark: SparkSession, d: str) -> Analysis:
@@ -112,6 +122,47 @@ def analyse_tiling(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("job_id").agg(F.sum(F.abs("gap")).alias("gaps"), F.max("end_ms").alias("total_ms"), (F.sum("duration_ms") - F.max("end_ms")).alias("excess"))
 
 
+def _cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations; those of two roles name a character."""
+    lines = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("job_id"), F.col("turn").cast("long").alias("line_ord"), "text", "role")
+    return script.match_lines(lines.drop("role"), lines.filter("line_ord % 6 = 1").select("job_id", "line_ord", F.col("role").alias("character")))
+
+
+def plan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Clips for the turns of each conversation: users and assistants have two and three, two belong to nobody."""
+    jobs_ = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("job_id")).distinct()
+    own = F.when(F.col("clip_ord") < 2, "user").when(F.col("clip_ord") < 5, "assistant")
+    clips = jobs_.withColumn("clip_ord", F.explode(F.sequence(F.lit(0), F.lit(6)))).select("job_id", "clip_ord", F.concat(F.lit("c"), "clip_ord").alias("clip_id"), own.alias("character"))
+    return script.plan_lines(_cascade(spark, d), clips)
+
+
+def filename_character(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files, with the character their name gives; known are the first words of all parts' names."""
+    c = part_clips(spark, d).select("clip_id", text.filename_character(F.concat(F.lit("AB1_"), "filename")).alias("found"))
+    known = table(spark, d, "part").select(F.upper(F.split("p_name", " ")[0]).alias("name")).distinct()
+    first = F.split("found", " ")[0]
+    return c.join(known, first == known["name"], "left").select("clip_id", F.coalesce("name", "found").alias("character"))
+
+
+def cast_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as mentions of their type, written like the value's last digit."""
+    e = event_mentions(spark, d).filter("entity_id is not null").withColumn("digit", F.floor(F.col("value") * 10).cast("long") % 10)
+    m = e.select("job_id", "entity_id", F.concat("entity_id", "digit").alias("surface"), (F.col("digit") % 3 == 0).alias("corrected"), F.col("ord").alias("word_index"))
+    s = e.select("job_id", "entity_id", F.when(F.col("digit") > 4, "named").otherwise("held").alias("source"))
+    return script.cast_panel(s, m, _job_clips(spark, d)).withColumn("variants", F.array_join("variants", ","))
+
+
+def clips_for_choice(spark: SparkSession, d: str) -> DataFrame:
+    """How many clips of its own character and of others each shot may get."""
+    c = script.clips_for_choice(_segments(spark, d).withColumnRenamed("seg_index", "segment_index"), _job_clips(spark, d))
+    return c.groupBy("job_id", "segment_index").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("others"))
+
+
+def distinct_names(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return script.distinct_names(e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("event_type", F.lit("-"), F.col("n") % 7), "n"))).alias("faces")))
+
+
 def media_probe(spark: SparkSession, d: str) -> DataFrame:
     """Parts printed as an encoder's text and read back."""
     p = table(spark, d, "part")
@@ -177,7 +228,7 @@ def line_context(spark: SparkSession, d: str) -> DataFrame:
 def face_histogram(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     faces = e.select((F.col("event_id") % 50).alias("clip_id"), F.col("event_type").alias("label"))
-    tags = e.filter("event_id < 50").select(F.col("event_id").alias("clip_id"), F.lit("view").alias("label"))
+    tags = e.select((F.col("event_id") % 50).alias("clip_id"), F.lit("view").alias("label")).distinct()
     return script.face_histogram(faces, tags)
 
 
@@ -186,16 +237,19 @@ QUERIES = {
     for f in (
         clip_pool_lookup, lru_assign, round_robin_assign, fit_source, plan_stats, overused_clips, unclaimed_clips, cast_from_parts, analyse_shots, analyse_segments, analyse_tiling, media_probe,
         media_duration, stream_compatible, filter_chain, render_progress, pack_batches, script_lines, alias_terms, variety_break, line_context, face_histogram,
+        plan_lines, filename_character, cast_panel, clips_for_choice, distinct_names,
     )
 }
 
 _ENTITY = "CASE " + " ".join(f"WHEN p_brand = '{b}' THEN '{e}'" for e, b in BRAND_OF.items()) + " END"
 _POOLS = f"""{RUNS_SQL}, {CLIPS_SQL},
-    numbered AS (SELECT *, {_ENTITY} AS owner, row_number() OVER (PARTITION BY {_ENTITY} ORDER BY clip_ord) AS k FROM clips), lib AS (SELECT * FROM numbered WHERE k <= 40),
-    pool AS (SELECT coalesce(owner, '') AS owner, list(clip_id ORDER BY clip_ord) AS pool FROM lib GROUP BY 1),
-    segs AS (SELECT t.job_id, t.ord AS seg_index, t.entity_id, t.end_ms, (t.end_ms - t.start_ms) % 9000 + 1 AS duration_ms, coalesce(p.pool, b.pool) AS pool,
+    lib AS (SELECT *, {_ENTITY} AS owner, p.clip_ord % (SELECT greatest(1, count(*) // {LIBRARY_PARTS}) FROM part) AS library FROM clips p),
+    lists AS (SELECT library, owner, list(clip_id ORDER BY clip_ord) AS pool FROM lib GROUP BY ALL), every AS (SELECT library, list(clip_id ORDER BY clip_ord) AS pool FROM lib GROUP BY 1),
+    job_of AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS job_id, user_id % (SELECT greatest(1, count(*) // {LIBRARY_PARTS}) FROM part) AS library FROM events),
+    segs AS (SELECT t.job_id, t.ord AS seg_index, t.entity_id, t.end_ms, (t.end_ms - t.start_ms) % 9000 + 1 AS duration_ms, coalesce(p.pool, b.pool, v.pool) AS pool, j.library,
         CASE WHEN p.pool IS NOT NULL THEN 'entity' WHEN t.entity_id IS NOT NULL THEN 'fallback' ELSE 'broll' END AS pool_kind
-        FROM tiles t LEFT JOIN pool p ON p.owner = t.entity_id JOIN pool b ON b.owner = ''),
+        FROM tiles t JOIN job_of j USING (job_id) JOIN every v ON v.library = j.library LEFT JOIN lists p ON p.library = j.library AND p.owner = t.entity_id
+        LEFT JOIN lists b ON b.library = j.library AND b.owner IS NULL),
     turns AS (SELECT *, pool[(row_number() OVER (PARTITION BY job_id, entity_id ORDER BY seg_index) - 1) % len(pool) + 1] AS clip_id FROM segs),
     used AS (SELECT t.*, row_number() OVER (PARTITION BY job_id, t.clip_id ORDER BY seg_index) - 1 AS uses, l.duration_ms AS available FROM turns t JOIN lib l USING (clip_id))"""
 
@@ -211,6 +265,36 @@ ORACLE = {
     "overused_clips": f"""WITH {_POOLS}, u AS (SELECT job_id, clip_id, count(*) AS n FROM turns GROUP BY 1, 2), s AS (SELECT job_id, count(*) AS shots FROM turns GROUP BY 1)
         SELECT job_id, clip_id, n FROM u JOIN s USING (job_id) WHERE n > greatest(6, shots / 3.0)""",
     "unclaimed_clips": f"WITH {_POOLS} SELECT clip_id FROM lib WHERE clip_id NOT IN (SELECT clip_id FROM turns)",
+    "lru_assign": f"""WITH RECURSIVE {_POOLS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seg_index) AS k FROM segs),
+        walk AS (SELECT job_id, seg_index, k, pool[1] AS clip_id, [pool[1]] AS used FROM n WHERE k = 1
+            UNION ALL SELECT job_id, seg_index, k, clip_id, list_append(list_filter(used, lambda x: x <> clip_id), clip_id) FROM (
+                SELECT job_id, seg_index, k, used, coalesce(list_filter(options, lambda x: NOT list_contains(used, x))[1], list_filter(used, lambda x: list_contains(options, x))[1]) AS clip_id FROM (
+                    SELECT n.job_id, n.seg_index, n.k, used, CASE WHEN len(n.pool) > 1 THEN list_filter(n.pool, lambda x: x <> walk.clip_id) ELSE n.pool END AS options
+                    FROM walk JOIN n ON n.job_id = walk.job_id AND n.k = walk.k + 1)))
+        SELECT job_id, seg_index, clip_id FROM walk""",
+    "variety_break": f"""WITH RECURSIVE {MENTIONS_SQL}, c AS (SELECT job_id, ord, CASE WHEN entity_id = 'view' THEN 'v' ELSE 'o' END AS c FROM event_mentions),
+        s AS (SELECT *, c IS DISTINCT FROM lag(c) OVER o AS new FROM c WINDOW o AS (PARTITION BY job_id ORDER BY ord)),
+        g AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY job_id ORDER BY ord) AS run FROM s), r AS (SELECT job_id, ord, row_number() OVER (PARTITION BY job_id, run ORDER BY ord) AS n FROM g),
+        walk AS (SELECT job_id, ord, 1 AS since, false AS stop FROM r WHERE ord = 0
+            UNION ALL SELECT r.job_id, r.ord, CASE WHEN stop THEN 1 ELSE since + 1 END, n >= 5 AND CASE WHEN stop THEN 1 ELSE since + 1 END >= 4 FROM walk JOIN r ON r.job_id = walk.job_id AND r.ord = walk.ord + 1)
+        SELECT job_id, ord AS line_ord, stop AS break_after FROM walk""",
+    "script_lines": r"""WITH RECURSIVE t AS (SELECT conv_id || ':' || turn AS job_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(regexp_replace(text, '\r?\n', ' ', 'g'), '\s{2,}', ' ', 'g')), '([.!?]+)\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM conversations),
+        u AS (SELECT job_id, unnest(p) AS piece, unnest(range(len(p))) AS k, len(p) AS n FROM t), v AS (SELECT *, len(list_filter(regexp_split_to_array(piece, '\s+'), lambda x: x <> '')) AS c FROM u),
+        walk AS (SELECT job_id, k, n, piece AS held, c, 0 AS line FROM v WHERE k = 0
+            UNION ALL SELECT v.job_id, v.k, v.n, CASE WHEN walk.c >= 6 THEN v.piece ELSE walk.held || ' ' || v.piece END, CASE WHEN walk.c >= 6 THEN v.c ELSE walk.c + v.c END, walk.line + CAST(walk.c >= 6 AS INT) FROM walk JOIN v ON v.job_id = walk.job_id AND v.k = walk.k + 1)
+        SELECT job_id, CAST(line AS BIGINT) AS line_ord, held AS text FROM walk WHERE c >= 6 OR k = n - 1""",
+    "alias_terms": r"""WITH p AS (SELECT p_partkey AS o, trim(p_name) AS name, string_split(trim(p_name), ' ') AS w, [upper(trim(x)) for x in [p_brand, p_type]] AS nick FROM part),
+        t AS (SELECT o, name, unnest(list_concat([upper(name)], nick, CASE WHEN len(w) >= 2 THEN [upper(w[1]), upper(w[-1]), upper(array_to_string(list_transform(w, lambda x: x[1]), ''))] ELSE [] END)) AS term FROM p)
+        SELECT term, arg_max(name, o) AS name FROM t GROUP BY 1""",
+    "filename_character": """SELECT CAST(p_partkey AS VARCHAR) AS clip_id, upper(split_part(p_name, ' ', 1)) AS character FROM part""",
+    "cast_panel": f"""WITH {_POOLS}, e AS (SELECT *, CAST(floor(value * 10) AS BIGINT) % 10 AS digit FROM event_mentions WHERE entity_id IS NOT NULL),
+        s AS (SELECT job_id, entity_id, entity_id || digit AS surface, count(*) AS n, min(ord) AS first, digit % 3 = 0 AS corrected FROM e GROUP BY ALL),
+        v AS (SELECT job_id, entity_id, CAST(sum(n) AS BIGINT) AS mentions, count(*) FILTER (corrected) AS corrected, array_to_string(list(surface ORDER BY n DESC, first)[1:3], ',') AS variants FROM s GROUP BY 1, 2),
+        o AS (SELECT job_id, owner AS entity_id, count(*) AS clips FROM lib JOIN job_of USING (library) WHERE owner IS NOT NULL GROUP BY 1, 2), m AS (SELECT job_id, entity_id, count(*) FILTER (digit > 4) AS named_shots FROM e GROUP BY 1, 2)
+        SELECT v.*, coalesce(clips, 0) AS clips, named_shots FROM v LEFT JOIN o USING (job_id, entity_id) JOIN m USING (job_id, entity_id)""",
+    "clips_for_choice": f"""WITH {_POOLS} SELECT job_id, seg_index AS segment_index, count(*) FILTER (coalesce(owner = entity_id, false)) AS own, count(*) FILTER (NOT coalesce(owner = entity_id, false)) AS others
+        FROM segs JOIN lib USING (library) GROUP BY 1, 2""",
+    "distinct_names": "SELECT DISTINCT event_type || '-' || (n % 7) AS name FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)",
     "media_probe": """SELECT p_partkey AS object_id, CAST(((p_partkey % 60) * 60 + p_size % 60) * 1000 + p_partkey % 100 * 10 AS BIGINT) AS duration_ms, p_size * 10 + 100 AS width, p_size * 9 + 90 AS height, CAST(p_size % 30 + 1 AS BIGINT) AS fps,
         true AS has_video, true AS has_audio, 'h264' AS video_codec, 'aac' AS audio_codec, 44100 AS sample_rate FROM part""",
     "media_duration": """SELECT p_partkey, CAST(greatest(p_size % 60, (p_size + 7) % 60) * 1000 + p_partkey % 100 * 10 AS BIGINT) AS duration_ms, 'file ''' || p_name || '''\\''''s''' AS line FROM part""",
@@ -229,7 +313,7 @@ ORACLE = {
         c AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY line_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS character FROM l)
         SELECT job_id, line_ord, character, CASE WHEN named IS NOT NULL THEN 'name' WHEN character IS NULL THEN 'fallback'
         WHEN regexp_matches(t, '\b(he|his|him|they|their|them)\b') AND NOT regexp_matches(t, '\b(she|her)\b') THEN 'context' ELSE 'continue' END AS reason FROM c""",
-    "face_histogram": """WITH b AS (SELECT event_id % 50 AS clip_id, event_type AS label, 1 AS w FROM events UNION ALL SELECT event_id, 'view', 999 FROM events WHERE event_id < 50)
+    "face_histogram": """WITH b AS (SELECT event_id % 50 AS clip_id, event_type AS label, 1 AS w FROM events UNION ALL SELECT DISTINCT event_id % 50, 'view', 999 FROM events)
         SELECT clip_id, label, CAST(sum(w) AS BIGINT) AS n FROM b GROUP BY 1, 2""",
     "analyse_tiling": "WITH t AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[\\s ﻿]+'), lambda x: x <> '')) * 10000 // 29 AS span FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(0 AS BIGINT) AS gaps, CAST(sum(span) + 450 * (count(*) - 1) AS BIGINT) AS total_ms, CAST(0 AS BIGINT) AS excess FROM t GROUP BY 1",
 }

@@ -9,7 +9,7 @@ from cuebeam.functions import names, text, time
 from cuebeam.operators import cues as cue_ops
 from cuebeam.operators import mentions, words
 from cuebeam.plans.binding import (
-    CLIPS_SQL, CUES_SQL, MENTIONS_SQL, SENTENCES_SQL, WORDS_SQL, conversation_cues, conversation_words, event_mentions, part_clips, sql_norm, sql_tokens, table,
+    CLIPS_SQL, CUES_SQL, MENTIONS_SQL, SENTENCES_SQL, WORDS_SQL, conversation_cues, conversation_words, event_mentions, part_clips, sql_norm, sql_tokens, sql_weight, table,
 )
 
 
@@ -95,20 +95,13 @@ def phonetic_match(spark: SparkSession, d: str) -> DataFrame:
     return codes.filter("primary <> ''").groupBy("primary").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
 
 
-def _common_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent longer words of the conversations and the most frequent pairs of words, as phrases of every job."""
-    w = conversation_words(spark, d)
-    nxt = F.lead("norm").over(Window.partitionBy("job_id").orderBy("word_index"))
-    one = w.filter("length(norm) >= 3").groupBy(F.array("norm").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
-    two = w.withColumn("nxt", nxt).filter("norm <> '' and nxt <> ''").groupBy(F.array("norm", "nxt").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
-    top = lambda df: df.orderBy(F.desc("n"), "tokens").limit(20).select("tokens")
-    phrases = top(one).unionByName(top(two)).withColumn("phrase_id", F.array_join("tokens", " "))
-    return phrases
-
-
 def exact_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """All places in a conversation of the longer words, and of the pairs of words, that its first cue has."""
     w = conversation_words(spark, d)
-    phrases = w.select("job_id").distinct().join(F.broadcast(_common_phrases(spark, d)))
+    first = w.filter("cue_index = 0").withColumn("nxt", F.lead("norm").over(Window.partitionBy("job_id").orderBy("word_index")))
+    one = first.filter("length(norm) >= 3").select("job_id", F.array("norm").alias("tokens"))
+    two = first.filter("norm <> '' and nxt <> ''").select("job_id", F.array("norm", "nxt").alias("tokens"))
+    phrases = one.unionByName(two).distinct().withColumn("phrase_id", F.array_join("tokens", " "))
     hits = mentions.phrase_hits(phrases, w, fuzzy=False)
     best = hits.groupBy("job_id", "word_index").agg(F.max_by(F.struct("phrase_id", "word_count"), F.struct("word_count", "phrase_id")).alias("b"))
     return best.select("job_id", "word_index", "b.phrase_id", F.col("b.word_count").cast("long").alias("word_count"))
@@ -195,10 +188,17 @@ for _p, _b in (("<[^>]*>", ""), (r"\{{[^}}]*\}}", ""), ("(?i)&nbsp;", " "), ("(?
 _CLEAN = f"trim({_CLEAN})"
 
 _STAMP = "printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000)"
+_COMMA = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 _BUDGET = "CASE WHEN greatest(length(a.t), length(b.t)) <= 4 THEN 0 WHEN greatest(length(a.t), length(b.t)) <= 6 THEN 1 WHEN greatest(length(a.t), length(b.t)) <= 10 THEN 2 ELSE 3 END"
 _REFERS = " OR ".join(f"regexp_matches(text, '{p}')" for p in text.REFERS_BACK)
 _CONNECTOR = _in(text.CONNECTORS)
 
+_EXACT = f"""{WORDS_SQL}, two AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words),
+    opening AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words WHERE cue_index = 0),
+    p1 AS (SELECT DISTINCT job_id, norm FROM opening WHERE length(norm) >= 3), p2 AS (SELECT DISTINCT job_id, norm, nxt FROM opening WHERE norm <> '' AND nxt <> ''),
+    hits AS (SELECT job_id, word_index, norm AS phrase_id, 1 AS word_count FROM words JOIN p1 USING (job_id, norm) UNION ALL SELECT job_id, word_index, norm || ' ' || nxt, 2 FROM two JOIN p2 USING (job_id, norm, nxt)),
+    exact AS (SELECT job_id, word_index, arg_max(phrase_id, word_count) AS phrase_id, CAST(max(word_count) AS BIGINT) AS word_count FROM hits GROUP BY 1, 2)"""
+
 ORACLE = {
     "word_timeline": f"WITH {WORDS_SQL} SELECT * FROM words",
     "tokenize_words": f"SELECT {sql_norm('raw')} AS norm, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM documents) GROUP BY 1",
@@ -225,11 +225,19 @@ ORACLE = {
     "edit_budget_blocked_pairs": f"""WITH t AS (SELECT DISTINCT {sql_norm('raw')} AS t FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM benchmark)), w AS (SELECT * FROM t WHERE t <> ''),
         p AS (SELECT a.t AS a, b.t AS b, CAST({_BUDGET} AS BIGINT) AS budget FROM w a JOIN w b ON substr(a.t, 1, 1) = substr(b.t, 1, 1) WHERE a.t < b.t AND abs(length(a.t) - length(b.t)) <= 3)
         SELECT a, b, budget FROM p WHERE budget > 0 AND levenshtein(a, b) <= 2 * budget""",
-    "exact_mentions": f"""WITH {WORDS_SQL}, two AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt, lead(word_index) OVER (PARTITION BY job_id ORDER BY word_index) AS ni FROM words),
-        p1 AS (SELECT norm AS p FROM words WHERE length(norm) >= 3 GROUP BY 1 ORDER BY count(*) DESC, norm LIMIT 20),
-        p2 AS (SELECT norm || ' ' || nxt AS p FROM two WHERE norm <> '' AND nxt <> '' GROUP BY norm, nxt ORDER BY count(*) DESC, norm, nxt LIMIT 20),
-        hits AS (SELECT job_id, word_index, norm AS phrase_id, 1 AS word_count FROM words WHERE norm IN (SELECT p FROM p1) UNION ALL SELECT job_id, word_index, norm || ' ' || nxt, 2 FROM two WHERE norm || ' ' || nxt IN (SELECT p FROM p2) AND norm <> '' AND nxt <> '')
-        SELECT job_id, word_index, arg_max(phrase_id, word_count) AS phrase_id, CAST(max(word_count) AS BIGINT) AS word_count FROM hits GROUP BY 1, 2""",
+    "exact_mentions": f"WITH {_EXACT} SELECT * FROM exact",
+    "greedy_mentions": f"""WITH RECURSIVE {_EXACT}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY word_index) AS k FROM exact),
+        walk AS (SELECT *, word_index + word_count AS free, true AS taken FROM n WHERE k = 1
+            UNION ALL SELECT n.*, CASE WHEN n.word_index >= free THEN n.word_index + n.word_count ELSE free END, n.word_index >= free FROM walk JOIN n ON n.job_id = walk.job_id AND n.k = walk.k + 1)
+        SELECT job_id, word_index, phrase_id, word_count FROM walk WHERE taken""",
+    "document_words": f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, {sql_tokens('text')} AS toks FROM documents), u AS (SELECT job_id, len(toks) * 10000 // 29 AS span, unnest(toks) AS raw, unnest(range(len(toks))) AS pos FROM t),
+        w AS (SELECT *, {sql_weight('raw')} AS w FROM u), s AS (SELECT *, sum(w) OVER (PARTITION BY job_id ORDER BY pos) AS upto, sum(w) OVER (PARTITION BY job_id) AS whole FROM w),
+        x AS (SELECT job_id, (2 * (upto - w) * span + whole) // (2 * whole) AS a, (2 * upto * span + whole) // (2 * whole) AS b FROM s)
+        SELECT job_id, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(max(greatest(b, a + 1)) AS BIGINT) AS last_ms FROM x GROUP BY 1""",
+    "strip_transcript": rf"""WITH {CUES_SQL}, f AS (SELECT job_id, string_agg((cue_index + 1) || chr(10) || {_COMMA.format('start_ms')} || ' --> ' || {_COMMA.format('(start_ms + span)')} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_index) AS t FROM cues GROUP BY 1)
+        SELECT job_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d+\r?\n', '', 'g'), '[\d:,]+ --> [\d:,.]+', '', 'g'), '<[^>]+>', '', 'g'), 'WEBVTT.*\n', '', 'g'), '\n{{2,}}', ' ', 'g')) AS text FROM f""",
+    "even_word_timing": rf"""WITH {CUES_SQL}, w AS (SELECT job_id, start_ms / 1000.0 AS a, (start_ms + span) / 1000.0 AS b, len(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(text, '<[^>]+>', '', 'g')), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS n FROM cues)
+        SELECT job_id, CAST(sum(n) AS BIGINT) AS n, CAST(round(min(a), 6) AS DOUBLE) AS first, CAST(round(max(a + n * ((b - a) / n)), 3) AS DOUBLE) AS last FROM w WHERE n > 0 GROUP BY 1""",
     "variant_mode": """WITH c AS (SELECT lang AS entity_id, source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2)
         SELECT entity_id, CAST(sum(n) AS BIGINT) AS mention_count, first(source ORDER BY n DESC, f) AS mode, max(n) AS n, string_agg(source, ',' ORDER BY n DESC, f) AS ranked FROM c GROUP BY 1""",
     "clause_lookback": f"""WITH {WORDS_SQL}, h AS (SELECT *, CASE WHEN regexp_matches(raw, '[,;:—–-]$') THEN word_index + 1 WHEN norm IN ({_CONNECTOR}) THEN word_index END AS here FROM words)

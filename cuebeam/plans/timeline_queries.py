@@ -136,8 +136,8 @@ def settings_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def register_new(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order, as files that are not registered yet."""
-    known = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    """Customers without an urgent order, as files that are not registered yet."""
+    known = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
     found = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_name")
     return jobs.register_new(known, found)
 
@@ -185,7 +185,7 @@ ORACLE = {
     "log_ring": "WITH r AS (SELECT o_custkey AS job_id, o_orderdate AS logged_at, o_orderkey AS entry, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT job_id, logged_at, entry FROM r WHERE rn <= 5",
     "status_counts": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
     "part_chunks": f"WITH {RUNS_SQL}, c AS (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1) // 40 AS chunk FROM tiles) SELECT job_id, chunk, count(*) AS n, min(ord) AS first FROM c GROUP BY 1, 2",
-    "contiguity_check": "SELECT CAST(0 AS BIGINT) AS broken",
+    "contiguity_check": f"WITH {RUNS_SQL}, n AS (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, ord) AS before FROM tiles) SELECT count(*) FILTER (start_ms <> before) AS broken FROM n",
     "settings_merge": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey * 100 AS BIGINT) ELSE 600 END AS min_named_ms, CASE WHEN c_custkey % 5 = 0 THEN 3000 ELSE 2000 END AS min_broll_ms FROM customer",
-    "register_new": "SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "register_new": "SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 }
