@@ -109,6 +109,15 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
         self.columns = T.StructType.fromDDL(schema).names
+        self._mend()
+
+    def _mend(self) -> None:
+        """Bring back the table that a crash in the middle of a swap left aside."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        own, aside = (jvm.org.apache.hadoop.fs.Path(self.path + end) for end in ("", ".before"))
+        fs = own.getFileSystem(conf)
+        if fs.exists(aside) and not fs.exists(own):
+            fs.rename(aside, own)
 
     def select(self, order_by: str | None = None, descending: bool = False, **equal) -> DataFrame:
         rows = self.spark.read.schema(self.schema).parquet(self.path)
@@ -123,9 +132,13 @@ class Table:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         old, new = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(self.path + ".next")
         fs = old.getFileSystem(conf)
+        aside = jvm.org.apache.hadoop.fs.Path(self.path + ".before")
         rows.write.mode("overwrite").parquet(str(new))
-        fs.delete(old, True)
+        # at every moment a whole table lies under one of the names; _mend() finds it after a crash
+        fs.delete(aside, True)
+        fs.rename(old, aside)
         fs.rename(new, old)
+        fs.delete(aside, True)
         self.spark.catalog.refreshByPath(self.path)
 
     def delete(self, **equal) -> None:
