@@ -31,6 +31,8 @@ LEAST_GROUPS, GROUPS_PER_ROOT = 1 << 16, 2
 BLOCK = 8_000_000
 #: Bytes of text for each bucket at most, on average.
 BUCKET = 6_000_000
+#: Bytes of a text that is hashed in one go; a word beyond it is known by a digest.
+LONGEST = 2_000_000
 #: Strength parameters of the restaurants and of their parent.
 STRENGTH, PARENT_STRENGTH = 1.0, 10.0
 #: Customers of a dish that are seated one at a time; later ones in runs that grow with what is seated.
@@ -44,7 +46,7 @@ _END = 0x5851F42D4C957F2D
 def _tables():
     import numpy as np
 
-    n = 1 << 22
+    n = 1 << 21
     byte = np.random.default_rng(17).integers(1, _M >> 1, 256, dtype=np.uint64)
     grow = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
     space = np.zeros(256, bool)
@@ -83,13 +85,13 @@ def word_hashes(texts: list[bytes]):
         counts.append(np.bincount(owner, minlength=len(run)) + 1)
 
     for t in texts:
-        if size and size + len(t) > 2_000_000:
+        if size and size + len(t) > 1_000_000:
             take()
             run, size = [], 0
-        if len(t) > 4_000_000:  # longer than the tables: word by word groups
+        if len(t) > LONGEST:  # longer than the tables: word by word groups
             parts, words = [], t.split()
             for k in range(0, len(words), 20_000):
-                more, _ = word_hashes([b" ".join(words[k : k + 20_000])]) if sum(map(len, words[k : k + 20_000])) < 3_900_000 else _long(words[k : k + 20_000])
+                more, _ = word_hashes([b" ".join(words[k : k + 20_000])]) if sum(map(len, words[k : k + 20_000])) < LONGEST - 100_000 else _long(words[k : k + 20_000])
                 parts.append(more[:-1])
             if run:
                 take()
@@ -114,7 +116,7 @@ def _long(words: list[bytes]):
     out = np.empty(len(words) + 1, np.uint64)
     out[-1] = _END
     for k, w in enumerate(words):
-        out[k] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little") if len(w) > 1_000_000 else word_hashes([w])[0][0]
+        out[k] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little") if len(w) > LONGEST else word_hashes([w])[0][0]
     return out, None
 
 

@@ -362,3 +362,12 @@ def test_seating():
 def test_word_hashes():
     h, n = pitman_yor.word_hashes([b"a b  a", b"", b" b\n"])
     assert n.tolist() == [4, 1, 2] and h[0] == h[2] and h[1] == h[5] and h[3] == h[4] == h[6] and len(set(h.tolist())) == 3
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    rng = random.Random(5)
+    words = [b"w%d" % rng.randrange(300) for _ in range(3000)] + [b"x" * 700, b"y" * 2500]
+    whole, n = pitman_yor.word_hashes([b" ".join(words), b"w1"])
+    monkeypatch.setattr(pitman_yor, "LONGEST", 110_000)
+    again, m = pitman_yor.word_hashes([b" ".join(words * 12), b"w1"])
+    assert m.tolist() == [12 * len(words) + 1, 2] and again[: len(words)].tolist() == whole[: len(words)].tolist() and n.tolist() == [len(words) + 1, 2]
