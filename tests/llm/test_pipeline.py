@@ -52,6 +52,16 @@ def test_nulls_and_clashing_columns(spark):
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_quality_stage_keeps_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "77.0 score", "5 predicted").limit(60)
+    odd = spark.createDataFrame([(None, None, 77.0, 5), (9001, "", 77.0, 5), (9001, "", 77.0, 5)], "doc_id long, text string, score double, predicted int")
+    kept = corpus_pipeline.quality_stage(spark, docs.selectExpr("doc_id", "text", "double(score) score", "predicted").unionByName(odd), SF)
+    rows = kept.collect()
+    assert kept.columns == ["doc_id", "text", "score", "predicted"] and all((r["score"], r["predicted"]) == (77.0, 5) for r in rows) and len(rows) > 20
+    assert len([r for r in rows if not r["text"]]) in (0, 3)
+    assert corpus_pipeline.quality_stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_one_row_of_each_group_stays(spark):
     t = [" ".join(random.Random(k).choices("the of a river stone quiet".split(), k=40)) for k in range(4)]
     rows = [(1, t[0]), (1, t[0]), (2, t[0]), (2, t[1]), (None, t[2]), (None, t[2]), (None, t[0]), (None, t[3])]

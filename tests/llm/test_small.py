@@ -86,6 +86,19 @@ def test_pack(make):
     assert packing.sequences(packing.pack(make(["a b"] * 9), 64)).count() == 1
 
 
+def test_packing_ends_where_nothing_fits(make, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_ITEMS", 20)
+    tried = []
+    plain = packing._pack_round
+    monkeypatch.setattr(packing, "_pack_round", lambda items, *a: tried.append(items.count()) or plain(items, *a))
+    rows = packing.pack(make(["word " * 40] * 200, parts=8), 64, fan_in=2).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) == 200 and tried == [200]
+    tried.clear()
+    rows = packing.pack(make(["word " * 40] * 200 + ["word " * 2], parts=8), 64, fan_in=2).collect()
+    assert len({r["sequence_id"] for r in rows}) == 200 and len(rows) == 201 and len(tried) <= 4
+    assert all(r["offset"] in (0, 41) for r in rows)
+
+
 def test_best_fit_fills():
     bins = packing.best_fit([7, 5, 5, 3, 3, 2, 2, 2, 1], 10)
     assert sorted(i for b in bins for i in b) == list(range(9)) and len(bins) == 3
@@ -134,3 +147,52 @@ def test_quality(spark, make):
     assert len(blank) == 1
     assert quality.score(make([]), model).count() == 0
     assert quality.train(docs, labels.limit(0)).bias == 0.0
+
+
+def mix(h, *, shift, by):
+    return ((h ^ (h >> shift)) * by) % 2**64
+
+
+def forward(text, model):
+    """The score of one text, feature by feature in whole numbers."""
+    mul, big = quality._MIX, 2**64
+    weight = [float(x) for x in model.weights]
+
+    def word(w):
+        chars = [((ord(c) + 1) * 0xD6E8FEB86659FD93) % big for c in f"<{w}>"]
+        chars = [c ^ (c >> 29) for c in chars]
+        features = []
+        for n in quality.GRAMS:
+            for k in range(len(chars) - n + 1):
+                h = n
+                for c in chars[k : k + n]:
+                    h = ((h ^ c) * mul) % big
+                    h ^= h >> 31
+                features.append(h >> (64 - quality.BITS))
+        whole = sum(c * pow(mul | 1, k + 1, big) for k, c in enumerate(chars)) * mul % big
+        whole ^= whole >> 29
+        features.append((whole * mul % big) >> (64 - quality.BITS))
+        return sum(weight[f] for f in features) / len(features), whole
+
+    def pair(a, b):
+        h = ((a * 0xC2B2AE3D27D4EB4F % big) ^ b) * mul % big
+        h ^= h >> 31
+        return weight[quality.PAIRS + ((h * mul % big) >> (64 - quality.PAIR_BITS))]
+
+    words = (text or "").split()
+    if not words:
+        return 1 / (1 + np.exp(-model.bias))
+    known = [word(w) for w in words]
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    total = sum(k[0] for k in known) + sum(pair(a[1], b[1]) for a, b in zip(known, known[1:])) + again * weight[quality.AGAIN]
+    return 1 / (1 + np.exp(-model.bias - total / (2 * len(words) - 1 + again)))
+
+
+def test_scores_by_hand(make):
+    rng = np.random.default_rng(8)
+    model = quality.Model(rng.normal(size=quality.FEATURES).astype(np.float32) * 4, 0.3)
+    docs = make(ODD, extra=True)
+    got = {r["doc_id"]: r["__s"] for r in quality.score(docs, model, names=("__s", "__p")).collect()}
+    assert [got[k] for k in range(len(ODD))] == pytest.approx([forward(t, model) for t in ODD], abs=1e-5)
+    at, w = quality.document("one two two")
+    assert w.sum() == pytest.approx(1) and quality.AGAIN in at and not len(quality.document(" ")[0])
