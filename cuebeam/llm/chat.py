@@ -24,8 +24,8 @@ SYSTEM, USER, ASSISTANT, OTHER = range(4)
 STATES = 4
 #: Names of roles that mean one of the three.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-#: Turn numbers of a stretch.
-STRETCH = 4096
+#: Turns of a stretch, and bytes of text after which it ends.
+STRETCH, STRETCH_BYTES = 4096, 1 << 23
 NEVER = 1 << 40
 
 
@@ -116,28 +116,65 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>\n"
 
 
+def stretches(turns: DataFrame) -> DataFrame:
+    """conv_id, part and turns (turn, code, text, in order) of each stretch; parts of a conversation ascend.
+
+    Rows are sorted over all tasks by range, so that a conversation of any size, or many rows of one turn, lies in as
+    many tasks as it fills; each task cuts what it has into stretches.
+    """
+    name = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    for alias, role in ALIASES.items():
+        name = F.when(name == alias, role).otherwise(name)
+    code = F.lit(OTHER)
+    for k, role in enumerate(ROLES):
+        code = F.when(name == role, k).otherwise(code)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # repeated rows may be dealt to several tasks: the tie keeps them apart, and any order of them gives the same chat
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), code.alias("code"), text.alias("text"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("tie"))
+    order = ["conv_id", "turn", "code", "mark", "tie"]
+    longest, most_bytes = STRETCH, STRETCH_BYTES
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 40
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            conv = b.column(0)
+            ids, none = pc.fill_null(conv, 0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+            filled = np.cumsum(pc.binary_length(b.column(3)).to_numpy().astype(np.int64)) // most_bytes
+            new = np.ones(n, bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (none[1:] != none[:-1]) | (filled[1:] != filled[:-1])
+            since = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            start = np.flatnonzero(since % longest == 0)
+            rows = pa.StructArray.from_arrays([b.column(k) for k in (1, 2, 3)], names=["turn", "code", "text"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[start, n], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([conv.take(pa.array(start)), pa.array(part + np.arange(len(start))), lists], names=["conv_id", "part", "turns"])
+            part += len(start)
+
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(cut, "conv_id long, part long, turns array<struct<turn: long, code: int, text: string>>")
+
+
 def repair(turns: DataFrame, costs: Costs | None = None) -> DataFrame:
     """conv_id, message, role, first_turn, n_turns, text and rendered of each message of the repaired chats.
 
     turns: conv_id, turn, role, text. Roles are read in any case, known aliases included; null and strange
     roles may become any at a small cost. Null text is empty. Merged turns are joined by a line end; an
-    inserted message has no text, no first turn and n_turns 0. Turns of one number are ordered by role and text, repeated
-    rows stay; a null turn comes first; null conversation ids form one conversation. An empty table gives no
+    inserted message has no text, no first turn and n_turns 0. Turns of one number are ordered by role and a hash of the
+    text, repeated rows stay; a null turn comes first; null conversation ids form one conversation. An empty table gives no
     rows; other columns play no part.
 
-    A task holds the texts of at most STRETCH turn numbers; of a longer conversation, only matrices meet.
+    A stretch has STRETCH turns at most and, but for its first text, STRETCH_BYTES; of a longer conversation, only
+    matrices meet.
     """
     costs = costs or Costs()
-    name = F.lower(F.trim(F.coalesce("role", F.lit(""))))
-    for alias, role in ALIASES.items():
-        name = F.when(name == alias, role).otherwise(name)
-    code = F.lit(OTHER)
-    for k, role in enumerate(ROLES):
-        code = F.when(name == role, k).otherwise(code)
-    turn = F.col("turn").cast("long")
-    one = F.struct(turn.alias("turn"), code.alias("code"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.floor(turn / STRETCH).cast("long"), F.lit(-(1 << 60))).alias("part"), one.alias("t"))
-    parts = stage(rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns")), "chat-parts")
+    parts = stage(stretches(turns), "chat-parts")
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,18 +200,17 @@ def repair(turns: DataFrame, costs: Costs | None = None) -> DataFrame:
                 q = min(range(STATES), key=lambda q: (best[q] + ends(costs)[q][0], q))
                 route = []
                 for part, how in zip(reversed(found), reversed(come), strict=True):
-                    route.append((conv, part["part"], how[q], q, len(found)))
+                    route.append((conv, part["part"], how[q], q, int(part is found[-1])))
                     q = how[q]
                 for r in route:
                     for col, v in zip(cols, r, strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["conv_id", "part", "start", "end", "parts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["conv_id", "part", "start", "end", "is_last"])
 
-    whole = measured.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("found"), F.max("part").alias("last"))
-    routes = whole.select("conv_id", "found").mapInArrow(route, "conv_id long, part long, start long, end long, parts long")
-    last = F.col("p.part") == F.col("w.last")
-    placed = parts.alias("p").join(routes.alias("r"), F.col("p.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("p.part") == F.col("r.part"))).join(whole.select("conv_id", "last").alias("w"), F.col("p.conv_id").eqNullSafe(F.col("w.conv_id")))
-    placed = placed.select("p.conv_id", "p.part", "r.start", "r.end", last.alias("is_last"), "p.turns")
+    whole = measured.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("found"))
+    routes = whole.mapInArrow(route, "conv_id long, part long, start long, end long, is_last long")
+    placed = parts.alias("p").join(routes.alias("r"), F.col("p.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("p.part") == F.col("r.part")))
+    placed = placed.select("p.conv_id", "p.part", "r.start", "r.end", "r.is_last", "p.turns")
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -78,3 +78,27 @@ def test_repair(spark, monkeypatch, stretch):
     assert by[102, 0]["role"] == "user" and (102, 1) not in by  # another role costs less than an empty message
     assert by[101, 0]["rendered"] == "<|user|>\nz\n<|end|>\n"
     assert chat.repair(df.limit(0)).count() == 0
+
+
+def test_one_conversation_of_most_rows(spark, monkeypatch):
+    """Rows without an id and a turn lie in many stretches, bounded in turns and bytes, and make one chat."""
+    monkeypatch.setattr(chat, "STRETCH", 64)
+    monkeypatch.setattr(chat, "STRETCH_BYTES", 500)
+    rng = random.Random(5)
+    rows = [(None, None if k % 3 else 7, rng.choice(["user", "assistant", "tool", None]), "x" * rng.randint(0, 40)) for k in range(3000)]
+    rows += [(k, 0, "user", "y") for k in range(50)] + [(1, 1, "assistant", "z" * 2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    parts = chat.stretches(df).collect()
+    assert all(len(p["turns"]) <= 64 and sum(len(t["text"]) for t in p["turns"][1:]) <= 500 for p in parts)
+    assert sum(p["conv_id"] is None for p in parts) > 3000 // 64
+    by_part = sorted((p for p in parts if p["conv_id"] is None), key=lambda p: p["part"])
+    turns = [t for p in by_part for t in p["turns"]]
+    order = [(t["turn"] is not None, t["code"]) for t in turns]
+    assert order == sorted(order) and len(turns) == 3000
+    got = sorted((r for r in chat.repair(df).collect() if r["conv_id"] is None), key=lambda r: r["message"])
+    assert [r["message"] for r in got] == list(range(len(got)))
+    assert sum(r["n_turns"] for r in got) == 3000
+    assert sum(len(r["text"].replace("\n", "")) for r in got) == sum(len(r[3]) for r in rows[:3000])
+    names = [r["role"] for r in got]
+    body = names[1:] if names[0] == "system" else names
+    assert body == ["user", "assistant"] * (len(body) // 2) + ["user"] * (len(body) % 2)
