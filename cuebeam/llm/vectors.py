@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from cuebeam.llm.common import stage
 from cuebeam.llm.components import components
 
-#: Candidates and queries that meet in one task of the search.
-CHUNK_ROWS, QUERY_ROWS = 32768, 1024
+#: Candidates and queries that meet in one task of the search. Each candidate is copied once for each block of queries
+#: and each query once for each chunk of candidates, so for a given task the copies are fewest where both are equal.
+CHUNK_ROWS, QUERY_ROWS = 8192, 8192
 #: Vectors of a pivot list that are compared with each other, or with as many others, in one task.
 SLICE_ROWS = 512
 
