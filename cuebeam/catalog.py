@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuebeam.plans import plan_queries, text_queries, timeline_queries
+from cuebeam.plans import library_queries, plan_queries, text_queries, timeline_queries
 
-_MODULES = (text_queries, timeline_queries, plan_queries)
+_MODULES = (text_queries, timeline_queries, plan_queries, library_queries)
 
 
 def queries() -> dict:
