@@ -44,7 +44,9 @@ def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enforce_floors(spark: SparkSession, d: str) -> DataFrame:
-    return segments.enforce_floors(_as_segments(spark, d), segments.SegmentOptions(min_named_ms=10_000, min_broll_ms=20_000, max_duration_ms=60_000))
+    # a second for six minutes: events of a user lie hours apart
+    scaled = _as_segments(spark, d).withColumns({c: F.floor(F.col(c) / 360).cast("long") for c in ("start_ms", "end_ms")})
+    return segments.enforce_floors(scaled, segments.SegmentOptions(min_named_ms=10_000, min_broll_ms=20_000, max_duration_ms=60_000))
 
 
 def stabbing_join(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +163,16 @@ ORACLE = {
     "ceiling_split": f"""WITH {RUNS_SQL}, p AS (SELECT *, end_ms - start_ms AS len, CASE WHEN end_ms - start_ms > 86400000 * 1.25 THEN CAST(ceil((end_ms - start_ms) / 86400000.0) AS BIGINT) ELSE 1 END AS parts FROM tiles),
         q AS (SELECT *, unnest(range(parts)) AS part FROM p)
         SELECT job_id, ord, part, start_ms + CAST(floor(CAST(len * part AS DOUBLE) / parts + 0.5) AS BIGINT) AS start_ms, CASE WHEN part = parts - 1 THEN end_ms ELSE start_ms + CAST(floor(CAST(len * (part + 1) AS DOUBLE) / parts + 0.5) AS BIGINT) END AS end_ms FROM q""",
+    "enforce_floors": f"""WITH RECURSIVE {MENTIONS_SQL}, s AS (SELECT * REPLACE (start_ms // 360 AS start_ms), lead(event_mentions.start_ms) OVER (PARTITION BY job_id ORDER BY ord) // 360 AS end_ms FROM event_mentions),
+        walk AS (SELECT job_id, 1 AS i, list({{'a': start_ms, 'b': end_ms, 'f': ord, 't': ord + 1, 'e': entity_id, 'x': CAST(event_id AS VARCHAR)}} ORDER BY ord) AS r FROM s WHERE end_ms IS NOT NULL GROUP BY job_id
+            UNION ALL SELECT job_id, CASE WHEN k IS NULL THEN i + 1 ELSE greatest(1, least(i, k) - 1) END,
+                CASE WHEN k IS NULL THEN r ELSE list_concat(r[1:least(i, k) - 1], [{{'a': r[least(i, k)].a, 'b': r[greatest(i, k)].b, 'f': r[least(i, k)].f, 't': r[greatest(i, k)].t, 'e': r[k].e, 'x': trim(r[least(i, k)].x || ' ' || r[greatest(i, k)].x)}}], r[greatest(i, k) + 1:]) END
+            FROM (SELECT *, CASE WHEN r[i].b - r[i].a >= CASE WHEN r[i].e IS NULL THEN 20000 ELSE 10000 END THEN NULL
+                WHEN i > 1 AND r[i - 1].e IS NOT DISTINCT FROM r[i].e THEN i - 1 WHEN i < len(r) AND r[i + 1].e IS NOT DISTINCT FROM r[i].e THEN i + 1
+                WHEN i > 1 AND (r[i].e IS NULL OR r[i - 1].e IS NULL) AND NOT (i < len(r) AND (r[i].e IS NULL OR r[i + 1].e IS NULL) AND r[i + 1].b - r[i + 1].a < r[i - 1].b - r[i - 1].a) THEN i - 1
+                WHEN i < len(r) AND (r[i].e IS NULL OR r[i + 1].e IS NULL) THEN i + 1 END AS k FROM walk WHERE i <= len(r) AND len(r) > 1)),
+        u AS (SELECT job_id, unnest(r) AS q, unnest(range(len(r))) AS seg_index FROM walk WHERE i > len(r) OR len(r) = 1)
+        SELECT job_id, seg_index, q.f AS from_word, q.t AS to_word, CAST(q.a AS BIGINT) AS start_ms, CAST(q.b AS BIGINT) AS end_ms, q.e AS entity_id, q.x AS text FROM u""",
     "merge_adjacent": f"""WITH {MENTIONS_SQL}, s AS (SELECT *, lead(start_ms) OVER o AS end_ms, lag(entity_id) OVER o AS b, row_number() OVER o AS rn FROM event_mentions WINDOW o AS (PARTITION BY job_id ORDER BY ord)),
         r AS (SELECT *, sum(CASE WHEN rn = 1 OR b IS DISTINCT FROM entity_id THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ord) AS run FROM s WHERE end_ms IS NOT NULL)
         SELECT job_id, min(ord) AS from_word, max(ord) + 1 AS to_word, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(end_ms) - min(start_ms) AS duration_ms, any_value(entity_id) AS entity_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY ord) AS text FROM r GROUP BY job_id, run""",
