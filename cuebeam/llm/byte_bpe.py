@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from cuebeam.llm.tokens import CACHE_CHARS, CACHE_ENTRIES, tokenizer, tokenizer_
 LEAF_CHARS = 2048
 #: Ids on either side of a seam that are encoded again at first; doubled until both sides agree.
 FIRST_WINDOW = 4
+#: Threads of a task that encode the leaves of one match, while it lasts.
+THREADS = 4
 
 #: Unicode's White_Space, as the tokenizer's pattern has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -65,7 +68,12 @@ class ByteBpe:
         while len(text) / n > self.leaf:
             n *= 2
         cuts = [len(text) * k // n for k in range(n + 1)]
-        level = [e.ids for e in self.lib.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)]
+        leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        # the library holds no interpreter lock while it encodes, so the parts go on at the same time
+        parts = min(n, THREADS)
+        with ThreadPoolExecutor(parts) as pool:
+            encoded = pool.map(lambda k: self.lib.encode_batch(leaves[n * k // parts : n * (k + 1) // parts], add_special_tokens=False), range(parts))
+            level = [e.ids for part in encoded for e in part]
         while len(level) > 1:
             level = [self._join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
         return level[0]
