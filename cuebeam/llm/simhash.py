@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebeam.llm.common import claim, drop, stage
+from cuebeam.llm.common import carried, claim, drop, restored, stage
 from cuebeam.llm.components import components
 
 BYTES = 8
@@ -474,15 +474,15 @@ def left_apart(posts: DataFrame, lanes: list[str], wide: DataFrame, texts: DataF
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of each row that stays as it is."""
-    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    """row (a number of each row that stays as it is), doc_id, text and others (all other columns) of docs."""
+    return stage(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
 
 
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """__row, doc_id, first (row number) and component_id of each row, by links at Jaccard similarity >= similarity of shingle sets.
+    """row, doc_id, first (row number) and component_id of each row, by links at Jaccard similarity >= similarity of shingle sets.
 
-    docs has a __row that stays as it is. The first row of all that are linked is that of the smallest doc_id, nulls
-    last, and of these of the least __row; its id is component_id. Texts with one set are one node. Texts without words
+    docs has a row number, row, that stays as it is. The first row of all that are linked is that of the smallest doc_id, nulls
+    last, and of these of the least row; its id is component_id. Texts with one set are one node. Texts without words
     are alike; a row with neither an id nor words has no row here.
 
     All links are met: two such sets share a shingle of their prefixes, and each prefix is posted whole. Pairs are
@@ -491,7 +491,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     and parity bits allow. Every pair is verified on the texts' own sets.
     """
     lanes = [f"l{k}" for k in range(LANES)]
-    whole = docs.select(F.col("__row").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(F.col("row").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = whole.select("id", "text")
     raw = stage(signatures(texts, shingle), "simhash-sets")
     counts = _counts(raw)
@@ -518,7 +518,14 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     ranked = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = ranked.groupBy("label").agg(F.min("rank").alias("least"))
     of_class = stage(ranked.join(least, "label").select("same", "size", *lanes, F.col("least.id").alias("first"), F.col("least.doc_id").alias("component_id")), "simhash-classes")
-    return signed.join(of_class, ["same", "size", *lanes]).select(F.col("id").alias("__row"), "doc_id", "first", "component_id")
+    return signed.join(of_class, ["same", "size", *lanes]).select(F.col("id").alias("row"), "doc_id", "first", "component_id")
+
+
+def first_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of linked rows the first, all columns as they are; rows with neither id nor words stay. See similar_rows."""
+    rows = numbered(docs)
+    gone = similar_rows(rows, shingle, similarity).filter("row <> first").select("row")
+    return restored(rows.join(gone, "row", "left_anti"), docs.columns, "doc_id", "text")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -526,4 +533,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     return similar_rows(numbered(docs.select("doc_id", "text")), shingle, similarity).select("doc_id", "component_id")
 
 
-__all__ = ["fingerprints", "links", "near_duplicates", "numbered", "similar_groups", "similar_rows", "spanning_links"]
+__all__ = ["fingerprints", "first_rows", "links", "near_duplicates", "numbered", "similar_groups", "similar_rows", "spanning_links"]

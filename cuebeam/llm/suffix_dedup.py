@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuebeam.llm.common import claim, drop, holds, stage
+from cuebeam.llm.common import carried, claim, drop, holds, restored, stage
 
 GRAM = 32
 #: Bytes that are scanned at once; a longer text is scanned in overlapping parts.
@@ -492,7 +492,7 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs with the text that is left. Where a cut splits a character, its remaining bytes go too."""
+    """docs with the text that is left, and all other columns as they are. Where a cut splits a character, its remaining bytes go too."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -502,8 +502,8 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
             texts = [t.as_py() if not spans else kept_bytes(t.as_py().encode("utf-8"), spans)[0].decode("utf-8", "ignore") for t, spans in zip(batch.column(k), batch.column(s).to_pylist(), strict=True)]
             yield batch.set_column(k, "text", pa.array(texts, pa.string())).remove_column(s)
 
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    return with_spans(rows, length).mapInArrow(run, T.StructType(rows.schema.fields))
+    rows = carried(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    return restored(with_spans(rows, length).mapInArrow(run, T.StructType(rows.schema.fields)), docs.columns, "doc_id", "text")
 
 
 __all__ = ["common_prefixes", "contexts", "deduplicate", "digests", "drop", "equal_windows", "kept_bytes", "merged", "repeated_spans", "suffix_array", "with_spans"]

@@ -62,6 +62,23 @@ def test_quality_stage_keeps_columns(spark):
     assert corpus_pipeline.quality_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_columns_named_like_inner_ones(spark):
+    """Columns of any name come out as they went in."""
+    names = ["__score", "__accepted", "__row", "row", "first", "__doc", "__tie", "__spans", "spans", "doc", "tie", "others", "Score", "predicted", "id", "label", "a.b", "c`d"]
+    words = "the of a river stone quiet walk under old bridge".split()
+    rows = [(k, " ".join(random.Random(k % 6).choices(words, k=60)), *[float(k)] * len(names)) for k in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for name, step in corpus_pipeline.STAGES[:3]:
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert all(set(r[2:]) == {float(r["doc_id"])} for r in kept), name
+        if name == "SimHash near-dedup":
+            assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 5]
+        elif name == "suffix-array dedup":
+            assert len(kept) == 12 and [r["text"] for r in kept if r["doc_id"] > 5] == [""] * 6
+
+
 def test_one_row_of_each_group_stays(spark):
     t = [" ".join(random.Random(k).choices("the of a river stone quiet".split(), k=40)) for k in range(4)]
     rows = [(1, t[0]), (1, t[0]), (2, t[0]), (2, t[1]), (None, t[2]), (None, t[2]), (None, t[0]), (None, t[3])]
