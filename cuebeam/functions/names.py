@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -295,10 +296,10 @@ def _stem(x: str) -> str:
 
 
 @lru_cache(maxsize=500_000)
-def similarity(a: str, b: str) -> tuple[bool, float, str]:
+def similarity(a: str, b: str, phonetic: bool = True) -> tuple[bool, float, str]:
     """(match, score, reason) of two name tokens; a is the known name, b what was heard.
 
-    Equal; equal without a plural or possessive; within the edit budget of the longer one; or sounding
+    Equal; equal without a plural or possessive; within the edit budget of the longer one; or, if phonetic, sounding
     alike and nearly within it. First letters must agree.
     """
     x, y = a.lower(), b.lower()
@@ -315,11 +316,42 @@ def similarity(a: str, b: str) -> tuple[bool, float, str]:
     distance = osa_distance(x, y)
     if distance <= budget:
         return True, 1 - distance / (longer + 1), "edit"
-    if len(x) >= 4 and distance <= budget + 2 and sounds_alike(x, y):
+    if phonetic and len(x) >= 4 and distance <= budget + 2 and sounds_alike(x, y):
         return True, 0.72, "phonetic"
     return False, 0.0, "none"
 
 
+#: Letters after the first of which a key may leave out some. Of longer tokens the others play no part in keys, so
+#: that a token has at most 64 of them; texts within an edit distance have beginnings that share a key (see token_keys).
+KEY_LETTERS = 7
+
+
+def edit_depth(length: int) -> int:
+    """The largest edit budget that a token of this length may have with another, which is longer by no more than it."""
+    return max(edit_budget(n) for n in range(length, length + 4) if n - length <= edit_budget(n))
+
+
+@lru_cache(maxsize=500_000)
+def token_keys(token: str, phonetic: bool = True) -> tuple[str, ...]:
+    """Keys of a token: any two tokens that similarity() matches, but for equal ones, share one.
+
+    Tokens within d edits become equal when each leaves out at most d letters, a swap of neighbours too. So do their
+    beginnings: the one that keeps more letters of what they share leaves out its last ones instead, and
+    the counts stay within d. First letters agree, so they are never left out. Other keys are the token
+    without a plural or possessive, and its sounds.
+    """
+    x = token.lower()
+    if not x:
+        return ()
+    tail, keys = x[1 : 1 + KEY_LETTERS], {"~" + _stem(x)}
+    if depth := edit_depth(len(x)):
+        for out in range(min(depth, len(tail)) + 1):
+            keys.update(x[0] + "".join(kept) for kept in combinations(tail, len(tail) - out))
+    if phonetic:
+        keys.update(f"#{x[0]}{code}" for code in double_metaphone(x) if code)
+    return tuple(sorted(keys))
+
+
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -329,8 +361,8 @@ def _metaphone(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([double_metaphone(x or "") for x in s], columns=["primary", "alternate"])
 
 
-def _similar(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["match", "score", "reason"])
+def _similar(a: pd.Series, b: pd.Series, phonetic: bool = True) -> pd.DataFrame:
+    return pd.DataFrame([similarity(x or "", y or "", phonetic) for x, y in zip(a, b, strict=True)], columns=["match", "score", "reason"])
 
 
 _CODES = T.StructType([T.StructField("primary", T.StringType()), T.StructField("alternate", T.StringType())])
@@ -348,13 +380,20 @@ def double_metaphone_udf(word: Column) -> Column:
     return F.pandas_udf(run, _CODES)(word)
 
 
-def similarity_udf(known: Column, heard: Column) -> Column:
+def similarity_udf(known: Column, heard: Column, phonetic: bool = True) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return _similar(a, b)
+        return _similar(a, b, phonetic)
 
     return F.pandas_udf(run, _RESULT)(known, heard)
 
 
+def token_keys_udf(token: Column, phonetic: bool = True) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([list(token_keys(x or "", phonetic)) for x in s], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(token)
+
+
 def register(spark: SparkSession) -> None:
     """osa_distance, double_metaphone and name_similarity for SQL."""
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions.names import similarity, similarity_udf
+from cuebeam.functions.names import similarity, similarity_udf, token_keys_udf
 from cuebeam.functions.text import COMMON_WORDS, filename_tokens, guess_kind, normalize_word, slug, title_case, tokens
 
 #: Tokens of a known name under this length must be heard exactly.
@@ -24,32 +24,40 @@ def clip_readings(clips: DataFrame) -> DataFrame:
     return clips.select("job_id", "clip_ord", "clip_id", "filename", tagged.alias("tagged"), F.when(tagged, of_tags).otherwise(F.array(filename_tokens(F.col("filename")))).alias("readings"))
 
 
-def token_pairs(known: DataFrame, heard: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(job_id, known, heard, score): tokens that name the same, each distinct pair compared once.
+def token_candidates(known: DataFrame, heard: DataFrame, phonetic: bool = True) -> DataFrame:
+    """(job_id, known, heard) of different tokens that may be similar: those that share a key and nearly a length.
 
-    Pairs meet on job and first letter; equal ones never reach the comparison, nor those whose
-    lengths forbid a match.
+    Tokens of a job are posted under their keys (see token_keys), so candidates come from an equi-join. Of what is
+    heard, only tokens that begin like a known one are posted.
     """
-    letter = lambda c: F.substring(c, 1, 1)
-    left = known.filter("known <> ''").distinct().withColumn("letter", letter("known"))
-    right = heard.filter("heard <> ''").distinct().withColumn("letter", letter("heard"))
-    met = left.join(right, ["job_id", "letter"]).drop("letter")
-    equal = met.filter("known = heard").select("job_id", "known", "heard", F.lit(1.0).alias("score"))
+    letter = F.substring("token", 1, 1).alias("letter")
+    posted = lambda df: df.withColumn("key", F.explode(token_keys_udf(F.col("token"), phonetic)))
+    left = known.select("job_id", F.col("known").alias("token")).filter(F.length("token") >= FUZZY_FROM).distinct()
+    right = heard.select("job_id", F.col("heard").alias("token")).filter("token <> ''").distinct().withColumn("letter", letter)
+    right = right.join(left.select("job_id", letter).distinct(), ["job_id", "letter"], "left_semi").drop("letter")
+    met = posted(left).withColumnRenamed("token", "known").join(posted(right).withColumnRenamed("token", "heard"), ["job_id", "key"])
+    return met.filter("known <> heard and abs(length(known) - length(heard)) <= 3").select("job_id", "known", "heard").distinct()
+
+
+def token_pairs(known: DataFrame, heard: DataFrame, fuzzy: bool = True, phonetic: bool = True) -> DataFrame:
+    """(job_id, known, heard, score): tokens that name the same, each distinct pair of candidates compared once."""
+    left, right = known.filter("known <> ''").distinct(), heard.filter("heard <> ''").distinct()
+    equal = left.join(right, (left["job_id"] == right["job_id"]) & (F.col("known") == F.col("heard"))).select(left["job_id"], "known", "heard", F.lit(1.0).alias("score"))
     if not fuzzy:
         return equal
-    likely = met.filter(f"known <> heard and length(known) >= {FUZZY_FROM} and abs(length(known) - length(heard)) <= 3")
-    compared = likely.select("known", "heard").distinct().withColumn("s", similarity_udf(F.col("known"), F.col("heard"))).filter("s.match")
-    fuzzy = likely.join(compared.select("known", "heard", F.col("s.score").alias("score")), ["known", "heard"]).select("job_id", "known", "heard", "score")
-    return equal.unionByName(fuzzy)
+    likely = token_candidates(left, right, phonetic)
+    compared = likely.select("known", "heard").distinct().withColumn("s", similarity_udf(F.col("known"), F.col("heard"), phonetic)).filter("s.match")
+    alike = likely.join(compared.select("known", "heard", F.col("s.score").alias("score")), ["known", "heard"]).select("job_id", "known", "heard", "score")
+    return equal.unionByName(alike)
 
 
-def phrase_hits(phrases: DataFrame, words: DataFrame, fuzzy: bool = True) -> DataFrame:
+def phrase_hits(phrases: DataFrame, words: DataFrame, fuzzy: bool = True, phonetic: bool = True) -> DataFrame:
     """Every place where a phrase (job_id, phrase_id, tokens) is spoken: word_index, word_count and confidence.
 
     Each token of a phrase meets the words it may be; a place counts when all tokens meet in a row there.
     """
     parts = phrases.filter(F.size("tokens") > 0).select("job_id", "phrase_id", F.size("tokens").alias("word_count"), F.posexplode("tokens").alias("k", "known"))
-    pairs = token_pairs(parts.select("job_id", "known"), words.select("job_id", F.col("norm").alias("heard")), fuzzy)
+    pairs = token_pairs(parts.select("job_id", "known"), words.select("job_id", F.col("norm").alias("heard")), fuzzy, phonetic)
     met = parts.join(pairs, ["job_id", "known"]).join(words.select("job_id", "word_index", F.col("norm").alias("heard")), ["job_id", "heard"])
     starts = met.groupBy("job_id", "phrase_id", "word_count", (F.col("word_index") - F.col("k")).alias("word_index")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("confidence"))
     return starts.filter("n = word_count").drop("n")
@@ -175,7 +183,7 @@ def greedy_spans(spans: DataFrame, partition: list[str], start: str = "word_inde
     return spans.join(taken, [*partition, start], "left_semi")
 
 
-def find_mentions(words: DataFrame, entities: DataFrame) -> DataFrame:
+def find_mentions(words: DataFrame, entities: DataFrame, phonetic: bool = True) -> DataFrame:
     """entity_id, word_index, word_count, start_ms, end_ms, confidence, surface and corrected of each mention.
 
     At a word the longest alias wins, then the surest, then the first by entity and alias; mentions
@@ -183,7 +191,7 @@ def find_mentions(words: DataFrame, entities: DataFrame) -> DataFrame:
     """
     names = entities.select("job_id", "entity_ord", "entity_id", "canonical", F.posexplode("aliases").alias("alias_ord", "alias"))
     phrases = names.withColumns({"phrase_id": F.struct("entity_ord", "alias_ord", "entity_id", "canonical"), "tokens": tokens(F.col("alias"))})
-    hits = phrase_hits(phrases.select("job_id", "phrase_id", "tokens"), words)
+    hits = phrase_hits(phrases.select("job_id", "phrase_id", "tokens"), words, phonetic=phonetic)
     rank = F.struct("word_count", "confidence", (-F.col("phrase_id.entity_ord")).alias("e"), (-F.col("phrase_id.alias_ord")).alias("a"))
     best = hits.groupBy("job_id", "word_index").agg(F.max_by(F.struct("word_count", "confidence", "phrase_id"), rank).alias("b")).select("job_id", "word_index", "b.word_count", "b.confidence", "b.phrase_id.*")
     chosen = greedy_spans(best, ["job_id"])
@@ -222,4 +230,4 @@ def bind_clips(clips: DataFrame, entities: DataFrame) -> DataFrame:
     return clips.drop("entity_ids").join(last, ["job_id", "clip_id"], "left").withColumn("entity_ids", F.when(F.col("e").isNull(), F.array().cast("array<string>")).otherwise(F.array("e"))).drop("e")
 
 
-__all__ = ["bind_clips", "build_cast", "clip_readings", "expand_aliases", "find_mentions", "greedy_spans", "observe", "phrase_hits", "surface_variants", "token_pairs"]
+__all__ = ["bind_clips", "build_cast", "clip_readings", "expand_aliases", "find_mentions", "greedy_spans", "observe", "phrase_hits", "surface_variants", "token_candidates", "token_pairs"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuebeam.functions import names, text, time
 from cuebeam.operators import cues as cue_ops
 from cuebeam.operators import mentions, words
+from cuebeam.staging import stage
 from cuebeam.plans.binding import (
     CLIPS_SQL, CUES_SQL, MENTIONS_SQL, SENTENCES_SQL, WORDS_SQL, conversation_cues, conversation_words, event_mentions, part_clips, sql_norm, sql_tokens, sql_weight, table,
 )
@@ -107,6 +108,35 @@ def exact_mentions(spark: SparkSession, d: str) -> DataFrame:
     return best.select("job_id", "word_index", "b.phrase_id", F.col("b.word_count").cast("long").alias("word_count"))
 
 
+def similar_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of conversations that may stand for a word of the benchmark, by spelling, with their scores."""
+    known = _benchmark_tokens(spark, d).select(F.lit("all").alias("job_id"), F.col("t").alias("known"))
+    heard = table(spark, d, "conversations").select(F.explode(text.tokens(F.col("text"))).alias("t")).select(F.lit("all").alias("job_id"), text.normalize_word(F.col("t")).alias("heard"))
+    return mentions.token_pairs(known, heard, phonetic=False).filter("known <> heard").select("known", "heard", "score")
+
+
+def _misspelt_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words of conversations, and as the cast of each the longer words of its first cue, two letters of each swapped, alone and with the next word."""
+    w = stage(conversation_words(spark, d), "misspelt-words")
+    by = Window.partitionBy("job_id").orderBy("word_index")
+    first = w.filter("cue_index = 0").withColumn("nxt", F.lead("norm").over(by)).filter("length(norm) >= 6")
+    once = first.withColumn("k", F.row_number().over(Window.partitionBy("job_id", "norm").orderBy("word_index"))).filter("k = 1")
+    name = F.concat(F.substring("norm", 1, 2), F.substring("norm", 4, 1), F.substring("norm", 3, 1), F.expr("substring(norm, 5)"))
+    pair = F.when(F.coalesce("nxt", F.lit("")) != "", F.concat(name, F.lit(" "), "nxt"))
+    ord_ = (F.row_number().over(by) - 1).cast("long")
+    return w, once.select("job_id", ord_.alias("entity_ord"), F.concat(F.lit("e"), ord_).alias("entity_id"), name.alias("canonical"), F.array_compact(F.array(pair, name)).alias("aliases"))
+
+
+def fuzzy_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Where a misspelt cast is mentioned, by spelling alone."""
+    return mentions.find_mentions(*_misspelt_names(spark, d), phonetic=False).withColumn("confidence", F.round("confidence", 9))
+
+
+def phonetic_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The same by spelling and sound."""
+    return mentions.find_mentions(*_misspelt_names(spark, d))
+
+
 def greedy_mentions(spark: SparkSession, d: str) -> DataFrame:
     return mentions.greedy_spans(exact_mentions(spark, d), ["job_id"])
 
@@ -177,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_words, document_words, clean_markup, parse_timestamp, format_units, srt_roundtrip, cue_repair_overlap, sentence_islands, filename_tokens, stopword_antijoin,
-        slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
+        slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, similar_tokens, fuzzy_mentions, phonetic_mentions, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
         nearest_onset, warning_dedupe, longest_term_match, clip_tags, highlight_names, strip_transcript, line_token_counts, even_word_timing,
     )
 } | {"word_timeline": conversation_words}
@@ -199,7 +229,39 @@ _EXACT = f"""{WORDS_SQL}, two AS (SELECT *, lead(norm) OVER (PARTITION BY job_id
     hits AS (SELECT job_id, word_index, norm AS phrase_id, 1 AS word_count FROM words JOIN p1 USING (job_id, norm) UNION ALL SELECT job_id, word_index, norm || ' ' || nxt, 2 FROM two JOIN p2 USING (job_id, norm, nxt)),
     exact AS (SELECT job_id, word_index, arg_max(phrase_id, word_count) AS phrase_id, CAST(max(word_count) AS BIGINT) AS word_count FROM hits GROUP BY 1, 2)"""
 
+_OSA = """list_reduce(list_transform(range(1, length(known) + 1), lambda i: [i]),
+        lambda acc, e: list_concat(acc[length(heard) + 2 : 2 * length(heard) + 2], list_reduce(list_transform(range(1, length(heard) + 1), lambda j: [j]),
+            lambda r, f: list_append(r, least(acc[length(heard) + 2 + f[1]] + 1, r[-1] + 1, acc[length(heard) + 1 + f[1]] + CAST(known[e[1]] <> heard[f[1]] AS BIGINT),
+                CASE WHEN e[1] > 1 AND f[1] > 1 AND known[e[1]] = heard[f[1] - 1] AND known[e[1] - 1] = heard[f[1]] THEN acc[f[1] - 1] + 1 ELSE 999 END)), [e[1]])),
+        list_concat(range(0, length(heard) + 1), range(0, length(heard) + 1)))[-1]"""
+_STEM = "regexp_replace(regexp_replace({0}, '(''s|s'')$', ''), 's$', '')"
+#: Of pairs (known, heard): near (score), all that match by spelling but are not equal.
+_NEAR = f"""sized AS (SELECT known, heard, greatest(length(known), length(heard)) AS n, {_STEM.format('known')} = {_STEM.format('heard')} AS same FROM pairs
+        WHERE known <> heard AND length(known) >= 4 AND length(heard) > 0 AND known[1] = heard[1] AND abs(length(known) - length(heard)) <= 3),
+    budgeted AS (SELECT *, CASE WHEN n <= 4 THEN 0 WHEN n <= 6 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS budget FROM sized),
+    measured AS (SELECT known, heard, n, same, budget, {_OSA} AS d FROM budgeted WHERE same OR (budget > 0 AND levenshtein(known, heard) <= 2 * budget)),
+    near AS (SELECT known, heard, CASE WHEN same THEN 0.98 ELSE 1 - d / CAST(n + 1 AS DOUBLE) END AS score FROM measured WHERE same OR (budget > 0 AND d <= budget))"""
+
 ORACLE = {
+    "similar_tokens": f"""WITH k AS (SELECT DISTINCT {sql_norm('raw')} AS known FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM benchmark)), h AS (SELECT DISTINCT {sql_norm('raw')} AS heard FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM conversations)),
+        pairs AS (SELECT known, heard FROM k JOIN h ON known[1] = heard[1]), {_NEAR} SELECT known, heard, score FROM near""",
+    "fuzzy_mentions": rf"""WITH RECURSIVE {WORDS_SQL}, opening AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words WHERE cue_index = 0),
+        once AS (SELECT *, norm[1:2] || norm[4] || norm[3] || norm[5:] AS name FROM opening WHERE length(norm) >= 6 QUALIFY row_number() OVER (PARTITION BY job_id, norm ORDER BY word_index) = 1),
+        cast_of AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY word_index) - 1 AS entity_ord, name, nxt FROM once),
+        aliases AS (SELECT job_id, entity_ord, name, 0 AS alias_ord, name AS t1, nxt AS t2, 2 AS word_count FROM cast_of WHERE nxt <> '' UNION ALL SELECT job_id, entity_ord, name, 1, name, NULL, 1 FROM cast_of),
+        follow AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words),
+        pairs AS (SELECT DISTINCT known, heard FROM (SELECT DISTINCT job_id, t1 AS known FROM aliases UNION SELECT DISTINCT job_id, t2 FROM aliases WHERE t2 IS NOT NULL) JOIN (SELECT DISTINCT job_id, norm AS heard FROM words) USING (job_id) WHERE known[1] = heard[1]),
+        {_NEAR}, alike AS (SELECT known, heard, score FROM near UNION ALL SELECT known, heard, 1.0 FROM pairs WHERE known = heard),
+        one AS (SELECT a.job_id, word_index, entity_ord, alias_ord, name, word_count, score, t2, f.nxt FROM aliases a JOIN alike ON known = t1 JOIN follow f ON f.job_id = a.job_id AND f.norm = heard),
+        hits AS (SELECT job_id, word_index, entity_ord, alias_ord, name, 1 AS word_count, score FROM one WHERE t2 IS NULL
+            UNION ALL SELECT job_id, word_index, entity_ord, alias_ord, name, 2, least(one.score, alike.score) FROM one JOIN alike ON known = t2 AND heard = nxt),
+        best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY job_id, word_index ORDER BY word_count DESC, score DESC, entity_ord, alias_ord) = 1),
+        n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY word_index) AS k FROM best),
+        walk AS (SELECT *, word_index + word_count AS free, true AS taken FROM n WHERE k = 1
+            UNION ALL SELECT n.*, CASE WHEN n.word_index >= free THEN n.word_index + n.word_count ELSE free END, n.word_index >= free FROM walk JOIN n ON n.job_id = walk.job_id AND n.k = walk.k + 1)
+        SELECT m.job_id, 'e' || entity_ord AS entity_id, m.word_index, m.word_count, min(w.start_ms) AS start_ms, arg_max(w.end_ms, w.word_index) AS end_ms, round(any_value(score), 9) AS confidence,
+            string_agg(regexp_replace(regexp_replace(raw, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}'']+$', ''), ' ' ORDER BY w.word_index) AS surface, any_value(score) < 1 OR bool_or(norm <> name) AS corrected
+        FROM walk m JOIN words w ON w.job_id = m.job_id AND w.word_index BETWEEN m.word_index AND m.word_index + m.word_count - 1 WHERE taken GROUP BY m.job_id, entity_ord, m.word_index, m.word_count""",
     "word_timeline": f"WITH {WORDS_SQL} SELECT * FROM words",
     "tokenize_words": f"SELECT {sql_norm('raw')} AS norm, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM documents) GROUP BY 1",
     "clean_markup": f"SELECT page_id, {_CLEAN.format('html')} AS text FROM pages",
