@@ -1,21 +1,23 @@
 """From mentions to segments that tile a timeline.
 
-What looks at neighbours only is a window over rows; what depends on all that went before (cut
-places, floors, splits on word onsets) walks one job's rows in order.
+Everything is joins and windows over stretches of a timeline (see stretches), so that no task holds a whole one. Only
+floors are walked in order, over runs of segments between bounds that no merge can move.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from math import ceil, floor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions.text import CONNECTORS
+from cuebeam.functions.text import CONNECTORS, ends_sentence, refers_back
 from cuebeam.functions.time import half_up
+from cuebeam.operators import stretches
+from cuebeam.operators.stretches import carry, numbered, with_neighbours
+from cuebeam.operators.words import nearest_onset
+from cuebeam.staging import stage
 
 
 @dataclass(frozen=True)
@@ -61,12 +63,14 @@ def collapse_runs(rows: DataFrame, partition: list[str], order: list[str | Colum
 
 def merge_adjacent(segments: DataFrame) -> DataFrame:
     """Runs of segments of one entity that follow each other word for word, as one; the first gives source, confidence and trigger."""
-    w = Window.partitionBy("job_id").orderBy("from_word")
-    new = ~(F.lag(F.struct("entity_id")).over(w)["entity_id"].eqNullSafe(F.col("entity_id")) & (F.lag("to_word").over(w) == F.col("from_word")))
-    rows = segments.withColumn("_run", F.sum(F.coalesce(new | F.lag("to_word").over(w).isNull(), F.lit(True)).cast("int")).over(w))
+    job = ["job_id"]
+    rows = carry(segments, job, "from_word", {"_was": ("before", F.struct("entity_id", "to_word"))})
+    goes_on = F.col("_was").isNotNull() & F.col("_was.entity_id").eqNullSafe(F.col("entity_id")) & (F.col("_was.to_word") == F.col("from_word"))
+    rows = carry(rows, job, "from_word", {"_run": ("last", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("from_word")))})
     firsts = [F.min_by(c, "from_word").alias(c) for c in ("entity_id", "source", "confidence", "trigger_surface")]
     text = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from_word", "text"))), lambda t: t["text"]), " "))
-    return rows.groupBy("job_id", "_run").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), *firsts, text.alias("text")).drop("_run").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+    texts = [text.alias("text")] if "text" in segments.columns else []
+    return rows.groupBy("job_id", "_run").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), *firsts, *texts).drop("_run").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
 
 
 def tile(rows: DataFrame, partition: list[str], total: Column, start: str = "start_ms") -> DataFrame:
@@ -100,25 +104,7 @@ def stabbing_join(points: DataFrame, tiles: DataFrame, partition: list[str], at:
     return found.select("_p.*", *[F.col(f"_s.{c}").alias(f"tile_{c}") for c in kept])
 
 
-# walks over one job
-
-
-def place_cuts(raw: list[str], norm: list[str], at: list[int], reach: int = 5) -> list[int]:
-    """A cut for each mention, in order: at the clause that holds it, after the cut before."""
-    cuts: list[int] = []
-    free = 0
-    for m in at:
-        cut = m
-        for i in range(m - 1, max(free, m - reach) - 1, -1):
-            if raw[i][-1:] in tuple(",;:—–-") and raw[i]:
-                cut = i + 1
-                break
-            if norm[i] in CONNECTORS:
-                cut = i
-                break
-        cuts.append(max(free, cut))
-        free = cuts[-1] + 1
-    return cuts
+# floors
 
 
 def enforce_floors_rows(rows: list[dict], min_named: int, min_broll: int) -> list[dict]:
@@ -145,136 +131,186 @@ def enforce_floors_rows(rows: list[dict], min_named: int, min_broll: int) -> lis
         k = same[0] if same else min(free, key=lambda k: (length(out[k]), k))
         into = out[k]
         a, b = (into, seg) if k < i else (seg, into)
-        text = f"{a['text']} {b['text']}".strip()
-        into |= {"start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "from_word": min(a["from_word"], b["from_word"]), "to_word": max(a["to_word"], b["to_word"]), "text": text}
+        text = {"text": f"{a['text']} {b['text']}".strip()} if "text" in seg else {}
+        into |= {"start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "from_word": min(a["from_word"], b["from_word"]), "to_word": max(a["to_word"], b["to_word"])} | text
         del out[i]
         i = max(0, min(i, k) - 1)  # a neighbour that found no target may have one now
     return out
 
 
-def _round(x: float) -> int:
-    return floor(x + 0.5)
-
-
-class _Words:
-    def __init__(self, w: pd.DataFrame):
-        self.raw, self.norm, self.start, self.end = (w[c].tolist() for c in ("raw", "norm", "start_ms", "end_ms"))
-
-    def segment(self, a: int, b: int, entity, source, confidence, trigger) -> dict:
-        return {"start_ms": self.start[a], "end_ms": self.end[b - 1], "entity_id": entity, "source": source, "confidence": confidence, "text": " ".join(self.raw[a:b]), "from_word": a, "to_word": b, "trigger_surface": trigger}
-
-
-def _hold_end(w: _Words, a: int, b: int, said_until: int, options: SegmentOptions) -> int:
-    """Where in words [a, b) the narration stops referring to who was named."""
-    import re
-
-    from cuebeam.functions.text import REFERS_BACK
-
-    if not options.carry_forward:
-        return a + 1
-    ends = re.compile("[.!?][\"')\\]]?$")
-    initial = re.compile("^[A-Za-z]\\.$")
-    starts = [i for i in range(a + 1, b) if ends.search(w.raw[i - 1]) and not initial.search(w.raw[i - 1])]
-    for s, e in zip(starts, [*starts[1:], b], strict=False):
-        text = " ".join(w.raw[s:e])
-        if w.start[s] - said_until > options.carry_forward_ms or not any(re.search(p, text) for p in REFERS_BACK):
-            return s
-    return b
-
-
-def _split_on_onsets(w: _Words, seg: dict, most: int) -> list[dict]:
-    length, a, b = seg["end_ms"] - seg["start_ms"], seg["from_word"], seg["to_word"]
-    if length <= most or b - a < 4:
-        return [seg]
-    parts, out = ceil(length / most), []
-    for p in range(parts):
-        if a >= b:
-            break
-        to = b
-        if p < parts - 1:
-            target = seg["start_ms"] + length / parts * (p + 1)
-            lo = min(a + 1, b)
-            k = bisect_left(w.start, target, lo, b)
-            near = [x for x in (k - 1, k) if lo <= x < b]
-            to = min(near, key=lambda x: (abs(w.start[x] - target), x)) if near else lo
-            to = bisect_left(w.start, w.start[to], lo, b) if near else to  # the first of equal onsets
-        out.append(w.segment(a, max(a + 1, min(to, b)), seg["entity_id"], seg["source"], seg["confidence"], seg["trigger_surface"] if p == 0 else None))
-        a = out[-1]["to_word"]
-    return out
+def enforce_floors(segments: DataFrame, options: SegmentOptions | None = None) -> DataFrame:
+    """Segments (job_id, from_word, to_word, start_ms, end_ms, entity_id, ..) merged until none is under its floor that can be helped.
 
+    A segment that meets its floor is never merged into another, and takes in only what lies between it and the
+    next such one. So the bound between two neighbours that both meet theirs stays, and nothing on one side tells on the other:
+    runs between such bounds are walked each for itself, one after the other, in tasks dealt by run. All other columns are those of the segment
+    that takes the others in, but for text, which is joined.
+    """
+    o, job = options or SegmentOptions(), ["job_id"]
+    length = F.col("end_ms") - F.col("start_ms")
+    met = length >= F.when(F.col("entity_id").isNotNull(), o.min_named_ms).otherwise(o.min_broll_ms)
+    rows = carry(segments.withColumn("_met", met), job, "from_word", {"_before": ("before", F.col("_met"))})
+    begins = F.col("_before").isNull() | (F.col("_met") & F.col("_before"))
+    rows = carry(rows, job, "from_word", {"_run": ("last", F.when(begins, F.col("from_word")))}).drop("_met", "_before")
+    schema = segments.schema
 
-def segment_job(words: pd.DataFrame, mentions: pd.DataFrame, total: int, options: SegmentOptions) -> list[dict]:
-    """All steps for one job; words and mentions in order."""
-    whole = {"start_ms": 0, "end_ms": total, "entity_id": None, "source": "broll", "confidence": 0.0, "text": "", "from_word": 0, "to_word": 0, "trigger_surface": None}
-    if not len(words):
-        return [whole | {"seg_index": 0, "duration_ms": total}] if total > 0 else []
-    w, n = _Words(words), len(words)
-    changes = [m for m, b in zip(mentions.itertuples(), [None, *mentions["entity_id"]], strict=False) if m.entity_id != b]
-    rows: list[dict] = []
-    if not changes:
-        rows.append(w.segment(0, n, None, "broll", 0.0, None))
-    else:
-        cuts = place_cuts(w.raw, w.norm, [int(m.word_index) for m in changes])
-        if cuts[0] > 0:
-            rows.append(w.segment(0, cuts[0], None, "broll", 0.0, None))
-        for m, a, b in zip(changes, cuts, [*cuts[1:], n], strict=True):
-            if b <= a:
-                continue
-            hold = _hold_end(w, a, b, int(m.end_ms), options)
-            rows.append(w.segment(a, hold, m.entity_id, "named", float(m.confidence), m.surface))
-            if hold < b:
-                rows.append(w.segment(hold, b, None, "broll", 0.0, None))
-    merged: list[dict] = []
-    for r in rows:
-        if merged and merged[-1]["entity_id"] == r["entity_id"] and merged[-1]["to_word"] == r["from_word"]:
-            merged[-1] |= {"end_ms": r["end_ms"], "to_word": r["to_word"], "text": f"{merged[-1]['text']} {r['text']}".strip()}
-        else:
-            merged.append(r)
-    rows = enforce_floors_rows(merged, options.min_named_ms, options.min_broll_ms)
-    rows = [p for r in rows for p in _split_on_onsets(w, r, options.max_duration_ms)]
-    rows.sort(key=lambda r: r["start_ms"])
-    rows[0]["start_ms"] = 0
-    for a, b in zip(rows, rows[1:], strict=False):
-        a["end_ms"] = b["start_ms"]
-    rows[-1]["end_ms"] = max(total if total > 0 else rows[-1]["end_ms"], rows[-1]["start_ms"] + 1)
-    out: list[dict] = []
-    for r in rows:
-        length = r["end_ms"] - r["start_ms"]
-        parts = ceil(length / options.max_duration_ms) if length > options.max_duration_ms * 1.25 else 1
-        for p in range(parts):
-            end = r["end_ms"] if p == parts - 1 else r["start_ms"] + _round(length * (p + 1) / parts)
-            out.append(r | {"start_ms": r["start_ms"] + _round(length * p / parts), "end_ms": end} | ({"text": "", "trigger_surface": None} if p else {}))
-    return [r | {"seg_index": k, "duration_ms": r["end_ms"] - r["start_ms"]} for k, r in enumerate(out) if r["end_ms"] > r["start_ms"]]
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        out: list[dict] = []
+        held: list[dict] = []
 
-SEGMENTS = "job_id string, seg_index long, start_ms long, end_ms long, duration_ms long, entity_id string, source string, confidence double, text string, from_word long, to_word long, trigger_surface string"
-_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], kinds[f.name]) for f in schema.fields], names=schema.names)
 
+        for b in batches:
+            kinds = {f.name: f.type for f in b.schema}
+            for row in b.to_pylist():
+                if held and (held[0]["job_id"], held[0]["_run"]) != (row["job_id"], row["_run"]):
+                    out += enforce_floors_rows(held, o.min_named_ms, o.min_broll_ms) if len(held) > 1 else held
+                    held = []
+                    if len(out) >= 10_000:
+                        yield table()
+                        out = []
+                held.append(row)
+        if held:
+            out += enforce_floors_rows(held, o.min_named_ms, o.min_broll_ms)
+            yield table()
 
-def build_segments(words: DataFrame, mentions: DataFrame, totals: DataFrame, options: SegmentOptions | None = None) -> DataFrame:
-    """Segments of each job of totals (job_id, total_ms); jobs without words are one stretch of b-roll."""
-    options = options or SegmentOptions()
-    rows = words.select("job_id", F.lit(0).alias("kind"), "word_index", "raw", "norm", "start_ms", "end_ms", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("double").alias("confidence"))
-    found = mentions.select("job_id", F.lit(1).alias("kind"), "word_index", F.col("surface").alias("raw"), F.lit(None).cast("string").alias("norm"), "start_ms", "end_ms", "entity_id", "confidence")
-    ends = totals.select("job_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("word_index"), *[F.lit(None).cast("string").alias(c) for c in ("raw", "norm")], F.col("total_ms").alias("start_ms"), F.col("total_ms").alias("end_ms"), F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("double").alias("confidence"))
+    return rows.repartition("job_id", "_run").sortWithinPartitions("job_id", "_run", "from_word").mapInArrow(run, schema)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "word_index"], kind="stable")
-        total = pdf.loc[pdf["kind"] == 2, "start_ms"]
-        out = segment_job(pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1].rename(columns={"raw": "surface"}), int(total.iloc[0]) if len(total) and pd.notna(total.iloc[0]) else 0, options)
-        return pd.DataFrame([{"job_id": key[0], **r} for r in out], columns=_COLUMNS)
 
-    return rows.unionByName(found).unionByName(ends).groupBy("job_id").applyInPandas(run, SEGMENTS)
+# words of one job
 
 
-def enforce_floors(segments: DataFrame, options: SegmentOptions | None = None) -> DataFrame:
-    """Only the floors: segments (job_id, from_word, to_word, start_ms, end_ms, entity_id, text) merged until none can be."""
-    options = options or SegmentOptions()
-    columns = ["from_word", "to_word", "start_ms", "end_ms", "entity_id", "text"]
+def place_spans(words: DataFrame, mentions: DataFrame, reach: int = 5) -> DataFrame:
+    """from_word and to_word of what each change of entity covers, with its entity_id, confidence, trigger_surface and said_until; b-roll before the first.
+
+    A mention is cut at the clause that holds it, if that began at most `reach` words before and after the cut before;
+    else at itself. Which of the two depends on which of the two the cut before took. Most mentions settle it whatever
+    that was, and the others do as the one before: so the last mention that settles it decides.
+    """
+    job = ["job_id"]
+    heard = mentions.select("job_id", "word_index", "surface", F.col("end_ms").alias("said_until"), "entity_id", F.col("confidence").cast("double").alias("confidence"))
+    heard = carry(heard, job, "word_index", {"_was": ("before", F.struct("entity_id"))})
+    changes = heard.filter(~F.col("entity_id").eqNullSafe(F.col("_was.entity_id"))).drop("_was")
+    clause = F.when(F.regexp_like("raw", F.lit("[,;:—–-]$")), F.col("word_index") + 1).when(F.col("norm").isin(*CONNECTORS), F.col("word_index"))
+    clauses = words.select("job_id", F.col("word_index").alias("i"), clause.alias("c")).filter("c is not null")
+    before = changes.filter("word_index > 0").select("job_id", "word_index", F.explode(F.expr(f"sequence(greatest(0, word_index - {reach}), word_index - 1)")).alias("i"))
+    hits = before.join(clauses, ["job_id", "i"]).groupBy("job_id", "word_index").agg(F.max(F.struct("i", "c")).alias("hit"))
+    rows = stage(changes.join(hits, ["job_id", "word_index"], "left"), "changes")
+    rows = carry(rows, job, "word_index", {"_prev": ("before", F.struct("word_index", "hit"))})
+    free_late = F.coalesce(F.col("_prev.word_index") + 1, F.lit(0))  # where the cut before was at its mention
+    free_early = F.coalesce(F.col("_prev.hit.c") + 1, free_late)
+    settled = F.when(F.col("hit").isNull() | (free_early > F.col("hit.i")), "mention").when(free_late <= F.col("hit.i"), "clause")
+    rows = stage(carry(rows, job, "word_index", {"_at": ("last", settled)}), "settled")
+    rows = rows.withColumn("from_word", F.when(F.col("_at") == "clause", F.col("hit.c")).otherwise(F.col("word_index")).cast("long"))
+    rows = stage(carry(rows, job, "word_index", {"to_word": ("next", F.col("from_word"))}), "cuts")
+    ends = words.groupBy("job_id").agg((F.max("word_index") + 1).alias("n"))
+    named = rows.filter("to_word is not null").unionByName(rows.filter("to_word is null").drop("to_word").join(ends, job).withColumnRenamed("n", "to_word"))
+    named = named.select("job_id", "from_word", "to_word", "entity_id", "confidence", F.col("surface").alias("trigger_surface"), "said_until", F.lit("named").alias("source"))
+    first = rows.filter("_prev is null").select("job_id", F.col("from_word").alias("to_word"))
+    whole = ends.join(first.select("job_id"), job, "left_anti").select("job_id", F.col("n").alias("to_word"))
+    broll = first.unionByName(whole).filter("to_word > 0").select(
+        "job_id", F.lit(0).cast("long").alias("from_word"), "to_word", F.lit(None).cast("string").alias("entity_id"), F.lit(0.0).alias("confidence"),
+        F.lit(None).cast("string").alias("trigger_surface"), F.lit(None).cast("long").alias("said_until"), F.lit("broll").alias("source"),
+    )
+    return named.unionByName(broll)
+
+
+def hold_ends(words: DataFrame, spans: DataFrame, options: SegmentOptions) -> DataFrame:
+    """job_id, from_word and hold: where in a span (from_word, to_word, said_until) the narration stops referring to who was named; spans it holds to their end have no row.
+
+    Sentences begin with the span and behind each sentence's end. The first one ever after that comes too late, or
+    refers to nobody, ends it. What refers back has three words at most, so a word and the two before it tell.
+    """
+    at = spans.select("job_id", F.col("from_word").alias("word_index"), F.struct("from_word", "said_until").alias("_span"))
+    rows = with_neighbours(words, ["job_id"], "word_index", 2, {"_r1": ("raw", 1), "_r2": ("raw", 2)}).join(at, ["job_id", "word_index"], "left")
+    begins = F.col("_span").isNotNull() | ends_sentence(F.col("_r1"))
+    rows = carry(rows, ["job_id"], "word_index", {"_span": ("last", F.col("_span")), "_from": ("last", F.when(begins, F.col("word_index")))}).filter("_span is not null")
+    near = lambda k: F.when(F.col("word_index") - k >= F.col("_from"), F.col(f"_r{k}"))
+    refers = refers_back(F.concat_ws(" ", near(2), near(1), "raw"))
+    sentence = rows.groupBy("job_id", F.col("_span.from_word").alias("from_word"), "_from").agg(
+        F.max(refers).alias("refers"), F.max(F.when(F.col("word_index") == F.col("_from"), F.col("start_ms") - F.col("_span.said_until"))).alias("pause")
+    )
+    over = sentence.filter((F.col("_from") > F.col("from_word")) & ~(F.col("refers") & (F.col("pause") <= options.carry_forward_ms)))
+    return over.groupBy("job_id", "from_word").agg(F.min("_from").alias("hold"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{c: (None if c == "entity_id" and pd.isna(v) else v) for c, v in r.items()} for r in pdf.sort_values("from_word")[columns].to_dict("records")]
-        out = enforce_floors_rows(rows, options.min_named_ms, options.min_broll_ms)
-        return pd.DataFrame([(key[0], k, *[r[c] for c in columns]) for k, r in enumerate(out)], columns=["job_id", "seg_index", *columns])
 
-    return segments.groupBy("job_id").applyInPandas(run, "job_id string, seg_index long, from_word long, to_word long, start_ms long, end_ms long, entity_id string, text string")
+def split_on_onsets(segments: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """Segments longer than `most`, of four words at least, in equal parts that begin at the nearest word each.
+
+    A part begins at its word or, where the part before got that far, at the word behind the one that did: that is a running
+    maximum. Parts that find no word left are none. Only first parts keep a trigger; but for the last one's, ends are open.
+    """
+    length = F.col("end_ms") - F.col("start_ms")
+    long = (length > most) & (F.col("to_word") - F.col("from_word") >= 4)
+    parts = F.ceil(length / F.lit(most)).cast("long")
+    cut = segments.filter(long).withColumns({"_parts": parts, "_length": length}).withColumn("p", F.explode(F.expr("sequence(1L, _parts - 1)")))
+    aim = F.col("start_ms") + F.col("_length") / F.col("_parts") * F.col("p")
+    targets = cut.select("job_id", F.struct("from_word", "p").alias("target_id"), (F.col("from_word") + 1).alias("from_word"), "to_word", aim.alias("target_ms"))
+    near = stage(nearest_onset(words, targets).select("job_id", F.col("target_id.from_word").alias("_seg"), F.col("target_id.p").alias("p"), "word_index"), "onsets")
+    far = carry(near, ["job_id", "_seg"], "p", {"_far": ("max", F.col("word_index") - F.col("p"))})
+    begins = far.select("job_id", "_seg", (F.col("_far") + F.col("p")).alias("_begin"), "p")
+    found = segments.filter(long).withColumnRenamed("from_word", "_seg").join(begins, ["job_id", "_seg"]).filter("_begin < to_word")
+    found = found.join(words.select("job_id", F.col("word_index").alias("_begin"), F.col("start_ms").alias("_onset")), ["job_id", "_begin"])
+    later = found.select(*[F.col("_begin").alias(c) if c == "from_word" else F.col("_onset").alias(c) if c == "start_ms" else F.lit(None).cast("string").alias(c) if c == "trigger_surface" else F.col(c) for c in segments.columns])
+    every = carry(segments.unionByName(later), ["job_id"], "from_word", {"_next": ("next", F.col("from_word"))})
+    return every.withColumn("to_word", F.coalesce("_next", "to_word")).drop("_next")
+
+
+def segment_texts(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """job_id, from_word and text: the words from each segment's first to the next one's."""
+    at = segments.select("job_id", F.col("from_word").alias("word_index"), F.col("from_word").alias("_from"))
+    rows = carry(words.select("job_id", "word_index", "raw").join(at, ["job_id", "word_index"], "left"), ["job_id"], "word_index", {"_from": ("last", F.col("_from"))})
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_index", "raw"))), lambda w: w["raw"]), " ")
+    return rows.groupBy("job_id", F.col("_from").alias("from_word")).agg(text.alias("text"))
+
+
+SEGMENTS = "job_id string, seg_index long, start_ms long, end_ms long, duration_ms long, entity_id string, source string, confidence double, text string, from_word long, to_word long, trigger_surface string"
+_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
+def _tiled(parts: DataFrame, totals: DataFrame) -> DataFrame:
+    """parts without gaps, from 0 to the total (or the last end, if later than the last start)."""
+    last = 1 << 52  # later than all that starts, and a whole number in double precision
+    ends = totals.filter("total_ms > 0").groupBy("job_id").agg(F.max("total_ms").alias("_total"))
+    ends = ends.select("job_id", F.lit(last).alias("start_ms"), F.lit(last).alias("from_word"), "_total")
+    rows = parts.withColumn("_total", F.lit(None).cast("long")).unionByName(ends, allowMissingColumns=True)
+    ways = {"_next": ("next", F.struct("start_ms", "_total")), "_seen": ("before", F.lit(1))}
+    rows = carry(rows, ["job_id"], "start_ms", ways, ["from_word"], stretches.MS_STRETCH).filter("_total is null").drop("_total")
+    start = F.when(F.col("_seen").isNull(), F.lit(0).cast("long")).otherwise(F.col("start_ms"))
+    end = F.when(F.col("_next").isNotNull() & F.col("_next._total").isNull(), F.col("_next.start_ms")).otherwise(F.greatest(F.coalesce("_next._total", "end_ms"), start + 1))
+    return rows.withColumns({"start_ms": start, "end_ms": end}).drop("_next", "_seen")
+
+
+def build_segments(words: DataFrame, mentions: DataFrame, totals: DataFrame, options: SegmentOptions | None = None) -> DataFrame:
+    """Segments of each job of totals (job_id, total_ms); jobs without words are one stretch of b-roll.
+
+    words (word_index from 0 without holes, in order of time) are read several times, so they are best a written table.
+    """
+    o, job = options or SegmentOptions(), ["job_id"]
+    words = words.select("job_id", "word_index", "raw", "norm", "start_ms", "end_ms")
+    spans = stage(place_spans(words, mentions), "spans")
+    named = spans.filter("source = 'named'")
+    hold = hold_ends(words, named, o) if o.carry_forward else named.select("job_id", "from_word", (F.col("from_word") + 1).alias("hold"))
+    until = F.coalesce("hold", "to_word")
+    part = lambda a, b, *rest: F.struct(a.alias("from_word"), b.alias("to_word"), *[c.alias(n) for c, n in zip(rest, ("entity_id", "source", "confidence", "trigger_surface"), strict=True)])
+    none = F.lit(None).cast("string")
+    kept = part(F.col("from_word"), until, F.col("entity_id"), F.col("source"), F.col("confidence"), F.col("trigger_surface"))
+    rest = part(until, F.col("to_word"), none, F.lit("broll"), F.lit(0.0), none)
+    rows = spans.join(hold, ["job_id", "from_word"], "left").select("job_id", F.explode(F.array(kept, rest)).alias("s")).select("job_id", "s.*").filter("from_word < to_word")
+    rows = rows.join(words.select("job_id", F.col("word_index").alias("from_word"), "start_ms"), ["job_id", "from_word"])
+    rows = rows.join(words.select("job_id", (F.col("word_index") + 1).alias("to_word"), "end_ms"), ["job_id", "to_word"])
+    merged = stage(merge_adjacent(stage(rows, "held")).drop("duration_ms"), "merged")
+    floored = stage(enforce_floors(merged, o), "floored")
+    parts = stage(split_on_onsets(floored, words, o.max_duration_ms), "parts")
+    tiles = split_long(_tiled(parts, totals), o.max_duration_ms).join(segment_texts(parts, words), ["job_id", "from_word"])
+    first = F.col("part") == 0
+    tiles = tiles.withColumns({"text": F.when(first, F.col("text")).otherwise(""), "trigger_surface": F.when(first, F.col("trigger_surface"))})
+    silent = totals.filter("total_ms > 0").select("job_id", "total_ms").join(words.select("job_id").distinct(), job, "left_anti").select(
+        "job_id", F.lit(0).cast("long").alias("start_ms"), F.col("total_ms").cast("long").alias("end_ms"), none.alias("entity_id"), F.lit("broll").alias("source"), F.lit(0.0).alias("confidence"),
+        F.lit("").alias("text"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("to_word"), none.alias("trigger_surface"), F.lit(0).cast("long").alias("part"),
+    )
+    every = numbered(tiles.unionByName(silent), job, "start_ms", "seg_index", then=["from_word", "part"], stretch=stretches.MS_STRETCH)
+    return every.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")).filter("duration_ms > 0").select(*_COLUMNS)

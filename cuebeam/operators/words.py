@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuebeam.functions.text import count_words, ends_sentence, normalize_word, speech_weight, tokens
+from cuebeam.operators import stretches
+from cuebeam.operators.stretches import carry
 
 
 def utterance_cues(utterances: DataFrame, words_per_10_s: int = 29, gap_ms: int = 450) -> DataFrame:
@@ -63,10 +65,27 @@ def sentences(words: DataFrame) -> DataFrame:
 
 
 def nearest_onset(words: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (job_id, target_id, from_word, to_word, target_ms), the word in [from, to) whose onset is nearest; ties to the earlier."""
-    near = words.join(targets, "job_id").filter("word_index >= from_word and word_index < to_word")
-    delta = F.abs(F.col("start_ms") - F.col("target_ms"))
-    return near.groupBy("job_id", "target_id").agg(F.min_by("word_index", F.struct(delta, "word_index")).alias("word_index"))
+    """For each target (job_id, target_id, from_word, to_word, target_ms), the word in [from, to) whose onset is nearest; ties to the earlier.
+
+    Words of a job have numbers without holes, in order of time. A target takes the last onset up to its time and the
+    first one after it, from one pass over both in order of time, cut into stretches: no word meets a target.
+    """
+    bound = lambda name, at: words.select("job_id", (F.col("word_index") + at).alias(name), F.col("start_ms").alias(f"_{name}_ms"))
+    asked = targets.filter("from_word < to_word").join(bound("from_word", 0), ["job_id", "from_word"]).join(bound("to_word", 1), ["job_id", "to_word"], "left")
+    # outside its words' onsets a target is nearest to the first or last of them
+    at = F.least(F.greatest(F.col("target_ms"), "_from_word_ms"), "_to_word_ms").cast("double")
+    onsets = words.groupBy("job_id", "start_ms").agg(F.min("word_index").alias("word"))
+    word = F.struct(F.col("word").alias("word"), F.col("start_ms").cast("double").alias("ms"))
+    asks = F.struct("target_id", "from_word", "to_word", F.col("target_ms").cast("double").alias("ms"))
+    kind = {"_word": asked.sparkSession.createDataFrame([], "w struct<word:bigint,ms:double>").schema[0].dataType, "_asks": asked.select(asks).schema[0].dataType}
+    both = onsets.select("job_id", F.col("start_ms").cast("double").alias("_at"), F.lit(0).alias("_k"), word.alias("_word"), F.lit(None).cast(kind["_asks"]).alias("_asks")).unionByName(
+        asked.select("job_id", at.alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast(kind["_word"]).alias("_word"), asks.alias("_asks"))
+    )
+    met = carry(both, ["job_id"], "_at", {"_low": ("last", F.col("_word")), "_high": ("next", F.col("_word"))}, ["_k"], stretches.MS_STRETCH).filter("_k = 1")
+    low = F.greatest("_low.word", "_asks.from_word")
+    later = (F.col("_high.word") < F.col("_asks.to_word")) & (F.col("_low.word").isNull() | (F.col("_high.ms") - F.col("_asks.ms") < F.col("_asks.ms") - F.col("_low.ms")))
+    found = met.select("job_id", F.col("_asks.target_id").alias("target_id"), F.when(F.coalesce(later, F.lit(False)), F.col("_high.word")).otherwise(low).alias("word_index"), "_asks.from_word", "_asks.to_word", "_low")
+    return found.filter("_low is not null and word_index >= from_word and word_index < to_word").select("job_id", "target_id", "word_index")
 
 
 def clause_lookback(words: DataFrame, connectors: tuple[str, ...], reach: int = 5) -> DataFrame:

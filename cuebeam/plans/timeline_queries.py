@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuebeam.functions import time
 from cuebeam.operators import jobs, segments, shots, words
 from cuebeam.operators.script import nearest_descriptor as nearest
+from cuebeam.operators.stretches import numbered
 from cuebeam.plans.binding import MENTIONS_SQL, RUNS_SQL, event_mentions, table
 from cuebeam.sources.files import timeline_export
 
@@ -46,7 +47,9 @@ def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
 def enforce_floors(spark: SparkSession, d: str) -> DataFrame:
     # a second for six minutes: events of a user lie hours apart
     scaled = _as_segments(spark, d).withColumns({c: F.floor(F.col(c) / 360).cast("long") for c in ("start_ms", "end_ms")})
-    return segments.enforce_floors(scaled, segments.SegmentOptions(min_named_ms=10_000, min_broll_ms=20_000, max_duration_ms=60_000))
+    columns = ("job_id", "from_word", "to_word", "start_ms", "end_ms", "entity_id", "text")
+    merged = segments.enforce_floors(scaled.select(*columns), segments.SegmentOptions(min_named_ms=10_000, min_broll_ms=20_000, max_duration_ms=60_000))
+    return numbered(merged, ["job_id"], "from_word", "seg_index")
 
 
 def stabbing_join(spark: SparkSession, d: str) -> DataFrame:
