@@ -25,18 +25,19 @@ def clip_readings(clips: DataFrame) -> DataFrame:
 
 
 def token_candidates(known: DataFrame, heard: DataFrame, phonetic: bool = True) -> DataFrame:
-    """(job_id, known, heard) of different tokens that may be similar: those that share a key and nearly a length.
+    """(known, heard) of different tokens that may be similar, whatever their jobs: those that share a key and nearly a length.
 
-    Tokens of a job are posted under their keys (see token_keys), so candidates come from an equi-join. Of what is
-    heard, only tokens that begin like a known one are posted.
+    Each distinct token is posted once under its keys (see token_keys), so candidates come from an equi-join. Of what is
+    heard, only tokens that begin like a known one, and are as long but for three letters, are posted.
     """
     letter = F.substring("token", 1, 1).alias("letter")
-    posted = lambda df: df.withColumn("key", F.explode(token_keys_udf(F.col("token"), phonetic)))
-    left = known.select("job_id", F.col("known").alias("token")).filter(F.length("token") >= FUZZY_FROM).distinct()
-    right = heard.select("job_id", F.col("heard").alias("token")).filter("token <> ''").distinct().withColumn("letter", letter)
-    right = right.join(left.select("job_id", letter).distinct(), ["job_id", "letter"], "left_semi").drop("letter")
-    met = posted(left).withColumnRenamed("token", "known").join(posted(right).withColumnRenamed("token", "heard"), ["job_id", "key"])
-    return met.filter("known <> heard and abs(length(known) - length(heard)) <= 3").select("job_id", "known", "heard").distinct()
+    posted = lambda df: df.select("token", F.explode(token_keys_udf(F.col("token"), phonetic)).alias("key")).select("token", F.xxhash64("key").alias("key"))
+    left = known.select(F.col("known").alias("token")).filter(F.length("token") >= FUZZY_FROM).distinct()
+    right = heard.select(F.col("heard").alias("token")).filter("token <> ''").distinct().withColumn("letter", letter)
+    like = left.groupBy(letter).agg((F.min(F.length("token")) - 3).alias("low"), (F.max(F.length("token")) + 3).alias("high"))
+    right = right.join(like, "letter").filter("length(token) between low and high").select("token")
+    met = posted(left).withColumnRenamed("token", "known").join(posted(right).withColumnRenamed("token", "heard"), "key")
+    return met.filter("known <> heard and abs(length(known) - length(heard)) <= 3").select("known", "heard").distinct()
 
 
 def token_pairs(known: DataFrame, heard: DataFrame, fuzzy: bool = True, phonetic: bool = True) -> DataFrame:
@@ -45,9 +46,8 @@ def token_pairs(known: DataFrame, heard: DataFrame, fuzzy: bool = True, phonetic
     equal = left.join(right, (left["job_id"] == right["job_id"]) & (F.col("known") == F.col("heard"))).select(left["job_id"], "known", "heard", F.lit(1.0).alias("score"))
     if not fuzzy:
         return equal
-    likely = token_candidates(left, right, phonetic)
-    compared = likely.select("known", "heard").distinct().withColumn("s", similarity_udf(F.col("known"), F.col("heard"), phonetic)).filter("s.match")
-    alike = likely.join(compared.select("known", "heard", F.col("s.score").alias("score")), ["known", "heard"]).select("job_id", "known", "heard", "score")
+    compared = token_candidates(left, right, phonetic).withColumn("s", similarity_udf(F.col("known"), F.col("heard"), phonetic)).filter("s.match")
+    alike = left.join(compared.select("known", "heard", F.col("s.score").alias("score")), "known").join(right, ["job_id", "heard"]).select("job_id", "known", "heard", "score")
     return equal.unionByName(alike)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush, heapreplace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,59 +19,100 @@ class PlanOptions:
     max_loops: int = 6
 
 
-def pools(clips: DataFrame) -> DataFrame:
-    """One row a job: by_entity (map of entity to clips in order), unbound and all clips. Clips: job_id, clip_ord, clip_id, entity_ids."""
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["clip_id"])
-    one = F.struct("clip_ord", "clip_id")
-    bound = clips.select("job_id", "clip_ord", "clip_id", F.explode("entity_ids").alias("entity_id"))
-    by_entity = bound.groupBy("job_id", "entity_id").agg(ordered(one).alias("pool")).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("entity_id", "pool"))).alias("by_entity"))
-    whole = clips.groupBy("job_id").agg(ordered(F.when(F.size("entity_ids") == 0, one)).alias("unbound"), ordered(one).alias("every"))
-    return whole.join(by_entity, "job_id", "left")
+#: The pool of clips for segments whose entity, if any, has none.
+REST = ""
 
 
-def choose_pools(segments: DataFrame, clips: DataFrame) -> DataFrame:
-    """segments with pool (clip ids in order) and pool_kind: entity, fallback (its entity has no clip) or broll.
+def pool_members(clips: DataFrame) -> DataFrame:
+    """job_id, pool, place (from 0) and clip_id of the clips of each pool. Clips: job_id, clip_ord, clip_id, entity_ids.
 
-    The entity's clips, else those bound to nobody, else all. Jobs without clips have no rows.
+    An entity's pool is its clips; REST holds those bound to nobody or, where there are none, all.
     """
-    with_pools = segments.join(pools(clips), "job_id")
-    own = F.when(F.col("entity_id").isNotNull(), F.element_at("by_entity", F.col("entity_id")))
-    rest = F.when(F.size("unbound") > 0, F.col("unbound")).otherwise(F.col("every"))
-    kind = F.when(own.isNotNull(), "entity").when(F.col("entity_id").isNotNull(), "fallback").otherwise("broll")
-    return with_pools.select(*segments.columns, F.coalesce(own, rest).alias("pool"), kind.alias("pool_kind"))
-
-
-def least_recently_used(rows: list[tuple[int, list[str]]], avoid_repeat: bool = True) -> list[str]:
-    """A clip for each row in order: of its pool the one unused for longest, not the one just used if there is another."""
-    last: dict[str, int] = {}
-    out: list[str] = []
-    for k, (_, pool) in enumerate(rows):
-        options = [c for c in pool if not (avoid_repeat and out and c == out[-1])] if len(pool) > 1 else pool
-        clip = min(options or pool, key=lambda c: last.get(c, -1))
-        last[clip] = k
-        out.append(clip)
-    return out
-
-
-def assign_clips(segments: DataFrame, avoid_repeat: bool = True) -> DataFrame:
-    """segments (job_id, seg_index, pool) with clip_id. Recency runs through a whole job, so its segments are walked in order."""
-    small = segments.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seg_index", "pool"))).alias("rows"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for job, rows in zip(pdf["job_id"], pdf["rows"], strict=True):
-                picked = least_recently_used([(r["seg_index"], list(r["pool"])) for r in rows], avoid_repeat)
-                out += [(job, r["seg_index"], c) for r, c in zip(rows, picked, strict=True)]
-            yield pd.DataFrame(out, columns=["job_id", "seg_index", "clip_id"])
-
-    return segments.join(small.mapInPandas(run, "job_id string, seg_index long, clip_id string"), ["job_id", "seg_index"])
-
-
-def assign_round_robin(segments: DataFrame, key: str = "entity_id") -> DataFrame:
-    """segments (job_id, seg_index, pool) with clip_id: each key's rows go through its pool in turn."""
+    bound = clips.select("job_id", "clip_ord", "clip_id", F.explode("entity_ids").alias("e")).withColumn("pool", F.concat(F.lit("="), "e")).drop("e")
+    free = clips.filter(F.size("entity_ids") == 0).select("job_id").distinct()
+    rest = clips.filter(F.size("entity_ids") == 0).unionByName(clips.join(free, "job_id", "left_anti").select(*clips.columns))
+    every = bound.unionByName(rest.select("job_id", "clip_ord", "clip_id", F.lit(REST).alias("pool")))
+    place = F.row_number().over(Window.partitionBy("job_id", "pool").orderBy("clip_ord", "clip_id")) - 1
+    return every.select("job_id", "pool", place.cast("long").alias("place"), "clip_id")
+
+
+def choose_pools(segments: DataFrame, members: DataFrame) -> DataFrame:
+    """segments with pool (its name), pool_size and pool_kind: entity, fallback (its entity has no clip) or broll.
+
+    Segments name their pool and never hold it. Jobs without clips have no rows.
+    """
+    sizes = members.groupBy("job_id", "pool").agg(F.count(F.lit(1)).alias("pool_size"))
+    own = sizes.filter(F.col("pool") != REST).withColumnRenamed("pool", "_own").withColumnRenamed("pool_size", "_size")
+    keyed = segments.withColumn("_own", F.concat(F.lit("="), "entity_id")).join(own, ["job_id", "_own"], "left")
+    named = keyed.filter("_size is not null").withColumns({"pool": F.col("_own"), "pool_size": F.col("_size"), "pool_kind": F.lit("entity")})
+    kind = F.when(F.col("entity_id").isNotNull(), "fallback").otherwise("broll")
+    rest = keyed.filter("_size is null").join(sizes.filter(F.col("pool") == REST), "job_id").withColumn("pool_kind", kind)
+    columns = [*segments.columns, "pool", "pool_size", "pool_kind"]
+    return named.select(*columns).unionByName(rest.select(*columns))
+
+
+class Recency:
+    """Which clip of a pool is unused for longest, over all pools of one job."""
+
+    def __init__(self, avoid_repeat: bool = True):
+        self.avoid_repeat, self.turn, self.just, self.last, self.pools = avoid_repeat, 0, None, {}, {}
+
+    def add(self, pool: str, clip: str) -> None:
+        """Clips come in the order that settles ties."""
+        heap = self.pools.setdefault(pool, [])
+        heap.append((-1, len(heap), clip))  # ascending, and so a heap
+
+    def _top(self, heap: list) -> tuple:
+        # a clip used since, maybe for another pool, has a later time than its entry says
+        while heap[0][0] != (used := self.last.get(heap[0][2], -1)):
+            heapreplace(heap, (used, *heap[0][1:]))
+        return heap[0]
+
+    def pick(self, pool: str) -> str:
+        """The clip for the next segment: not the one just used, if the pool has another."""
+        heap = self.pools[pool]
+        clip = self._top(heap)[2]
+        if self.avoid_repeat and clip == self.just and len(heap) > 1:
+            first = heappop(heap)
+            clip = self._top(heap)[2]
+            heappush(heap, first)
+        self.last[clip], self.just = self.turn, clip
+        self.turn += 1
+        return clip
+
+
+def assign_clips(segments: DataFrame, members: DataFrame, avoid_repeat: bool = True) -> DataFrame:
+    """segments (job_id, seg_index, pool) with clip_id: of the pool's clips (pool_members) the one unused for longest.
+
+    Recency runs through a whole job, so a job's segments pass through one task in order, one at a time; a task
+    holds no more of a job than its pools and when each clip was last used.
+    """
+    text = F.lit(None).cast("string")
+    rows = members.select("job_id", F.lit(0).alias("kind"), F.col("place").alias("at"), "pool", "clip_id").unionByName(segments.select("job_id", F.lit(1).alias("kind"), F.col("seg_index").cast("long").alias("at"), "pool", text.alias("clip_id")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        job, state = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for own, kind, at, pool, clip in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if state is None or own != job:
+                    job, state = own, Recency(avoid_repeat)
+                if kind == 0:
+                    state.add(pool, clip)
+                else:
+                    out.append((own, at, state.pick(pool)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["job_id", "seg_index", "clip_id"])
+
+    picked = rows.repartition("job_id").sortWithinPartitions("job_id", "kind", "at", "pool").mapInArrow(run, "job_id string, seg_index long, clip_id string")
+    return segments.join(picked, ["job_id", "seg_index"])
+
+
+def assign_round_robin(segments: DataFrame, members: DataFrame, key: str = "entity_id") -> DataFrame:
+    """segments (job_id, seg_index, pool, pool_size) with clip_id: each key's rows go through its pool in turn."""
     turn = F.row_number().over(Window.partitionBy("job_id", key).orderBy("seg_index")) - 1
-    return segments.withColumn("clip_id", F.get("pool", F.pmod(turn, F.size("pool"))))
+    return segments.withColumn("place", F.pmod(turn, F.col("pool_size")).cast("long")).join(members, ["job_id", "pool", "place"]).drop("place")
 
 
 def use_ordinal(rows: DataFrame) -> DataFrame:
@@ -100,7 +141,8 @@ def fit_source(available: Column, need: Column, uses: Column, options: PlanOptio
 def plan_shots(segments: DataFrame, clips: DataFrame, entities: DataFrame, options: PlanOptions | None = None) -> DataFrame:
     """The shots of each job: one for each segment, with its clip and the part of it that is shown."""
     o = options or PlanOptions()
-    chosen = use_ordinal(assign_clips(choose_pools(segments, clips), o.avoid_immediate_repeat))
+    members = pool_members(clips)
+    chosen = use_ordinal(assign_clips(choose_pools(segments, members), members, o.avoid_immediate_repeat))
     named = chosen.join(entities.select("job_id", "entity_id", F.col("canonical").alias("entity_name")), ["job_id", "entity_id"], "left")
     rows = named.join(clips.select("job_id", "clip_id", F.col("filename").alias("clip_filename"), F.col("duration_ms").alias("_available")), ["job_id", "clip_id"])
     shown = F.coalesce("entity_name", "entity_id")

@@ -9,7 +9,7 @@ from cuebeam.functions import names, text
 from cuebeam.operators import cues, jobs, mentions, script, shots
 from cuebeam.plans import text_queries
 from cuebeam.plans.binding import CLIPS_SQL, MENTIONS_SQL, event_mentions, table
-from cuebeam.plans.plan_queries import _POOLS, LIBRARY_PARTS, _clips, _job_clips, _segments, _shots
+from cuebeam.plans.plan_queries import _POOLS, LIBRARY_PARTS, _clips, _job_clips, _pooled, _shots
 from cuebeam.sources import files
 
 
@@ -73,7 +73,7 @@ def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
 def replace_clip(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth event's shot gets the first clip of the library by hand."""
     clips = _job_clips(spark, d)
-    p = shots.use_ordinal(shots.assign_round_robin(shots.choose_pools(_segments(spark, d), clips)))
+    p = shots.use_ordinal(shots.assign_round_robin(*_pooled(spark, d)))
     rows = p.join(clips.select("job_id", "clip_id", F.col("filename").alias("clip_filename"), F.col("duration_ms").alias("available")), ["job_id", "clip_id"])
     rows = rows.withColumn("f", shots.fit_source(F.col("available"), F.col("duration_ms"), F.col("uses")))
     planned = rows.select("job_id", F.col("seg_index").alias("segment_index"), "duration_ms", "clip_id", "clip_filename", F.col("f.in_ms").alias("source_in_ms"), F.col("f.out_ms").alias("source_out_ms"), "f.fit_mode", "f.loops", F.lit("planned").alias("reason"))

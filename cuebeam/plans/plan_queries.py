@@ -12,6 +12,7 @@ from cuebeam.plans.analyse import Analysis, analyse
 from cuebeam.plans.binding import CLIPS_SQL, MENTIONS_SQL, RUNS_SQL, conversation_cues, conversation_words, event_mentions, part_clips, table
 from cuebeam.plans.timeline_queries import event_tiles
 from cuebeam.sources.files import concat_line, exact_duration, probe
+from cuebeam.staging import stage
 
 #: Entities of events get the clips of a brand; error events name nobody, one type has no clips.
 BRAND_OF = {"click": "Brand#11", "purchase": "Brand#22", "view": "Brand#33"}
@@ -27,17 +28,19 @@ def _clips(spark: SparkSession, d: str) -> DataFrame:
     for e, b in BRAND_OF.items():
         entity = F.when(F.col("p_brand") == b, e).otherwise(entity)
     c = part_clips(spark, d).withColumn("entity_ids", F.when(entity.isNull(), F.array().cast("array<string>")).otherwise(F.array(entity)))
-    return c.withColumn("library", F.col("clip_ord") % _libraries(spark, d))
+    return _in_library(c, F.col("clip_ord"), spark, d)
 
 
-def _libraries(spark: SparkSession, d: str) -> int:
-    return max(1, table(spark, d, "part").count() // LIBRARY_PARTS)
+def _in_library(rows: DataFrame, number, spark: SparkSession, d: str) -> DataFrame:
+    """rows with library: the number dealt over as many as there are parts for, which a subquery counts."""
+    libraries = table(spark, d, "part").agg(F.greatest(F.lit(1), F.expr(f"count(1) div {LIBRARY_PARTS}")))
+    return rows.withColumn("library", number % libraries.scalar())
 
 
 def _job_clips(spark: SparkSession, d: str) -> DataFrame:
     """The clips of each user's library."""
-    users = table(spark, d, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("job_id"), (F.col("user_id") % _libraries(spark, d)).alias("library"))
-    return users.join(_clips(spark, d), "library").drop("library")
+    users = _in_library(table(spark, d, "events").select("user_id").distinct(), F.col("user_id"), spark, d)
+    return users.select(F.col("user_id").cast("string").alias("job_id"), "library").join(_clips(spark, d), "library").drop("library")
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -45,38 +48,45 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return t.select("job_id", F.col("ord").alias("seg_index"), "start_ms", "end_ms", ((F.col("end_ms") - F.col("start_ms")) % 9000 + 1).alias("duration_ms"), "entity_id", F.lit("named").alias("source"), F.lit("").alias("text"))
 
 
+def _pooled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Segments with the names of their pools, and the pools' clips."""
+    members = shots.pool_members(_job_clips(spark, d))
+    return shots.choose_pools(_segments(spark, d), members), members
+
+
 def clip_pool_lookup(spark: SparkSession, d: str) -> DataFrame:
-    p = shots.choose_pools(_segments(spark, d), _job_clips(spark, d))
-    return p.select("job_id", "seg_index", "pool_kind", F.size("pool").cast("long").alias("size"), F.get("pool", F.lit(0)).alias("first"))
+    p, members = _pooled(spark, d)
+    first = members.filter("place = 0").select("job_id", "pool", F.col("clip_id").alias("first"))
+    return p.join(first, ["job_id", "pool"]).select("job_id", "seg_index", "pool_kind", F.col("pool_size").alias("size"), "first")
 
 
 def lru_assign(spark: SparkSession, d: str) -> DataFrame:
-    p = shots.choose_pools(_segments(spark, d), _job_clips(spark, d))
-    return shots.assign_clips(p).select("job_id", "seg_index", "clip_id")
+    return shots.assign_clips(*_pooled(spark, d)).select("job_id", "seg_index", "clip_id")
 
 
 def round_robin_assign(spark: SparkSession, d: str) -> DataFrame:
-    p = shots.choose_pools(_segments(spark, d), _job_clips(spark, d))
-    return shots.assign_round_robin(p).select("job_id", "seg_index", "clip_id")
+    return shots.assign_round_robin(*_pooled(spark, d)).select("job_id", "seg_index", "clip_id")
 
 
 def fit_source(spark: SparkSession, d: str) -> DataFrame:
-    p = shots.assign_round_robin(shots.choose_pools(_segments(spark, d), _job_clips(spark, d)))
+    p = shots.assign_round_robin(*_pooled(spark, d))
     rows = shots.use_ordinal(p).join(_job_clips(spark, d).select("job_id", "clip_id", F.col("duration_ms").alias("available")), ["job_id", "clip_id"])
     return rows.select("job_id", "seg_index", "uses", shots.fit_source(F.col("available"), F.col("duration_ms"), F.col("uses")).alias("f")).select("job_id", "seg_index", "uses", "f.*")
 
 
 def _shots(spark: SparkSession, d: str) -> DataFrame:
-    p = shots.assign_round_robin(shots.choose_pools(_segments(spark, d), _job_clips(spark, d)))
+    p = shots.assign_round_robin(*_pooled(spark, d))
     return p.join(_job_clips(spark, d).select("job_id", "clip_id", F.col("filename").alias("clip_filename")), ["job_id", "clip_id"])
 
 
 def plan_stats(spark: SparkSession, d: str) -> DataFrame:
-    return shots.plan_stats(_shots(spark, d)).drop("clip_reuse")
+    reuse = F.transform(F.array_sort(F.map_entries("clip_reuse")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return shots.plan_stats(_shots(spark, d)).withColumn("clip_reuse", F.array_join(reuse, ","))
 
 
 def overused_clips(spark: SparkSession, d: str) -> DataFrame:
-    return shots.overused_clips(_shots(spark, d))
+    """Users' events as shots: those of even numbers show one clip, others that of their type."""
+    return shots.overused_clips(event_mentions(spark, d).select("job_id", F.when(F.col("event_id") % 2 == 0, "even").otherwise(F.coalesce("entity_id", F.lit("none"))).alias("clip_id")))
 
 
 def unclaimed_clips(spark: SparkSession, d: str) -> DataFrame:
@@ -87,23 +97,23 @@ def unclaimed_clips(spark: SparkSession, d: str) -> DataFrame:
 
 def cast_from_parts(spark: SparkSession, d: str) -> DataFrame:
     """The cast of a library named after parts, against the conversations' words as one script each."""
-    n = _libraries(spark, d)
     clips = _clips(spark, d).select("library", "clip_ord", "clip_id", "filename", F.array().cast("array<string>").alias("tags"))
     w = conversation_words(spark, d)
-    words = w.select("job_id").distinct().withColumn("library", F.col("job_id").cast("long") % n)
+    words = _in_library(w.select("job_id").distinct(), F.col("job_id").cast("long"), spark, d)
     return build_cast(words.join(clips, "library").drop("library"), w).select("job_id", "entity_ord", "entity_id", "canonical", F.array_join("aliases", "|").alias("aliases"), "kind")
 
 
 def _analysis(spark: SparkSession, d: str) -> Analysis:
-    """Conversations as subtitles; clips named after frequent words of all conversations, two each, and some without a name."""
+    """Conversations as subtitles; clips of each named after its own long words that come twice, two takes each, and some without a name."""
     cues = conversation_cues(spark, d)
-    top = conversation_words(spark, d).filter("length(norm) >= 6").groupBy("norm").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "norm").limit(8)
-    ord_ = F.row_number().over(Window.orderBy(F.desc("n"), "norm"))
-    named = top.withColumn("k", ord_).select(F.explode(F.sequence(F.lit(1), F.lit(2))).alias("take"), "k", "norm")
-    clips = named.select((F.col("k") * 10 + F.col("take")).cast("long").alias("clip_ord"), F.concat("norm", F.lit("_take_"), F.col("take"), F.lit(".mp4")).alias("filename"), (F.col("k") * 1500).cast("long").alias("duration_ms"))
-    more = spark.createDataFrame([(1000 + k, f"city_broll_{k}.mp4", 4000 * k) for k in range(1, 5)], "clip_ord long, filename string, duration_ms long")
+    spoken = cues.select("job_id", F.explode(text.tokens(F.col("text"))).alias("raw")).select("job_id", text.normalize_word(F.col("raw")).alias("norm"))
+    twice = spoken.filter("length(norm) >= 7").groupBy("job_id", "norm").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = twice.withColumn("k", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("n"), "norm"))).withColumn("take", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    clips = named.select("job_id", (F.col("k") * 10 + F.col("take")).cast("long").alias("clip_ord"), F.concat("norm", F.lit("_take_"), "take", F.lit(".mp4")).alias("filename"), (F.col("k") % 9 * 1500 + 500).cast("long").alias("duration_ms"))
+    place = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    more = cues.select("job_id").distinct().withColumn("k", place).select("job_id", (1_000_000 + F.col("k")).cast("long").alias("clip_ord"), F.concat(F.lit("city_broll_"), "k", F.lit(".mp4")).alias("filename"), (F.col("k") * 4000).cast("long").alias("duration_ms"))
     library = clips.unionByName(more).withColumns({"clip_id": F.col("clip_ord").cast("string"), "tags": F.array().cast("array<string>")})
-    return analyse(cues, cues.select("job_id").distinct().join(F.broadcast(library)))
+    return analyse(cues, stage(library, "library"))
 
 
 def analyse_shots(spark: SparkSession, d: str) -> DataFrame:
@@ -260,9 +270,11 @@ ORACLE = {
         SELECT job_id, seg_index, uses, CAST(CASE WHEN available >= duration_ms THEN moved ELSE 0 END AS BIGINT) AS in_ms, CAST(CASE WHEN available >= duration_ms THEN moved + duration_ms ELSE available END AS BIGINT) AS out_ms,
         CASE WHEN available >= duration_ms THEN 'trim' WHEN available < 400 THEN 'stretch' ELSE 'loop' END AS fit_mode,
         CAST(CASE WHEN available < duration_ms AND available >= 400 THEN least(6, ceil(CAST(duration_ms AS DOUBLE) / available)) ELSE 1 END AS BIGINT) AS loops FROM m""",
-    "plan_stats": f"""WITH {_POOLS} SELECT job_id, max(end_ms) AS total_duration_ms, count(*) AS shot_count, count(*) FILTER (pool_kind = 'entity') AS named_shots, count(*) FILTER (pool_kind = 'broll') AS broll_shots,
-        count(*) FILTER (pool_kind = 'fallback') AS unmatched_shots, count(DISTINCT clip_id) AS clips_used FROM turns GROUP BY 1""",
-    "overused_clips": f"""WITH {_POOLS}, u AS (SELECT job_id, clip_id, count(*) AS n FROM turns GROUP BY 1, 2), s AS (SELECT job_id, count(*) AS shots FROM turns GROUP BY 1)
+    "plan_stats": f"""WITH {_POOLS}, n AS (SELECT t.job_id, l.filename, t.clip_id, count(*) AS n FROM turns t JOIN lib l USING (clip_id) GROUP BY ALL), f AS (SELECT job_id, filename, arg_max(n, clip_id) AS n FROM n GROUP BY 1, 2),
+        r AS (SELECT job_id, string_agg(filename || '=' || n, ',' ORDER BY filename) AS clip_reuse FROM f GROUP BY 1)
+        SELECT job_id, max(end_ms) AS total_duration_ms, count(*) AS shot_count, count(*) FILTER (pool_kind = 'entity') AS named_shots, count(*) FILTER (pool_kind = 'broll') AS broll_shots,
+        count(*) FILTER (pool_kind = 'fallback') AS unmatched_shots, count(DISTINCT clip_id) AS clips_used, any_value(clip_reuse) AS clip_reuse FROM turns JOIN r USING (job_id) GROUP BY 1""",
+    "overused_clips": f"""WITH {MENTIONS_SQL}, u AS (SELECT job_id, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE coalesce(entity_id, 'none') END AS clip_id, count(*) AS n FROM event_mentions GROUP BY 1, 2), s AS (SELECT job_id, sum(n) AS shots FROM u GROUP BY 1)
         SELECT job_id, clip_id, n FROM u JOIN s USING (job_id) WHERE n > greatest(6, shots / 3.0)""",
     "unclaimed_clips": f"WITH {_POOLS} SELECT clip_id FROM lib WHERE clip_id NOT IN (SELECT clip_id FROM turns)",
     "lru_assign": f"""WITH RECURSIVE {_POOLS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seg_index) AS k FROM segs),

@@ -20,7 +20,8 @@ def _in(words_: object) -> str:
 
 def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("raw"))
-    return t.groupBy(text.normalize_word(F.col("raw")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    # each different token is normalized once
+    return t.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).groupBy(text.normalize_word(F.col("raw")).alias("norm")).agg(F.sum("n").alias("n"))
 
 
 def document_words(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +99,7 @@ def phonetic_match(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_mentions(spark: SparkSession, d: str) -> DataFrame:
     """All places in a conversation of the longer words, and of the pairs of words, that its first cue has."""
-    w = conversation_words(spark, d)
+    w = stage(conversation_words(spark, d).select("job_id", "word_index", "cue_index", "norm"), "exact-words")
     first = w.filter("cue_index = 0").withColumn("nxt", F.lead("norm").over(Window.partitionBy("job_id").orderBy("word_index")))
     one = first.filter("length(norm) >= 3").select("job_id", F.array("norm").alias("tokens"))
     two = first.filter("norm <> '' and nxt <> ''").select("job_id", F.array("norm", "nxt").alias("tokens"))

@@ -158,6 +158,30 @@ def test_greedy_spans(spark):
     assert sorted((r["job_id"], r["word_index"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("avoid", [True, False])
+def test_least_recently_used(spark, avoid):
+    """Pools that share clips, against a search of each whole pool."""
+    rng = random.Random(9)
+    clip_rows, segment_rows, want = [], [], []
+    for j in "abc":
+        own = [(j, k, f"c{k}", rng.sample(["x", "y", "z"], rng.choice([0, 1, 2, 3]) if j != "c" else 1)) for k in range(rng.randint(1, 9))]
+        pools = {e: [c for _, _, c, es in own if e in es] for e in "xyz"}
+        rest = [c for _, _, c, es in own if not es] or [c for _, _, c, _ in own]
+        last, just = {}, None
+        for k in range(80):
+            e = rng.choice(["x", "y", "z", "w", None])
+            pool = pools.get(e) or rest
+            options = [c for c in pool if not (avoid and c == just)] if len(pool) > 1 else pool
+            just = min(options, key=lambda c: last.get(c, -1))
+            last[just] = k
+            want.append((j, k, just))
+            segment_rows.append((j, k, e))
+        clip_rows += own
+    members = shots.pool_members(spark.createDataFrame(clip_rows, "job_id string, clip_ord long, clip_id string, entity_ids array<string>"))
+    rows = shots.choose_pools(spark.createDataFrame(segment_rows, "job_id string, seg_index long, entity_id string"), members)
+    assert sorted((r["job_id"], r["seg_index"], r["clip_id"]) for r in shots.assign_clips(rows, members, avoid).collect()) == want
+
+
 def test_fit(spark):
     f = lambda have, need, uses=0: tuple(spark.range(1).select(shots.fit_source(F.lit(have), F.lit(need), F.lit(uses)).alias("f")).first()["f"])
     assert f(60_000, 3000) == (0, 3000, "trim", 1)
