@@ -95,13 +95,13 @@ def _leaf(text: str) -> str:
 ORACLE: dict[str, str] = {
     "op4_exact_top_k": f"""
         WITH v AS (
-            SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
-            FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE}
+            SELECT row_number() OVER () AS r, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+            FROM embeddings WHERE {_USABLE}
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
         ), ranked AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT * FROM ranked WHERE rank <= 5""",
     "op10_embedding_near_dedup": f"""

@@ -60,7 +60,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     bounded size by a hash, runs of one shard are offset by the counts of the runs before, and
     only a run is ever ordered in one task. So a shard may outgrow any machine.
 
-    Null id: one key of its own. Null text: size 1 and the checksum of no bytes. Repeated rows:
+    Null ids: all dealt as the id -1 is. Null text: size 1 and the checksum of no bytes. Repeated rows:
     each has its own slot. Other columns, whatever their names, play no part.
     """
     rows = docs.select(

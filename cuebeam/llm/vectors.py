@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import floor, isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +28,33 @@ def usable(vector: Column) -> Column:
 # exact search
 
 
+def whole_numbers(components, scale: int):
+    """floor(scale * x) of each component: 64-bit numbers, or Python's where some are larger than doubles count exactly."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        w = np.floor(components * scale)
+    if not w.size or np.abs(w).max() < 1 << 53:
+        return w.astype(np.int64)
+    exact = lambda x: floor(x * scale) if isfinite(x * scale) else int(x) * scale
+    return np.array([exact(x) for x in components.reshape(-1).tolist()], object).reshape(w.shape)
+
+
 def accumulate(queries, candidates):
-    """Scores (queries x candidates) term at a time: each non-zero query weight scatters its term's postings."""
+    """Scores (queries x candidates) term at a time: each non-zero query weight scatters its term's postings.
+
+    In 64 bits where no score can go beyond, else in Python's numbers.
+    """
     import numpy as np
 
+    most = [max(abs(int(m.max())), abs(int(m.min()))) if m.size else 0 for m in (queries, candidates)]
+    kind = np.int64 if most[0] * most[1] * queries.shape[1] < 1 << 63 else object
+    queries, candidates = queries.astype(kind), candidates.astype(kind)
     postings = []
     for column in candidates.T:
         at = np.flatnonzero(column)
         postings.append((slice(None) if len(at) == len(column) else at, np.ascontiguousarray(column[at])))
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
+    scores = np.zeros((len(queries), len(candidates)), kind)
     for q, row in zip(queries, scores, strict=True):
         for term in np.flatnonzero(q):
             at, weights = postings[term]
@@ -43,12 +62,14 @@ def accumulate(queries, candidates):
     return scores
 
 
-def best(scores, ids, own, k: int):
-    """Positions of the k highest scores but the own id's; ties go to smaller ids. ids ascend."""
+def best(scores, rows, own, k: int):
+    """Positions of the k highest scores but that of the row own; ties go to earlier positions."""
     import numpy as np
 
-    allowed = np.flatnonzero(ids != own)
+    allowed = np.flatnonzero(rows != own)
     s = scores[allowed]
+    if s.dtype == object:
+        return allowed[sorted(range(len(s)), key=lambda i: (-s[i], i))[:k]]
     if len(s) > k:
         least = -np.partition(-s, k - 1)[k - 1]
         over, tied = np.flatnonzero(s > least), np.flatnonzero(s == least)
@@ -58,29 +79,38 @@ def best(scores, ids, own, k: int):
     return allowed[pick[np.lexsort((pick, -s[pick]))]]
 
 
+def beyond(score: int) -> bytes | None:
+    """None for what 64 bits hold, else bytes in the order of the numbers."""
+    if -(1 << 63) <= score < 1 << 63:
+        return None
+    size = abs(score).bit_length() // 8 + 1
+    key = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + key if score > 0 else b"\x01" + bytes(255 - x for x in key)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best rows for each query, over all rows.
+    """query_id, rank (from 1), vec_id and score of the k best rows for each query row, over all other rows.
 
-    Components become floor(scale * x); the score is the integer inner product. The stated query rows
+    Components become floor(scale * x); the score is the integer inner product, exact at any size. The stated query rows
     meet all rows in blocks: rows are dealt to chunks and queries to blocks by a hash of
-    the id, a task scores one block against one chunk and hands on k rows a query, and a final
-    ranking merges them. Null ids, and vectors that are null, empty or hold null or non-finite
-    components take no part. Vectors meet those of their own length. A row repeated whole counts
-    once; a query never meets rows of its own id. Ties go to the smaller id. Columns besides vec_id
-    and embedding play no part.
+    the row's number, a task scores one block against one chunk and hands on k rows a query, and a final
+    ranking merges them. Vectors that are null, empty or hold null or non-finite components take no part. Vectors meet those of
+    their own length. Rows count each for itself: a query meets other rows of its own id, and rows repeated whole, and rows
+    of one id that ask have a ranking each. Ties go to the smaller id, null ids last. A score that 64 bits don't hold is null, at
+    its place in the ranking. Columns besides vec_id and embedding play no part.
     """
     clean = (
-        vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-        .select(F.col("vec_id").cast("long"), "is_query", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("w"))
+        vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))).filter(usable(F.col("embedding")))
+        .select(F.col("vec_id").cast("long").alias("vec_id"), "is_query", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     )
-    n = clean.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)).alias("queries")).first()
+    rows = stage(clean.withColumn("row", F.monotonically_increasing_id()), "top-rows")
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)).alias("queries")).first()
     chunks, blocks = max(1, -(-n["rows"] // CHUNK_ROWS)), max(1, -(-n["queries"] // QUERY_ROWS))
-    rows = clean.distinct()
-    hashed = F.xxhash64("vec_id")
+    hashed = F.xxhash64("row")
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.select("vec_id", "w", F.lit(False).alias("asks"), F.pmod(hashed, F.lit(chunks)).cast("int").alias("chunk"), numbers(blocks).alias("block"))
-    asking = rows.filter("is_query").select("vec_id", "w", F.lit(True).alias("asks"), numbers(chunks).alias("chunk"), F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block"))
-    cells = candidates.unionByName(asking).withColumn("dims", F.size("w"))
+    candidates = rows.select("row", "vec_id", "x", F.lit(False).alias("asks"), F.pmod(hashed, F.lit(chunks)).cast("int").alias("chunk"), numbers(blocks).alias("block"))
+    asking = rows.filter("is_query").select("row", "vec_id", "x", F.lit(True).alias("asks"), numbers(chunks).alias("chunk"), F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block"))
+    cells = candidates.unionByName(asking).withColumn("dims", F.size("x"))
 
     def search(table):
         import numpy as np
@@ -88,24 +118,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         import pyarrow.compute as pc
 
         def part(asks: bool):
-            t = table.filter(pc.equal(table["asks"], asks)).sort_by("vec_id")
-            flat = t["w"].combine_chunks().flatten().to_numpy()
-            return t["vec_id"].to_numpy(), flat.reshape(len(t), -1) if len(t) else np.zeros((0, 1), np.int64)
+            t = table.filter(pc.equal(table["asks"], asks)).sort_by([("vec_id", "ascending"), ("row", "ascending")])
+            flat = t["x"].combine_chunks().flatten().to_numpy()
+            return t["row"].to_numpy(), t["vec_id"], whole_numbers(flat.reshape(len(t), -1) if len(t) else np.zeros((0, 1)), scale)
 
-        (ids, found), (asked, weights) = part(False), part(True)
-        out: list[list] = [[], [], []]
-        if len(ids) and len(asked):
+        (rows, ids, found), (asked, own_ids, weights) = part(False), part(True)
+        own_ids, out = own_ids.to_pylist(), [[] for _ in range(5)]
+        if len(rows) and len(asked):
             for lo in range(0, len(asked), 64):
                 scores = accumulate(weights[lo : lo + 64], found)
-                for own, s in zip(asked[lo : lo + 64], scores, strict=True):
-                    at = best(s, ids, own, k)
-                    out[0].append(np.full(len(at), own))
-                    out[1].append(ids[at])
-                    out[2].append(s[at])
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    near = cells.groupBy("dims", "chunk", "block").applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                for own, own_id, s in zip(asked[lo : lo + 64].tolist(), own_ids[lo : lo + 64], scores, strict=True):
+                    at = best(s, rows, own, k)
+                    top = s[at].tolist()
+                    for c, v in zip(out, ([own] * len(at), [own_id] * len(at), ids.take(pa.array(at)).to_pylist(), [x if beyond(x) is None else None for x in top], [beyond(x) for x in top]), strict=True):
+                        c += v
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["query", "query_id", "vec_id", "score", "beyond"])
+
+    near = cells.groupBy("dims", "chunk", "block").applyInArrow(search, "query long, query_id long, vec_id long, score long, beyond binary")
+    # above all that 64 bits hold, within them, below
+    level = F.when(F.col("beyond").isNull(), 0).when(F.substring("beyond", 1, 1) == F.unhex(F.lit("02")), 1).otherwise(-1)
+    order = [F.desc(level), F.desc("score"), F.desc("beyond"), F.asc_nulls_last("vec_id")]
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -4,7 +4,7 @@ import random
 import zlib
 from collections import Counter
 from hashlib import sha256
-from math import log10
+from math import floor, log10
 
 import numpy as np
 import pytest
@@ -175,15 +175,32 @@ def test_top_k(spark, monkeypatch, chunk, block):
     monkeypatch.setattr(vectors, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(vectors, "QUERY_ROWS", block)
     rows = vector_rows()
-    w = {r[0]: np.floor(256 * np.array(r[1], float)).astype(int) for r in rows if good(r[1])}
-    want = {}
-    for q in (i for i in w if i % 50 == 0):
-        s = sorted((-int(w[q] @ w[c]), c) for c in w if c != q and len(w[c]) == len(w[q]))[:5]
-        want |= {(q, k + 1): (c, -x) for k, (x, c) in enumerate(s)}
-    df = spark.createDataFrame([*rows, rows[0]], VECTORS).repartition(3)
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    assert got == want
-    assert vectors.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    rows += [rows[0], rows[3], (100, rows[7][1], 1, 0, 0, "x"), (None, rows[50][1], 1, 0, 0, "x"), (None, rows[4][1], 1, 0, 0, "x")]
+    assert_top(spark.createDataFrame(rows, VECTORS).repartition(3))
+    assert vectors.top_k(spark.createDataFrame(rows, VECTORS).limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def assert_top(df):
+    """Rankings against all pairs of rows: a row's number, not its id, tells it apart."""
+    rows = [(i, [floor(256 * float(x)) if abs(x) < 1e300 else int(x) * 256 for x in e]) for i, e in df.select("vec_id", "embedding").collect() if good(e)]
+    want = []
+    for k, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for j, (i, w) in enumerate(rows) if j != k and len(w) == len(v))[:5]
+            want += [(q, n + 1, None if none else i, -x if -(1 << 63) <= -x < 1 << 63 else None) for n, (x, none, i) in enumerate(s)]
+    got = [tuple(r) for r in vectors.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_top_k_of_any_size(spark):
+    """Scores that 64 bits don't hold rank where they belong and are null."""
+    big = [1e30, 3e17, -2e30, 1e17, 0.5, 2.0**60, -1.0, 1e300, 9e307, -9e307]
+    rng = random.Random(2)
+    rows = [(k * 25, [rng.choice(big), rng.choice(big) if k % 2 else 1.0]) for k in range(30)]
+    assert_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [vectors.beyond(x) for x in (0, 2**63 - 1, -(2**63))] == [None] * 3
+    order = sorted([2**63, 2**64, 2**200, -(2**63) - 1, -(2**64), -(2**200), 2**63 + 1], key=vectors.beyond)
+    assert order == sorted(order)
 
 
 @pytest.mark.parametrize("slice_rows", [512, 5])
