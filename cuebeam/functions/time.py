@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TIMESTAMP = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?$"
+#: Fixed value: the form of a timestamp.
+TIMESTAMP = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?$"
 
 
 def half_up(x: Column) -> Column:
@@ -19,9 +20,9 @@ def parse_timestamp(text: Column) -> Column:
     A fraction is padded on the right: `0,5` is 500 ms. Minutes and seconds are not checked for range.
     """
     t = F.trim(text)
-    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, _TIMESTAMP, k), F.lit("")).try_cast("long"), F.lit(0))
-    fraction = F.rpad(F.regexp_extract(t, _TIMESTAMP, 4), 3, "0").try_cast("long")
-    return F.when(F.regexp_like(t, F.lit(_TIMESTAMP)), (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + F.coalesce(fraction, F.lit(0)))
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, TIMESTAMP, k), F.lit("")).try_cast("long"), F.lit(0))
+    fraction = F.rpad(F.regexp_extract(t, TIMESTAMP, 4), 3, "0").try_cast("long")
+    return F.when(F.regexp_like(t, F.lit(TIMESTAMP)), (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + F.coalesce(fraction, F.lit(0)))
 
 
 def _clock(ms: Column) -> tuple[Column, Column, Column, Column]:

@@ -50,6 +50,15 @@ def srt_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return cues.select("job_id", "cue_index", "start_ms", "end_ms", "text")
 
 
+def messy_subtitles(spark: SparkSession, d: str) -> DataFrame:
+    """Cues of untidy files, read by the table function parse_srt in SQL: a mark and a header, carriage returns, settings beside times, timings that can't be read, styles, a number alone at the end."""
+    tidy = cue_ops.render_srt(conversation_cues(spark, d))
+    dirt = F.regexp_replace(F.regexp_replace("text", r"( --> [0-9:,]+)\n", "$1 align:start line:90%\n{\\\\an8}- <i>"), "\n\n", "</i>\n \n\nnever --> ever\n12\n\n\n")
+    cue_ops.register(spark)
+    tidy.select("job_id", F.concat(F.lit("\ufeffWEBVTT\n\n"), F.regexp_replace(dirt, "\n", "\r\n"), F.lit("\r\n\r\n77")).alias("text")).createOrReplaceTempView("untidy_files")
+    return spark.sql("SELECT f.job_id, c.cue_index, c.start_ms, c.end_ms, c.text FROM untidy_files f, LATERAL parse_srt(f.text) c")
+
+
 def cue_repair_overlap(spark: SparkSession, d: str) -> DataFrame:
     e = event_mentions(spark, d).select("job_id", F.col("ord").alias("cue_index"), "start_ms", (F.col("start_ms") + 1 + F.floor(F.col("value") * 1000).cast("long")).alias("end_ms"))
     return cue_ops.trim_overlaps(e)
@@ -207,7 +216,7 @@ def even_word_timing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_words, document_words, clean_markup, parse_timestamp, format_units, srt_roundtrip, cue_repair_overlap, sentence_islands, filename_tokens, stopword_antijoin,
+        tokenize_words, document_words, clean_markup, parse_timestamp, format_units, srt_roundtrip, messy_subtitles, cue_repair_overlap, sentence_islands, filename_tokens, stopword_antijoin,
         slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, similar_tokens, fuzzy_mentions, phonetic_mentions, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
         nearest_onset, warning_dedupe, longest_term_match, clip_tags, highlight_names, strip_transcript, line_token_counts, even_word_timing,
     )
@@ -274,6 +283,8 @@ ORACLE = {
         CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration FROM t""",
     "srt_roundtrip": f"""WITH {CUES_SQL}, cleaned AS (SELECT job_id, start_ms, start_ms + span AS end_ms, {_CLEAN.format('text')} AS text FROM cues)
         SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms) - 1 AS cue_index, start_ms, end_ms, text FROM cleaned WHERE text <> ''""",
+    "messy_subtitles": f"""WITH {CUES_SQL}, cleaned AS (SELECT job_id, start_ms, start_ms + span AS end_ms, {_CLEAN.format('text')} AS text FROM cues)
+        SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms) - 1 AS cue_index, start_ms, end_ms, text FROM cleaned WHERE text <> ''""",
     "cue_repair_overlap": f"""WITH {MENTIONS_SQL}, c AS (SELECT job_id, ord AS cue_index, start_ms, start_ms + 1 + CAST(floor(value * 1000) AS BIGINT) AS end_ms FROM event_mentions)
         SELECT job_id, cue_index, start_ms, least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY job_id ORDER BY start_ms, cue_index), end_ms)) AS end_ms FROM c""",
     "sentence_islands": f"WITH {SENTENCES_SQL} SELECT * FROM sentences",

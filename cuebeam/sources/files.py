@@ -52,21 +52,27 @@ def write_concat_list(parts: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("job_id").text(path)
 
 
+#: How an encoder prints a file's length and streams.
+LENGTH = r"Duration:\s*(\d+):(\d+):(\d+)\.(\d+)"
+VIDEO_LINE, FRAME_SIZE, FRAME_RATE = r"(Stream #\d+:\d+.*?: Video: [^\s,]+.*)", r"[,\s](\d{2,5})x(\d{2,5})[\s,]", r"([\d.]+)\s*fps"
+VIDEO_CODEC, AUDIO_CODEC = r"Stream #\d+:\d+.*?: Video: ([^\s,]+)", r"Stream #\d+:\d+.*?: Audio: ([^\s,]+)"
+AUDIO_LINE, SAMPLE_RATE, HEADER = r"(Audio:.*)", r"(\d{3,6})\s*Hz", "Input #0"
+
+
 def probe(logs: DataFrame) -> DataFrame:
     """Columns of media files from the text an encoder prints about them (object_id, log). Null where it can't be read."""
     got = lambda pattern, k=1: F.regexp_extract("log", pattern, k)
     number = lambda c, t="long": F.nullif(c, F.lit("")).try_cast(t)
-    stamp = r"Duration:\s*(\d+):(\d+):(\d+)\.(\d+)"
-    part = lambda k: number(got(stamp, k))
-    duration = (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + F.substring(F.rpad(got(stamp, 4), 3, "0"), 1, 3).try_cast("long")
-    video = got(r"(Stream #\d+:\d+.*?: Video: [^\s,]+.*)")
-    size = lambda k: number(F.regexp_extract(video, r"[,\s](\d{2,5})x(\d{2,5})[\s,]", k), "int")
-    codec = F.nullif(got(r"Stream #\d+:\d+.*?: Video: ([^\s,]+)"), F.lit(""))
-    audio = F.nullif(got(r"Stream #\d+:\d+.*?: Audio: ([^\s,]+)"), F.lit(""))
+    part = lambda k: number(got(LENGTH, k))
+    duration = (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + F.substring(F.rpad(got(LENGTH, 4), 3, "0"), 1, 3).try_cast("long")
+    video = got(VIDEO_LINE)
+    size = lambda k: number(F.regexp_extract(video, FRAME_SIZE, k), "int")
+    codec = F.nullif(got(VIDEO_CODEC), F.lit(""))
+    audio = F.nullif(got(AUDIO_CODEC), F.lit(""))
     return logs.select(
         "object_id", F.coalesce(duration, F.lit(0)).alias("duration_ms"), F.coalesce(size(1), F.lit(0)).alias("width"), F.coalesce(size(2), F.lit(0)).alias("height"),
-        F.coalesce(number(F.regexp_extract(video, r"([\d.]+)\s*fps", 1), "double"), F.lit(0.0)).alias("fps"), codec.isNotNull().alias("has_video"), audio.isNotNull().alias("has_audio"),
-        codec.alias("video_codec"), audio.alias("audio_codec"), number(F.regexp_extract(got(r"(Audio:.*)"), r"(\d{3,6})\s*Hz", 1), "int").alias("sample_rate"), F.col("log").contains("Input #0").alias("readable"),
+        F.coalesce(number(F.regexp_extract(video, FRAME_RATE, 1), "double"), F.lit(0.0)).alias("fps"), codec.isNotNull().alias("has_video"), audio.isNotNull().alias("has_audio"),
+        codec.alias("video_codec"), audio.alias("audio_codec"), number(F.regexp_extract(got(AUDIO_LINE), SAMPLE_RATE, 1), "int").alias("sample_rate"), F.col("log").contains(HEADER).alias("readable"),
     )
 
 
