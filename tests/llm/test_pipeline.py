@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from cuebeam.llm import simhash, suffix_dedup
+from cuebeam.llm import suffix_dedup
+from tests.llm.test_pairs import jaccard_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,12 +21,9 @@ def test_stages(spark, tmp_path):
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     before, accepted, distinct, cut = seen
     assert {d for d in before if d in quality and d in accepted} == {d for d in before if quality.get(d) == 1}
-    sets = {d: set(simhash.shingle_set(t, 5).tolist()) for d, t in accepted.items()}
-    kept = sorted(distinct)
-    for d in set(accepted) - set(distinct):
-        assert any(len(sets[d] & sets[o]) >= 0.3 * len(sets[d] | sets[o]) for o in kept if o < d)
-    similar = [(a, b) for i, a in enumerate(kept) for b in kept[:i] if len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b]))]
-    assert len(similar) <= 1
+    ids, kept = sorted(accepted), sorted(distinct)
+    first_of = jaccard_groups([accepted[d] for d in ids])
+    assert kept == [d for k, d in enumerate(ids) if first_of[k] == k] and len(kept) < len(ids)
     first = {}
     for d in kept:
         t = distinct[d].encode()
