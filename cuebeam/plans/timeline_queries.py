@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions import time
+from cuebeam.functions import text, time
 from cuebeam.operators import jobs, segments, shots, words
 from cuebeam.operators.script import nearest_descriptor as nearest
 from cuebeam.operators.stretches import numbered
-from cuebeam.plans.binding import MENTIONS_SQL, RUNS_SQL, event_mentions, table
+from cuebeam.plans.binding import MENTIONS_SQL, RUNS_SQL, WORDS_SQL, conversation_words, event_mentions, table
 from cuebeam.sources.files import timeline_export
+from cuebeam.staging import stage
 
 
 def event_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +53,15 @@ def enforce_floors(spark: SparkSession, d: str) -> DataFrame:
     return numbered(merged, ["job_id"], "from_word", "seg_index")
 
 
+def segment_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of conversations, in which the longer words of the first cue are names; every other one's voice goes on for 30 s."""
+    w = stage(conversation_words(spark, d), "timeline-words")
+    names = w.filter("cue_index = 0 and length(norm) >= 6").select("job_id", "norm").distinct()
+    said = w.join(names, ["job_id", "norm"]).select("job_id", "word_index", F.col("raw").alias("surface"), "start_ms", "end_ms", F.col("norm").alias("entity_id"), F.lit(1.0).alias("confidence"))
+    totals = w.groupBy("job_id").agg((F.max("end_ms") + F.when(F.col("job_id").cast("long") % 2 == 0, 30_000).otherwise(0)).alias("total_ms"))
+    return segments.build_segments(w, said, totals)
+
+
 def stabbing_join(spark: SparkSession, d: str) -> DataFrame:
     """The tile that holds each purchase, of the tiles of the other events."""
     e = event_mentions(spark, d)
@@ -150,7 +160,7 @@ def register_new(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        collapse_runs, event_tiles, ceiling_split, merge_adjacent, enforce_floors, stabbing_join, frame_spans, frame_totals, lane_buckets, median_shot, timeline_ticks, locf_context,
+        collapse_runs, event_tiles, ceiling_split, merge_adjacent, enforce_floors, segment_timeline, stabbing_join, frame_spans, frame_totals, lane_buckets, median_shot, timeline_ticks, locf_context,
         running_offset_export, nearest_descriptor, recent_jobs_topk, retention_filter, log_ring, status_counts, part_chunks, contiguity_check, settings_merge, register_new,
     )
 }
@@ -158,6 +168,8 @@ QUERIES["tile_timeline"] = QUERIES.pop("event_tiles")
 
 _FRAME = "CAST(floor({0} / 1000.0 * 30 + 0.5) AS BIGINT)"
 _FRAMES = f"greatest(1, {_FRAME.format('coalesce(lead(start_ms) OVER (PARTITION BY job_id ORDER BY start_ms), end_ms)')} - {_FRAME.format('start_ms')})"
+_CONNECTORS = ", ".join(f"'{w}'" for w in text.CONNECTORS)
+_REFERS = " OR ".join(f"regexp_matches(text, '{p}')" for p in text.REFERS_BACK)
 _STEP = "CASE " + " ".join(f"WHEN t / {s * 1000.0} <= 12 THEN {s * 1000}" for s in time.TICK_STEPS) + " ELSE 3600000 END"
 
 ORACLE = {
@@ -176,6 +188,45 @@ ORACLE = {
                 WHEN i < len(r) AND (r[i].e IS NULL OR r[i + 1].e IS NULL) THEN i + 1 END AS k FROM walk WHERE i <= len(r) AND len(r) > 1)),
         u AS (SELECT job_id, unnest(r) AS q, unnest(range(len(r))) AS seg_index FROM walk WHERE i > len(r) OR len(r) = 1)
         SELECT job_id, seg_index, q.f AS from_word, q.t AS to_word, CAST(q.a AS BIGINT) AS start_ms, CAST(q.b AS BIGINT) AS end_ms, q.e AS entity_id, q.x AS text FROM u""",
+    # each step as a walk: cuts over mentions, floors over segments, splits over parts
+    "segment_timeline": f"""WITH RECURSIVE {WORDS_SQL}, names AS (SELECT DISTINCT job_id, norm FROM words WHERE cue_index = 0 AND length(norm) >= 6),
+        ends AS (SELECT job_id, max(word_index) + 1 AS n, max(end_ms) + CASE WHEN CAST(job_id AS BIGINT) % 2 = 0 THEN 30000 ELSE 0 END AS total FROM words GROUP BY job_id),
+        said AS (SELECT w.*, lag(w.norm) OVER (PARTITION BY w.job_id ORDER BY word_index) AS b FROM words w JOIN names USING (job_id, norm)),
+        changes AS (SELECT job_id, word_index AS m, raw AS surface, end_ms AS until, norm AS e, row_number() OVER (PARTITION BY job_id ORDER BY word_index) AS k FROM said WHERE b IS DISTINCT FROM norm),
+        clauses AS (SELECT job_id, list({{'i': i, 'c': c}} ORDER BY i) AS l FROM (SELECT job_id, word_index AS i, CASE WHEN regexp_matches(raw, '[,;:—–-]$') THEN word_index + 1 WHEN norm IN ({_CONNECTORS}) THEN word_index END AS c FROM words) WHERE c IS NOT NULL GROUP BY 1),
+        cuts AS (SELECT CAST(NULL AS VARCHAR) AS job_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS cut, CAST(NULL AS VARCHAR) AS e, CAST(NULL AS VARCHAR) AS surface, CAST(0 AS BIGINT) AS until
+            UNION ALL SELECT c.job_id, c.k, coalesce(list_filter(l, lambda x: x.i >= greatest(cuts.cut + 1, m - 5) AND x.i < m)[-1].c, greatest(cuts.cut + 1, m)), c.e, c.surface, c.until
+            FROM cuts JOIN changes c ON (cuts.job_id = c.job_id OR (cuts.job_id IS NULL AND c.k = 1)) AND c.k = cuts.k + 1 LEFT JOIN clauses ON clauses.job_id = c.job_id),
+        spans AS (SELECT c.job_id, cut AS a, coalesce(lead(cut) OVER (PARTITION BY c.job_id ORDER BY c.k), n) AS b, e, surface, until FROM cuts c JOIN ends USING (job_id)),
+        inside AS (SELECT s.job_id, s.a, s.until, w.word_index, w.raw, w.start_ms, lag(raw) OVER (PARTITION BY s.job_id, s.a ORDER BY word_index) AS r1 FROM spans s JOIN words w ON w.job_id = s.job_id AND w.word_index >= s.a AND w.word_index < s.b),
+        flags AS (SELECT *, sum(CASE WHEN r1 IS NULL OR (regexp_matches(r1, '[.!?]["'')\\]]?$') AND NOT regexp_matches(r1, '^[A-Za-z]\\.$')) THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, a ORDER BY word_index) AS q FROM inside),
+        sent AS (SELECT job_id, a, q, min(word_index) AS f, arg_min(start_ms, word_index) - any_value(until) AS pause, string_agg(raw, ' ' ORDER BY word_index) AS text FROM flags GROUP BY 1, 2, 3),
+        hold AS (SELECT job_id, a, min(f) AS h FROM sent WHERE q > 1 AND NOT (pause <= 9000 AND ({_REFERS})) GROUP BY 1, 2),
+        rows0 AS (SELECT job_id, a AS f, coalesce(h, b) AS t, e, 'named' AS s, 1.0 AS c, surface AS g FROM spans LEFT JOIN hold USING (job_id, a)
+            UNION ALL SELECT job_id, h, b, NULL, 'broll', 0.0, NULL FROM spans JOIN hold USING (job_id, a)
+            UNION ALL SELECT job_id, 0, coalesce(min(a), any_value(n)), NULL, 'broll', 0.0, NULL FROM ends LEFT JOIN spans USING (job_id) GROUP BY job_id HAVING coalesce(min(a), any_value(n)) > 0),
+        timed AS (SELECT r.*, x.start_ms AS a, y.end_ms AS b FROM rows0 r JOIN words x ON x.job_id = r.job_id AND x.word_index = f JOIN words y ON y.job_id = r.job_id AND y.word_index = t - 1),
+        walk AS (SELECT job_id, 1 AS i, list({{'a': a, 'b': b, 'f': f, 't': t, 'e': e, 's': s, 'c': c, 'g': g}} ORDER BY f) AS r FROM timed GROUP BY job_id
+            UNION ALL SELECT job_id, CASE WHEN k IS NULL THEN i + 1 ELSE greatest(1, least(i, k) - 1) END,
+                CASE WHEN k IS NULL THEN r ELSE list_concat(r[1:least(i, k) - 1], [{{'a': r[least(i, k)].a, 'b': r[greatest(i, k)].b, 'f': r[least(i, k)].f, 't': r[greatest(i, k)].t, 'e': r[k].e, 's': r[k].s, 'c': r[k].c, 'g': r[k].g}}], r[greatest(i, k) + 1:]) END
+            FROM (SELECT *, CASE WHEN r[i].b - r[i].a >= CASE WHEN r[i].e IS NULL THEN 2000 ELSE 600 END THEN NULL
+                WHEN i > 1 AND r[i - 1].e IS NOT DISTINCT FROM r[i].e THEN i - 1 WHEN i < len(r) AND r[i + 1].e IS NOT DISTINCT FROM r[i].e THEN i + 1
+                WHEN i > 1 AND (r[i].e IS NULL OR r[i - 1].e IS NULL) AND NOT (i < len(r) AND (r[i].e IS NULL OR r[i + 1].e IS NULL) AND r[i + 1].b - r[i + 1].a < r[i - 1].b - r[i - 1].a) THEN i - 1
+                WHEN i < len(r) AND (r[i].e IS NULL OR r[i + 1].e IS NULL) THEN i + 1 END AS k FROM walk WHERE i <= len(r) AND len(r) > 1)),
+        floored AS (SELECT job_id, unnest(r) AS q FROM walk WHERE i > len(r) OR len(r) = 1),
+        segs AS (SELECT job_id, q.a AS a, q.b AS b, q.f AS f, q.t AS t, q.e AS e, q.s AS s, q.c AS c, q.g AS g, CAST(ceil((q.b - q.a) / 7000.0) AS BIGINT) AS parts FROM floored),
+        split AS (SELECT job_id, f AS seg, f, t, a, b - a AS len, CASE WHEN b - a > 7000 AND t - f >= 4 THEN parts ELSE 1 END AS parts, CAST(0 AS BIGINT) AS p FROM segs
+            UNION ALL SELECT x.job_id, seg, greatest(x.f + 1, least(coalesce(first(word_index ORDER BY abs(w.start_ms - (x.a + x.len / x.parts * (p + 1))), word_index), x.f + 1), x.t)), x.t, x.a, x.len, x.parts, p + 1
+            FROM split x LEFT JOIN words w ON w.job_id = x.job_id AND w.word_index > x.f AND w.word_index < x.t WHERE p < x.parts - 1 AND x.f < x.t GROUP BY x.job_id, seg, x.f, x.t, x.a, x.len, x.parts, p),
+        parts AS (SELECT x.job_id, x.f, coalesce(lead(x.f) OVER (PARTITION BY x.job_id ORDER BY x.f), x.t) AS t, w.start_ms AS a, s.b, s.e, s.s, s.c, CASE WHEN p = 0 THEN s.g END AS g
+            FROM split x JOIN segs s ON s.job_id = x.job_id AND s.f = x.seg JOIN words w ON w.job_id = x.job_id AND w.word_index = x.f WHERE x.f < x.t),
+        tiled AS (SELECT p.* EXCLUDE (a, b), CASE WHEN row_number() OVER o = 1 THEN 0 ELSE a END AS a, coalesce(lead(a) OVER o, greatest(total, CASE WHEN row_number() OVER o = 1 THEN 0 ELSE a END + 1)) AS b FROM parts p JOIN ends USING (job_id) WINDOW o AS (PARTITION BY p.job_id ORDER BY a, f)),
+        again AS (SELECT *, CASE WHEN b - a > 8750 THEN CAST(ceil((b - a) / 7000.0) AS BIGINT) ELSE 1 END AS n FROM tiled), cut AS (SELECT *, unnest(range(n)) AS p FROM again),
+        timeline AS (SELECT job_id, f, t, e, s, c, p, CASE WHEN p = 0 THEN g END AS g, a + CAST(floor((b - a) * p / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS x, CASE WHEN p = n - 1 THEN b ELSE a + CAST(floor((b - a) * (p + 1) / CAST(n AS DOUBLE) + 0.5) AS BIGINT) END AS y FROM cut),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY x, f, p) - 1 AS seg_index FROM timeline),
+        texts AS (SELECT r.job_id, r.f, string_agg(raw, ' ' ORDER BY word_index) AS text FROM tiled r JOIN words w ON w.job_id = r.job_id AND w.word_index >= r.f AND w.word_index < r.t GROUP BY 1, 2)
+        SELECT job_id, seg_index, CAST(x AS BIGINT) AS start_ms, CAST(y AS BIGINT) AS end_ms, CAST(y - x AS BIGINT) AS duration_ms, e AS entity_id, s AS source, CAST(c AS DOUBLE) AS confidence, CASE WHEN p = 0 THEN text ELSE '' END AS text,
+            CAST(f AS BIGINT) AS from_word, CAST(t AS BIGINT) AS to_word, g AS trigger_surface FROM numbered JOIN texts USING (job_id, f) WHERE y > x""",
     "merge_adjacent": f"""WITH {MENTIONS_SQL}, s AS (SELECT *, lead(start_ms) OVER o AS end_ms, lag(entity_id) OVER o AS b, row_number() OVER o AS rn FROM event_mentions WINDOW o AS (PARTITION BY job_id ORDER BY ord)),
         r AS (SELECT *, sum(CASE WHEN rn = 1 OR b IS DISTINCT FROM entity_id THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ord) AS run FROM s WHERE end_ms IS NOT NULL)
         SELECT job_id, min(ord) AS from_word, max(ord) + 1 AS to_word, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(end_ms) - min(start_ms) AS duration_ms, any_value(entity_id) AS entity_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY ord) AS text FROM r GROUP BY job_id, run""",
