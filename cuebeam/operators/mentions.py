@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions.names import similarity, similarity_udf, token_keys_udf
+from cuebeam.functions.names import similarity, similarity_udf, token_keys, token_keys_udf
 from cuebeam.functions.text import COMMON_WORDS, filename_tokens, guess_kind, normalize_word, slug, title_case, tokens
 
 #: Tokens of a known name under this length must be heard exactly.
@@ -63,29 +63,34 @@ def phrase_hits(phrases: DataFrame, words: DataFrame, fuzzy: bool = True, phonet
     return starts.filter("n = word_count").drop("n")
 
 
-def _cast(spoken: dict[tuple[str, ...], int], clips, declared, common: frozenset[str]):
+def _cast(spoken: dict[tuple[str, ...], int], clips, declared, common: frozenset[str], phonetic: bool = True):
     members: list[dict] = []
+    posted: dict[str, set[int]] = {}  # members by keys of their aliases' tokens: any two similar tokens share one
+
+    def alike(m, name):
+        for alias in m["aliases"]:
+            parts = alias.split(" ")
+            if len(parts) == len(name) and all(similarity(p, t, phonetic)[0] for p, t in zip(parts, name, strict=True)):
+                return True
+        return len(name) == 1 and len(name[0]) >= 3 and any(len(p) >= 3 and similarity(p, name[0], phonetic)[0] for a in m["aliases"] for p in a.split(" "))
 
     def find(name):
-        for m in members:
-            for alias in m["aliases"]:
-                parts = alias.split(" ")
-                if len(parts) == len(name) and all(similarity(p, t)[0] for p, t in zip(parts, name, strict=True)):
-                    return m
-            if len(name) == 1 and len(name[0]) >= 3 and any(len(p) >= 3 and similarity(p, name[0])[0] for a in m["aliases"] for p in a.split(" ")):
-                return m
-        return None
+        near = set().union(*[posted.get(k, ()) for k in token_keys(name[0], phonetic)])
+        return next((members[k] for k in sorted(near) if alike(members[k], name)), None)
 
     def join(name, shown, clip_id, auto):
         m = find(name)
         if m is None:
-            m = {"canonical": shown, "aliases": {}, "clips": [], "auto": auto}
+            m = {"number": len(members), "canonical": shown, "aliases": {}, "clips": [], "auto": auto}
             members.append(m)
         elif clip_id is not None:
             m["auto"] = True
         else:
             return
-        m["aliases"][" ".join(name)] = None
+        if " ".join(name) not in m["aliases"]:
+            m["aliases"][" ".join(name)] = None
+            for key in {k for t in name for k in token_keys(t, phonetic)}:
+                posted.setdefault(key, set()).add(m["number"])
         if clip_id is not None:
             m["clips"].append(clip_id)
 
@@ -105,7 +110,7 @@ def _cast(spoken: dict[tuple[str, ...], int], clips, declared, common: frozenset
     return members
 
 
-def build_cast(clips: DataFrame, words: DataFrame, declared: DataFrame | None = None, common_words: frozenset[str] = COMMON_WORDS) -> DataFrame:
+def build_cast(clips: DataFrame, words: DataFrame, declared: DataFrame | None = None, common_words: frozenset[str] = COMMON_WORDS, phonetic: bool = True) -> DataFrame:
     """entity_ord, entity_id, canonical, aliases, auto, kind and clip_ids of each job's cast.
 
     clips: job_id, clip_ord, clip_id, filename, tags; declared: job_id, name_ord, name. A clip's name is the
@@ -117,7 +122,7 @@ def build_cast(clips: DataFrame, words: DataFrame, declared: DataFrame | None =
     reading = readings.select("job_id", F.explode("readings").alias("r")).filter(F.size("r") > 0)
     prefixes = reading.select("job_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size("r"))), lambda k: F.slice("r", 1, k))).alias("tokens")).distinct()
     prefixes = prefixes.withColumn("phrase_id", F.array_join("tokens", " "))
-    hits = phrase_hits(prefixes, words).groupBy("job_id", "phrase_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = phrase_hits(prefixes, words, phonetic=phonetic).groupBy("job_id", "phrase_id").agg(F.count(F.lit(1)).alias("hits"))
     spoken = hits.groupBy("job_id").agg(F.collect_list(F.struct("phrase_id", "hits")).alias("spoken"))
     by_job = readings.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("clip_ord", "clip_id", "tagged", "readings"))).alias("clips"))
     jobs = by_job.join(spoken, "job_id", "left")
@@ -136,7 +141,7 @@ def build_cast(clips: DataFrame, words: DataFrame, declared: DataFrame | None =
             out = []
             for job in pdf.itertuples():
                 said = {tuple(s["phrase_id"].split(" ")): s["hits"] for s in some(job.spoken)}
-                members = _cast(said, [(c["clip_id"], c["tagged"], c["readings"]) for c in some(job.clips)], [(d["name"], d["tokens"]) for d in some(job.declared)], common_words)
+                members = _cast(said, [(c["clip_id"], c["tagged"], c["readings"]) for c in some(job.clips)], [(d["name"], d["tokens"]) for d in some(job.declared)], common_words, phonetic)
                 out += [(job.job_id, k, m["canonical"], list(m["aliases"]), m["auto"], m["clips"]) for k, m in enumerate(members)]
             yield pd.DataFrame(out, columns=["job_id", "entity_ord", "shown", "seeds", "auto", "clip_ids"])
 

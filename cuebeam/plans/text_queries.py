@@ -142,6 +142,22 @@ def fuzzy_mentions(spark: SparkSession, d: str) -> DataFrame:
     return mentions.find_mentions(*_misspelt_names(spark, d), phonetic=False).withColumn("confidence", F.round("confidence", 9))
 
 
+def conversation_cast(spark: SparkSession, d: str) -> DataFrame:
+    """The cast of each conversation, by spelling: clips named after the longer words of its first cue, alone, with the next one or in the plural, some tagged, and one name declared."""
+    w = stage(conversation_words(spark, d), "cast-words")
+    plain = F.regexp_like("norm", F.lit("^[a-z]{5,}$")) & ~F.col("norm").isin(*sorted(text.QUALIFIERS))
+    first = w.filter("cue_index = 0").filter(plain).groupBy("job_id", "norm").agg(F.min("word_index").alias("at"))
+    by = Window.partitionBy("job_id").orderBy("at")
+    k = F.col("clip_ord")
+    named = first.withColumns({"clip_ord": (F.row_number().over(by) - 1).cast("long"), "nxt": F.lead("norm").over(by)})
+    filename = F.when(k % 3 == 0, F.concat("norm", F.lit("_take_1.mp4"))).when(k % 3 == 1, F.concat("norm", F.lit("_"), F.coalesce("nxt", F.lit("")), F.lit(".mp4"))).otherwise(F.concat("norm", F.lit("s_02.mp4")))
+    tags = F.when(k % 7 == 3, F.array(F.concat("norm", F.lit(" Zed")))).otherwise(F.array().cast("array<string>"))
+    clips = named.select("job_id", "clip_ord", F.concat(F.lit("c"), k).alias("clip_id"), filename.alias("filename"), tags.alias("tags"))
+    declared = named.filter("clip_ord = 1").select("job_id", F.lit(0).alias("name_ord"), F.initcap("norm").alias("name"))
+    cast = mentions.build_cast(clips, w, declared, phonetic=False)
+    return cast.select("job_id", "entity_ord", "entity_id", "canonical", F.array_join("aliases", "|").alias("aliases"), "kind", F.array_join("clip_ids", ",").alias("clip_ids"))
+
+
 def phonetic_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The same by spelling and sound."""
     return mentions.find_mentions(*_misspelt_names(spark, d))
@@ -217,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_words, document_words, clean_markup, parse_timestamp, format_units, srt_roundtrip, messy_subtitles, cue_repair_overlap, sentence_islands, filename_tokens, stopword_antijoin,
-        slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, similar_tokens, fuzzy_mentions, phonetic_mentions, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
+        slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, similar_tokens, fuzzy_mentions, conversation_cast, phonetic_mentions, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
         nearest_onset, warning_dedupe, longest_term_match, clip_tags, highlight_names, strip_transcript, line_token_counts, even_word_timing,
     )
 } | {"word_timeline": conversation_words}
@@ -245,14 +261,47 @@ _OSA = """list_reduce(list_transform(range(1, length(known) + 1), lambda i: [i])
                 CASE WHEN e[1] > 1 AND f[1] > 1 AND known[e[1]] = heard[f[1] - 1] AND known[e[1] - 1] = heard[f[1]] THEN acc[f[1] - 1] + 1 ELSE 999 END)), [e[1]])),
         list_concat(range(0, length(heard) + 1), range(0, length(heard) + 1)))[-1]"""
 _STEM = "regexp_replace(regexp_replace({0}, '(''s|s'')$', ''), 's$', '')"
-#: Of pairs (known, heard): near (score), all that match by spelling but are not equal.
+#: Of pairs (known, heard): near (score), all that match by spelling but are not equal. The unrestricted distance is never over the restricted one.
 _NEAR = f"""sized AS (SELECT known, heard, greatest(length(known), length(heard)) AS n, {_STEM.format('known')} = {_STEM.format('heard')} AS same FROM pairs
         WHERE known <> heard AND length(known) >= 4 AND length(heard) > 0 AND known[1] = heard[1] AND abs(length(known) - length(heard)) <= 3),
     budgeted AS (SELECT *, CASE WHEN n <= 4 THEN 0 WHEN n <= 6 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS budget FROM sized),
-    measured AS (SELECT known, heard, n, same, budget, {_OSA} AS d FROM budgeted WHERE same OR (budget > 0 AND levenshtein(known, heard) <= 2 * budget)),
+    measured AS (SELECT known, heard, n, same, budget, {_OSA} AS d FROM budgeted WHERE same OR (budget > 0 AND damerau_levenshtein(known, heard) <= budget)),
     near AS (SELECT known, heard, CASE WHEN same THEN 0.98 ELSE 1 - d / CAST(n + 1 AS DOUBLE) END AS score FROM measured WHERE same OR (budget > 0 AND d <= budget))"""
 
+_SIMILAR = "({0} = {1} OR list_contains(sims, {0} || ' ' || {1}))"
+_KNOWN = f"""len(list_filter(members[j].seeds, lambda a: (len(string_split(a, ' ')) = len(name) AND len(list_filter(range(1, len(name) + 1), lambda q: NOT {_SIMILAR.format("string_split(a, ' ')[q]", 'name[q]')})) = 0)
+            OR (len(name) = 1 AND length(name[1]) >= 3 AND len(list_filter(string_split(a, ' '), lambda p: length(p) >= 3 AND {_SIMILAR.format('p', 'name[1]')})) > 0))) > 0"""
+_COMMON = _in(text.COMMON_WORDS)
+
 ORACLE = {
+    "conversation_cast": rf"""WITH RECURSIVE {WORDS_SQL}, opening AS (SELECT job_id, norm, min(word_index) AS place FROM words WHERE cue_index = 0 AND regexp_matches(norm, '^[a-z]{{5,}}$') AND norm NOT IN ({_in(text.QUALIFIERS)}) GROUP BY 1, 2),
+        named AS (SELECT *, row_number() OVER o - 1 AS k, lead(norm) OVER o AS nxt FROM opening WINDOW o AS (PARTITION BY job_id ORDER BY place)),
+        readings AS (SELECT job_id, k, k % 7 = 3 AS tagged, CASE WHEN k % 7 <> 3 AND k % 3 = 2 THEN norm || 's' ELSE norm END AS t1, CASE WHEN k % 7 = 3 THEN 'zed' WHEN k % 3 = 1 THEN nxt END AS t2 FROM named),
+        toks AS (SELECT DISTINCT job_id, t FROM (SELECT job_id, t1 AS t FROM readings UNION SELECT job_id, t2 FROM readings UNION SELECT job_id, norm FROM named) WHERE t IS NOT NULL),
+        pairs AS (SELECT DISTINCT known, heard FROM (SELECT t AS known, job_id FROM toks) JOIN (SELECT norm AS heard, job_id FROM words UNION SELECT t, job_id FROM toks) USING (job_id) WHERE known[1] = heard[1]),
+        {_NEAR}, alike AS (SELECT known, heard FROM near UNION SELECT known, heard FROM pairs WHERE known = heard),
+        follow AS (SELECT job_id, norm, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words),
+        one AS (SELECT DISTINCT r.job_id, k FROM readings r JOIN alike ON known = t1 JOIN words w ON w.job_id = r.job_id AND w.norm = heard),
+        two AS (SELECT DISTINCT r.job_id, k FROM readings r JOIN alike a ON a.known = t1 JOIN alike b ON b.known = t2 JOIN follow f ON f.job_id = r.job_id AND f.norm = a.heard AND f.nxt = b.heard),
+        resolved AS (SELECT job_id, k, 'c' || k AS clip, NULL AS shown, CASE WHEN two.k IS NOT NULL THEN [t1, t2] WHEN one.k IS NOT NULL AND t1 NOT IN ({_COMMON}) THEN [t1] WHEN tagged THEN [t1, t2] END AS name
+            FROM readings LEFT JOIN one USING (job_id, k) LEFT JOIN two USING (job_id, k)),
+        entries AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k) AS i FROM (SELECT * FROM resolved WHERE name IS NOT NULL UNION ALL SELECT job_id, -1, NULL, upper(norm[1]) || norm[2:], [norm] FROM named WHERE k = 1)),
+        simset AS (SELECT t.job_id, list(n.known || ' ' || n.heard) AS sims FROM toks t JOIN near n ON n.known = t.t JOIN toks u ON u.job_id = t.job_id AND u.t = n.heard GROUP BY 1),
+        known_pairs AS (SELECT job_id, coalesce(any_value(sims), CAST([] AS VARCHAR[])) AS sims FROM entries LEFT JOIN simset USING (job_id) GROUP BY 1),
+        walk AS (SELECT job_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(shown VARCHAR, seeds VARCHAR[], clips VARCHAR[])[]) AS members FROM (SELECT DISTINCT job_id FROM entries)
+            UNION ALL SELECT job_id, i, CASE WHEN j IS NULL THEN list_append(members, {{'shown': shown, 'seeds': [array_to_string(name, ' ')], 'clips': CASE WHEN clip IS NULL THEN CAST([] AS VARCHAR[]) ELSE [clip] END}})
+                WHEN clip IS NULL THEN members ELSE list_concat(members[1:j - 1], [{{'shown': members[j].shown, 'seeds': CASE WHEN list_contains(members[j].seeds, array_to_string(name, ' ')) THEN members[j].seeds ELSE list_append(members[j].seeds, array_to_string(name, ' ')) END, 'clips': list_append(members[j].clips, clip)}}], members[j + 1:]) END
+            FROM (SELECT w.job_id, e.i, w.members, e.name, e.clip, e.shown, list_filter(range(1, len(members) + 1), lambda j: {_KNOWN})[1] AS j
+                FROM walk w JOIN entries e ON e.job_id = w.job_id AND e.i = w.i + 1 JOIN known_pairs kp ON kp.job_id = w.job_id)),
+        done AS (SELECT job_id, unnest(members) AS m, unnest(range(len(members))) AS entity_ord FROM walk QUALIFY i = max(i) OVER (PARTITION BY job_id)),
+        titled AS (SELECT job_id, entity_ord, m.seeds AS seeds, m.clips AS clips, coalesce(m.shown, array_to_string(list_transform(string_split(m.seeds[1], ' '), lambda x: upper(x[1]) || x[2:]), ' ')) AS canonical FROM done),
+        whole AS (SELECT *, list_filter(list_append(seeds, lower(canonical)), lambda x: length(x) >= 2 AND x NOT IN ({_COMMON})) AS own FROM titled),
+        every AS (SELECT *, list_filter(list_concat(own, flatten(list_transform(list_filter(own, lambda x: contains(x, ' ')), lambda x: [string_split(x, ' ')[1], string_split(x, ' ')[-1], array_to_string(list_transform(string_split(x, ' '), lambda y: y[1]), '')]))), lambda x: length(x) >= 2 AND x NOT IN ({_COMMON})) AS a FROM whole),
+        ranked AS (SELECT job_id, entity_ord, x, min(n) AS n FROM (SELECT job_id, entity_ord, unnest(a) AS x, unnest(range(len(a))) AS n FROM every) GROUP BY 1, 2, 3),
+        aliases AS (SELECT job_id, entity_ord, string_agg(x, '|' ORDER BY len(string_split(x, ' ')) DESC, length(x) DESC, n) AS aliases FROM ranked GROUP BY 1, 2),
+        slugs AS (SELECT *, replace(lower(canonical), ' ', '-') AS slug, row_number() OVER (PARTITION BY job_id, replace(lower(canonical), ' ', '-') ORDER BY entity_ord) AS n FROM titled)
+        SELECT job_id, entity_ord, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS entity_id, canonical, coalesce(aliases, '') AS aliases,
+            CASE WHEN regexp_matches(canonical, '{text.ORGANISATION}') THEN 'organisation' ELSE 'person' END AS kind, array_to_string(clips, ',') AS clip_ids FROM slugs LEFT JOIN aliases USING (job_id, entity_ord)""",
     "similar_tokens": f"""WITH k AS (SELECT DISTINCT {sql_norm('raw')} AS known FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM benchmark)), h AS (SELECT DISTINCT {sql_norm('raw')} AS heard FROM (SELECT unnest({sql_tokens('text')}) AS raw FROM conversations)),
         pairs AS (SELECT known, heard FROM k JOIN h ON known[1] = heard[1]), {_NEAR} SELECT known, heard, score FROM near""",
     "fuzzy_mentions": rf"""WITH RECURSIVE {WORDS_SQL}, opening AS (SELECT *, lead(norm) OVER (PARTITION BY job_id ORDER BY word_index) AS nxt FROM words WHERE cue_index = 0),
