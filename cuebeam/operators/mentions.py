@@ -154,6 +154,21 @@ def build_cast(clips: DataFrame, words: DataFrame, declared: DataFrame | None =
     return cast.select("job_id", "entity_ord", "entity_id", "canonical", expand_aliases(F.col("seeds"), F.col("canonical"), common_words).alias("aliases"), "auto", guess_kind(canonical).alias("kind"), "clip_ids")
 
 
+#: How many names a job may declare, and how long each may be.
+MOST_NAMES, LONGEST_NAME = 60, 80
+
+
+def declared_bounds(declared: DataFrame) -> DataFrame:
+    """names, longest and admitted of each job's declared names (job_id, name_ord, name)."""
+    sizes = declared.groupBy("job_id").agg(F.count(F.lit(1)).alias("names"), F.max(F.coalesce(F.length("name"), F.lit(0))).cast("long").alias("longest"))
+    return sizes.withColumn("admitted", (F.col("names") <= MOST_NAMES) & (F.col("longest") <= LONGEST_NAME))
+
+
+def known_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mentions of entities that a job has."""
+    return mentions.join(entities.select("job_id", "entity_id"), ["job_id", "entity_id"], "left_semi")
+
+
 def expand_aliases(seeds: Column, canonical: Column, common_words: frozenset[str] = COMMON_WORDS) -> Column:
     """Seeds and the name itself, with the first word, the last word and the initials of each of several words.
 
@@ -235,4 +250,4 @@ def bind_clips(clips: DataFrame, entities: DataFrame) -> DataFrame:
     return clips.drop("entity_ids").join(last, ["job_id", "clip_id"], "left").withColumn("entity_ids", F.when(F.col("e").isNull(), F.array().cast("array<string>")).otherwise(F.array("e"))).drop("e")
 
 
-__all__ = ["bind_clips", "build_cast", "clip_readings", "expand_aliases", "find_mentions", "greedy_spans", "observe", "phrase_hits", "surface_variants", "token_candidates", "token_pairs"]
+__all__ = ["bind_clips", "build_cast", "clip_readings", "declared_bounds", "expand_aliases", "find_mentions", "greedy_spans", "known_mentions", "observe", "phrase_hits", "surface_variants", "token_candidates", "token_pairs"]

@@ -11,6 +11,7 @@ from cuebeam.plans import text_queries
 from cuebeam.plans.binding import CLIPS_SQL, MENTIONS_SQL, event_mentions, table
 from cuebeam.plans.plan_queries import _POOLS, LIBRARY_PARTS, _clips, _job_clips, _pooled, _shots
 from cuebeam.sources import files
+from cuebeam.staging import scratch
 
 
 def osa_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +98,41 @@ def admit_files(spark: SparkSession, d: str) -> DataFrame:
     return files.admit(p).select("name", "size", "kind", "safe_name")
 
 
-QUERIES = {f.__name__: f for f in (osa_distance, name_similarity, cue_repair, expand_aliases, observe, bind_clips, resolve_tags, plan_warnings, replace_clip, job_summary, admit_files)}
+def declared_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as jobs that declare their customers: some too many, some with names that are too long."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("job_id"), F.col("c_custkey").alias("name_ord"), F.expr("repeat(c_name, int(c_custkey % 6))").alias("name"))
+    return mentions.declared_bounds(c)
+
+
+def known_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a type that the user's even events have, too."""
+    e = event_mentions(spark, d).select("job_id", "entity_id", "event_id")
+    return mentions.known_mentions(e, e.filter("event_id % 8 = 0").select("job_id", "entity_id"))
+
+
+def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as job manifests with their lines as clips, written as JSON and read again."""
+    line = F.struct(F.concat(F.lit("c"), "l_linenumber").alias("clip_id"), F.col("l_returnflag").alias("filename"), F.col("l_partkey").cast("string").alias("key"), (F.col("l_quantity") * 100).cast("long").alias("duration_ms"))
+    clips = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("clips"))
+    o = table(spark, d, "orders").join(clips, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    path = scratch(spark, "manifests")
+    files.write_manifests(o.select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("stage"), F.col("o_custkey").alias("created_at"), "clips"), path)
+    read = files.read_manifests(spark, path, lines=True)
+    return read.select("job_id", "name", "stage", "created_at", F.coalesce(F.size("clips"), F.lit(0)).cast("long").alias("clips"), F.coalesce(F.aggregate("clips", F.lit(0).cast("long"), lambda n, c: n + c["duration_ms"]), F.lit(0)).alias("duration_ms"), F.col("output").isNull().alias("open"))
+
+
+def project_table(spark: SparkSession, d: str) -> DataFrame:
+    """Customers inserted into a table, every tenth and all suppliers put in or replaced, and a nation's deleted."""
+    t = files.Table(spark, scratch(spark, "projects"), "id string, name string, n long")
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("n"))
+    t.insert(c)
+    more = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("n"))
+    t.upsert(c.filter("id like '%0'").withColumns({"name": F.upper("name"), "n": F.col("n") + 1}).unionByName(more), "id")
+    t.delete(n=3)
+    return t.select()
+
+
+QUERIES = {f.__name__: f for f in (declared_bounds, known_mentions, manifest_roundtrip, project_table, osa_distance, name_similarity, cue_repair, expand_aliases, observe, bind_clips, resolve_tags, plan_warnings, replace_clip, job_summary, admit_files)}
 
 # edit distance with swaps of neighbours, a cell at a time: two rows before, the row before, and this one so far
 _CELL = "least(pr[len(cu) + 1] + 1, cu[len(cu)] + 1, pr[len(cu)] + CAST(a[i] <> b[len(cu)] AS INT), CASE WHEN i > 1 AND len(cu) > 1 AND a[i] = b[len(cu) - 1] AND a[i - 1] = b[len(cu)] THEN pp[len(cu) - 1] + 1 ELSE 99 END)"
@@ -111,6 +146,14 @@ _FIT = "CASE WHEN {0} >= duration_ms THEN 'trim' WHEN {0} < 400 THEN 'stretch' E
 _LOOPS = "CAST(CASE WHEN {0} < duration_ms AND {0} >= 400 THEN least(6, ceil(CAST(duration_ms AS DOUBLE) / {0})) ELSE 1 END AS BIGINT)"
 
 ORACLE = {
+    "declared_bounds": """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS job_id, count(*) AS names, CAST(max(length(repeat(c_name, CAST(c_custkey % 6 AS INTEGER)))) AS BIGINT) AS longest FROM customer GROUP BY 1)
+        SELECT *, names <= 60 AND longest <= 80 AS admitted FROM c""",
+    "known_mentions": f"""WITH {MENTIONS_SQL} SELECT job_id, entity_id, event_id FROM event_mentions e
+        WHERE EXISTS (SELECT 1 FROM event_mentions k WHERE k.event_id % 8 = 0 AND k.job_id = e.job_id AND k.entity_id = e.entity_id)""",
+    "manifest_roundtrip": """WITH l AS (SELECT l_orderkey, count(*) AS clips, CAST(sum(CAST(l_quantity * 100 AS BIGINT)) AS BIGINT) AS duration_ms FROM lineitem GROUP BY 1)
+        SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority AS name, o_orderstatus AS stage, o_custkey AS created_at, coalesce(clips, 0) AS clips, coalesce(duration_ms, 0) AS duration_ms, true AS open FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
+    "project_table": """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS name, CAST(c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n FROM customer
+        WHERE c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END <> 3 UNION ALL SELECT 's' || s_suppkey, s_name, CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_nationkey <> 3""",
     "osa_distance": f"WITH RECURSIVE {_DISTANCES} SELECT a, b, distance FROM far",
     "name_similarity": f"""WITH RECURSIVE {_DISTANCES}, s AS (SELECT *, {_STEM.format('a')} = {_STEM.format('b')} AS stem FROM far)
         SELECT a, b, CASE WHEN stem THEN 0.98 ELSE 1 - CAST(distance AS DOUBLE) / (greatest(length(a), length(b)) + 1) END AS score, CASE WHEN stem THEN 'exact' ELSE 'edit' END AS reason FROM s WHERE stem OR distance <= budget""",

@@ -19,9 +19,9 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("job_id"), F.col("value").alias("text"))
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Job manifests, one JSON document a file, under a fixed schema."""
-    return spark.read.schema(MANIFEST).json(path, multiLine=True)
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Job manifests under a fixed schema: one JSON document a file or, as write_manifests() writes them, a line."""
+    return spark.read.schema(MANIFEST).json(path, multiLine=not lines)
 
 
 def write_manifests(jobs: DataFrame, path: str) -> None:

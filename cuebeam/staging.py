@@ -44,6 +44,13 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, of no table yet, that goes when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -51,9 +58,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     table goes when the process ends, or earlier through drop().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

@@ -47,3 +47,32 @@ def test_collapse_live(spark, tmp_path, batches):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["ord"] for r in spark.table(name).collect()) == [0, 2, 4, 5]
+
+
+def test_progress_table(spark, tmp_path):
+    """A row for each query: what it has read, and how it ended."""
+    import time
+
+    from cuebeam.streaming import progress
+
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    listener = progress.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
+    try:
+        source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        good = source.writeStream.format("noop").queryName("good").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        bad = source.selectExpr("raise_error('no')").writeStream.format("noop").queryName("bad").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        good.awaitTermination()
+        with pytest.raises(Exception):  # noqa: B017
+            bad.awaitTermination()
+        for _ in range(100):
+            if {v["state"] for v in listener.seen.values()} == {"done", "failed"} and len(listener.seen) == 2:
+                break
+            time.sleep(0.3)
+        time.sleep(2)
+        rows = {r["name"]: r for r in progress.read_progress(spark, str(tmp_path / "progress")).collect()}
+    finally:
+        spark.streams.removeListener(listener)
+    assert set(rows) == {"good", "bad"} and (rows["good"]["state"], rows["good"]["rows_total"], rows["good"]["batch_id"]) == ("done", 30, 2)
+    assert rows["bad"]["state"] == "failed" and "no" in rows["bad"]["error"]
