@@ -133,9 +133,11 @@ def analyse_tiling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of conversations; those of two roles name a character."""
+    """Turns of conversations; the first one and every sixth from there name a character: the assistant, or else the user."""
     lines = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("job_id"), F.col("turn").cast("long").alias("line_ord"), "text", "role")
-    return script.match_lines(lines.drop("role"), lines.filter("line_ord % 6 = 1").select("job_id", "line_ord", F.col("role").alias("character")))
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("line_ord"))
+    named = lines.withColumn("place", place).filter("place % 6 = 1").select("job_id", "line_ord", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("character"))
+    return script.match_lines(lines.drop("role"), named)
 
 
 def plan_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -290,6 +292,24 @@ ORACLE = {
         walk AS (SELECT job_id, ord, 1 AS since, false AS stop FROM r WHERE ord = 0
             UNION ALL SELECT r.job_id, r.ord, CASE WHEN stop THEN 1 ELSE since + 1 END, n >= 5 AND CASE WHEN stop THEN 1 ELSE since + 1 END >= 4 FROM walk JOIN r ON r.job_id = walk.job_id AND r.ord = walk.ord + 1)
         SELECT job_id, ord AS line_ord, stop AS break_after FROM walk""",
+    "plan_lines": r"""WITH RECURSIVE l AS (SELECT CAST(conv_id AS VARCHAR) AS job_id, turn, lower(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role FROM conversations),
+        n AS (SELECT *, CASE WHEN k % 6 = 1 THEN CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END END AS named FROM l),
+        c AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM n),
+        r AS (SELECT *, CASE WHEN named IS NOT NULL THEN 'name' WHEN regexp_matches(t, '\b(he|his|him|they|their|them)\b') AND NOT regexp_matches(t, '\b(she|her)\b') THEN 'context' ELSE 'continue' END AS reason,
+            CASE WHEN owner = 'user' THEN ['c0', 'c1'] ELSE ['c2', 'c3', 'c4'] END AS pool, CASE WHEN owner = 'user' THEN ['c2', 'c3', 'c4'] ELSE ['c0', 'c1'] END AS others, row_number() OVER (PARTITION BY job_id, owner ORDER BY k) AS u FROM c),
+        runs AS (SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS owner, 0 AS run, 0 AS since, false AS stop FROM (SELECT DISTINCT job_id FROM r)
+            UNION ALL SELECT x.job_id, r.k, r.owner, CASE WHEN r.owner = x.owner THEN run + 1 ELSE 1 END, CASE WHEN stop THEN 1 ELSE since + 1 END, CASE WHEN r.owner = x.owner THEN run + 1 ELSE 1 END >= 5 AND CASE WHEN stop THEN 1 ELSE since + 1 END >= 4 FROM runs x JOIN r ON r.job_id = x.job_id AND r.k = x.k + 1),
+        breaks AS (SELECT job_id, k, row_number() OVER (PARTITION BY job_id, owner ORDER BY k) - 1 AS b FROM runs WHERE stop),
+        rows_ AS (SELECT job_id, k, 0 AS kind, turn AS line_ord, owner, pool, pool[(u - 1) % len(pool) + 1] AS clip, reason FROM r
+            UNION ALL SELECT r.job_id, r.k, 1, NULL, owner, pool, others[b % len(others) + 1], 'break' FROM r JOIN breaks USING (job_id, k)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k, kind) AS p FROM rows_),
+        counts AS (SELECT job_id, count(*) FILTER (owner = 'user') AS nu, count(*) FILTER (owner <> 'user') AS na FROM r GROUP BY 1),
+        walk AS (SELECT job_id, CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS line_ord, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS clip, CAST(NULL AS VARCHAR) AS reason, nu, na FROM counts
+            UNION ALL SELECT job_id, p, line_ord, owner, CASE WHEN same THEN pool[(n + skip) % len(pool) + 1] ELSE clip END, CASE WHEN same THEN reason || ', rotated' ELSE reason END,
+                CASE WHEN same AND owner = 'user' THEN nu + skip + 1 ELSE nu END, CASE WHEN same AND owner <> 'user' THEN na + skip + 1 ELSE na END
+            FROM (SELECT *, CASE WHEN pool[n % len(pool) + 1] = clip THEN 1 ELSE 0 END AS skip FROM (SELECT w.job_id, q.p, q.line_ord, q.owner, q.clip, q.reason, q.pool, w.nu, w.na, coalesce(q.clip = w.clip, false) AND q.kind = 0 AS same, CASE WHEN q.owner = 'user' THEN w.nu ELSE w.na END AS n
+                FROM walk w JOIN placed q ON q.job_id = w.job_id AND q.p = w.p + 1)))
+        SELECT job_id, p - 1 AS position, CAST(line_ord AS BIGINT) AS line_ord, owner AS character, clip AS clip_id, reason FROM walk WHERE p > 0""",
     "script_lines": r"""WITH RECURSIVE t AS (SELECT conv_id || ':' || turn AS job_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(regexp_replace(text, '\r?\n', ' ', 'g'), '\s{2,}', ' ', 'g')), '([.!?]+)\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM conversations),
         u AS (SELECT job_id, unnest(p) AS piece, unnest(range(len(p))) AS k, len(p) AS n FROM t), v AS (SELECT *, len(list_filter(regexp_split_to_array(piece, '\s+'), lambda x: x <> '')) AS c FROM u),
         walk AS (SELECT job_id, k, n, piece AS held, c, 0 AS line FROM v WHERE k = 0

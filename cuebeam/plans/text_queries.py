@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuebeam.functions import names, text, time
 from cuebeam.operators import cues as cue_ops
-from cuebeam.operators import mentions, words
+from cuebeam.operators import mentions, script, words
 from cuebeam.staging import stage
 from cuebeam.plans.binding import (
     CLIPS_SQL, CUES_SQL, MENTIONS_SQL, SENTENCES_SQL, WORDS_SQL, conversation_cues, conversation_words, event_mentions, part_clips, sql_norm, sql_tokens, sql_weight, table,
@@ -223,6 +223,14 @@ def line_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.explode(text.line_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def align_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Where every other turn of a conversation, backwards in its words, is said in it, in seconds."""
+    cues = conversation_cues(spark, d).select("job_id", F.col("cue_index").alias("block_index"), (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text")
+    lines = cues.filter("block_index % 2 = 0").select("job_id", F.col("block_index").alias("line_ord"), F.array_join(F.reverse(F.split("text", " ")), " ").alias("text"))
+    found = script.align_lines(lines, words.even_timeline(cues))
+    return found.select("job_id", "line_ord", F.round("line_start", 6).alias("line_start"), F.round("line_end", 6).alias("line_end"))
+
+
 def even_word_timing(spark: SparkSession, d: str) -> DataFrame:
     simple = cue_ops.parse_simple_srt(cue_ops.render_srt(conversation_cues(spark, d)))
     w = words.even_timeline(simple)
@@ -234,7 +242,7 @@ QUERIES = {
     for f in (
         tokenize_words, document_words, clean_markup, parse_timestamp, format_units, srt_roundtrip, messy_subtitles, cue_repair_overlap, sentence_islands, filename_tokens, stopword_antijoin,
         slug_title_kind, edit_budget_blocked_pairs, osa_similarity, phonetic_match, similar_tokens, fuzzy_mentions, conversation_cast, phonetic_mentions, exact_mentions, greedy_mentions, variant_mode, clause_lookback, carry_forward_hold,
-        nearest_onset, warning_dedupe, longest_term_match, clip_tags, highlight_names, strip_transcript, line_token_counts, even_word_timing,
+        nearest_onset, warning_dedupe, longest_term_match, clip_tags, highlight_names, strip_transcript, line_token_counts, even_word_timing, align_lines,
     )
 } | {"word_timeline": conversation_words}
 
@@ -359,6 +367,20 @@ ORACLE = {
         SELECT job_id, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(max(greatest(b, a + 1)) AS BIGINT) AS last_ms FROM x GROUP BY 1""",
     "strip_transcript": rf"""WITH {CUES_SQL}, f AS (SELECT job_id, string_agg((cue_index + 1) || chr(10) || {_COMMA.format('start_ms')} || ' --> ' || {_COMMA.format('(start_ms + span)')} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_index) AS t FROM cues GROUP BY 1)
         SELECT job_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\d+\r?\n', '', 'g'), '[\d:,]+ --> [\d:,.]+', '', 'g'), '<[^>]+>', '', 'g'), 'WEBVTT.*\n', '', 'g'), '\n{{2,}}', ' ', 'g')) AS text FROM f""",
+    # a plain scan of all windows that a line may be in
+    "align_lines": rf"""WITH RECURSIVE {CUES_SQL}, said AS (SELECT job_id, cue_index, start_ms / 1000.0 AS a, (start_ms + span) / 1000.0 AS b, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM cues),
+        every AS (SELECT job_id, cue_index, unnest(w) AS word, unnest(range(len(w))) AS pos, CAST(a AS DOUBLE) AS a, (CAST(b AS DOUBLE) - CAST(a AS DOUBLE)) / len(w) AS step FROM said),
+        script AS (SELECT job_id, list(word ORDER BY cue_index, pos) AS words, list(a + pos * step ORDER BY cue_index, pos) AS starts, list(a + (pos + 1) * step ORDER BY cue_index, pos) AS ends FROM every GROUP BY 1),
+        lines AS (SELECT job_id, cue_index AS line_ord, row_number() OVER (PARTITION BY job_id ORDER BY cue_index) AS k, list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string(list_reverse(string_split(text, ' ')), ' ')), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 1 AND x NOT IN ({_in(text.LINE_STOP_WORDS)})) AS toks FROM cues WHERE cue_index % 2 = 0),
+        wanted AS (SELECT *, list_distinct(toks) AS u, greatest(3 * len(list_distinct(toks)), 25) AS width FROM lines),
+        walk AS (SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS free, CAST(NULL AS BIGINT) AS line_ord, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS y FROM script
+            UNION ALL SELECT job_id, k, coalesce(list_max(inside) + 1, free), line_ord, list_min(inside), list_max(inside)
+            FROM (SELECT *, CASE WHEN hit IS NOT NULL THEN list_filter(range(hit, least(hit + width, len(words))), lambda i: list_contains(u, words[i + 1])) END AS inside
+                FROM (SELECT *, CASE WHEN len(toks) > 0 AND list_max(scores) > 0 THEN free + coalesce(list_position(list_transform(scores, lambda v: v >= ceil(len(u) * 0.85)), true), list_position(scores, list_max(scores))) - 1 END AS hit
+                    FROM (SELECT w.job_id, l.k, w.free, l.line_ord, l.toks, l.u, l.width, s.words,
+                            list_transform(range(w.free, greatest(w.free, least(w.free + greatest(8 * l.width, 300), len(s.words)) - len(l.toks) + 1)), lambda p: len(list_intersect(l.u, s.words[p + 1 : p + l.width]))) AS scores
+                        FROM walk w JOIN wanted l ON l.job_id = w.job_id AND l.k = w.k + 1 JOIN script s ON s.job_id = w.job_id))))
+        SELECT job_id, CAST(line_ord AS BIGINT) AS line_ord, CASE WHEN x IS NOT NULL THEN round(greatest(0.0, starts[x + 1] - 0.06), 6) END AS line_start, round(ends[y + 1] + 0.10, 6) AS line_end FROM walk JOIN script USING (job_id) WHERE k > 0""",
     "even_word_timing": rf"""WITH {CUES_SQL}, w AS (SELECT job_id, start_ms / 1000.0 AS a, (start_ms + span) / 1000.0 AS b, len(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(text, '<[^>]+>', '', 'g')), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS n FROM cues)
         SELECT job_id, CAST(sum(n) AS BIGINT) AS n, CAST(round(min(a), 6) AS DOUBLE) AS first, CAST(round(max(a + n * ((b - a) / n)), 3) AS DOUBLE) AS last FROM w WHERE n > 0 GROUP BY 1""",
     "variant_mode": """WITH c AS (SELECT lang AS entity_id, source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2)
