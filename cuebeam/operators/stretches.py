@@ -28,23 +28,20 @@ def carry(rows: DataFrame, partition: list[str], order: str, columns: dict[str,
         cut = cut.withColumn(hidden[name], value)
     keys = [order, *(then or [])]
     place = F.struct(*keys)
-    up_to = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
-    after = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
-    last, first = (lambda c, w: F.last(c, ignorenulls=True).over(w)), (lambda c, w: F.first(c, ignorenulls=True).over(w))
-    total, most = (lambda c, w: F.sum(c).over(w)), (lambda c, w: F.max(c).over(w))
-    # of each kind: a value within a stretch, what of a stretch others see, and what a stretch sees of others
-    kinds = {
-        "last": (lambda c, w: last(c, up_to(w, 0)), F.max_by, lambda c, w: last(c, up_to(w, -1))), "before": (lambda c, w: last(c, up_to(w, -1)), F.max_by, lambda c, w: last(c, up_to(w, -1))),
-        "next": (lambda c, w: first(c, after(w)), F.min_by, lambda c, w: first(c, after(w))), "sum": (lambda c, w: total(c, up_to(w, 0)), F.sum, lambda c, w: total(c, up_to(w, -1))),
-        "max": (lambda c, w: most(c, up_to(w, 0)), F.max, lambda c, w: most(c, up_to(w, -1))),
+    hows = {
+        # how: value along a window, whether up to the row itself, whether from the end, and what of a stretch others see
+        "last": (lambda c, w: F.last(c, ignorenulls=True).over(w), 0, False, F.max_by), "before": (lambda c, w: F.last(c, ignorenulls=True).over(w), -1, False, F.max_by),
+        "next": (lambda c, w: F.last(c, ignorenulls=True).over(w), -1, True, F.min_by), "sum": (lambda c, w: F.sum(c).over(w), 0, False, F.sum), "max": (lambda c, w: F.max(c).over(w), 0, False, F.max),
     }
     ends, far, near = [], [], []
     for name, (how, _) in columns.items():
         c = hidden[name]
-        inside, end, outside = kinds[how]
+        value, last, back, end = hows[how]
+        # frames that only grow: what follows is what comes before from the end, row by row
+        along = lambda part, order_by: Window.partitionBy(*part).orderBy(*[F.desc(k) if back else F.asc(k) for k in order_by])  # noqa: B023, E731
         ends.append((end(c) if how in ("sum", "max") else end(c, F.when(F.col(c).isNotNull(), place))).alias(c))
-        far.append(outside(c, Window.partitionBy(*partition).orderBy("_stretch")).alias(f"{c}_far"))
-        near.append(inside(c, Window.partitionBy(*by).orderBy(*keys)).alias(f"{c}_near"))
+        far.append(value(c, along(partition, ["_stretch"]).rowsBetween(Window.unboundedPreceding, -1)).alias(f"{c}_far"))
+        near.append(value(c, along(by, keys).rowsBetween(Window.unboundedPreceding, last)).alias(f"{c}_near"))
     kept = [c for c in rows.columns if c not in columns]
     beyond = cut.groupBy(*by).agg(*ends).select(*by, *far)  # a row for each stretch
     both = cut.select(*kept, "_stretch", *near).join(beyond, by)

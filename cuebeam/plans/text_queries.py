@@ -185,7 +185,7 @@ def carry_forward_hold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_onset(spark: SparkSession, d: str) -> DataFrame:
-    w = conversation_words(spark, d)
+    w = stage(conversation_words(spark, d).select("job_id", "word_index", "cue_index", "start_ms", "end_ms"), "onset-words")
     t = w.groupBy("job_id", F.col("cue_index").alias("target_id")).agg(F.min("word_index").alias("from_word"), (F.max("word_index") + 1).alias("to_word"), F.floor((F.min("start_ms") * 2 + F.max("end_ms")) / 3).cast("long").alias("target_ms"))
     return words.nearest_onset(w, t)
 
