@@ -102,14 +102,15 @@ def clause_lookback(words: DataFrame, connectors: tuple[str, ...], reach: int =
 def match_terms(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """The longest term that stands in each line (line_id, text) between non-letters, any case; terms (term, target).
 
-    A term meets only lines that hold its first word, so no line meets all terms.
+    A term meets only lines that hold its first word, so no line meets all terms. Terms are a dictionary, which goes to
+    all tasks; lines, a row for each word here, never go to the driver, however small their files are.
     """
     first = lambda c: F.lower(F.regexp_extract(c, "([A-Za-z0-9]+)", 1))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
     by_word = lines.select("line_id", "text", F.explode(words).alias("w"))
     quoted = F.regexp_replace(F.regexp_replace("term", r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"\s+", r"[\\s-]+")
     pattern = F.concat(F.lit("(?i)(?<![A-Za-z])"), quoted, F.lit("(?![A-Za-z])"))
-    hits = by_word.join(terms.withColumn("w", first(F.col("term"))), "w").filter(F.regexp_like("text", pattern))
+    hits = by_word.join(F.broadcast(terms.withColumn("w", first(F.col("term")))), "w").filter(F.regexp_like("text", pattern))
     best = F.max_by(F.struct("term", "target"), F.struct(F.length("term"), "term"))
     return hits.groupBy("line_id").agg(best.alias("b")).select("line_id", "b.term", "b.target")
 
