@@ -55,11 +55,22 @@ def to_seconds(ms: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """`512 B`, `12 KB`, `3.4 MB` or `1.25 GB`."""
-    scaled = lambda unit, digits, name: F.concat(F.format_string(f"%.{digits}f", n / F.lit(float(unit))), F.lit(f" {name}"))
+    """`512 B`, `12 KB`, `3.4 MB` or `1.25 GB`: the nearest number of those digits, of two the one whose last digit is even."""
+    n = n.cast("long")
+
+    def scaled(bits: int, digits: int, name: str) -> Column:
+        # in whole numbers, as format_string rounds halves up: 2560 bytes would be 3 KB; the part behind the unit alone is multiplied, so that nothing overflows
+        unit, ten = 1 << bits, 10**digits
+        behind = n.bitwiseAND(F.lit(unit - 1)) * F.lit(ten)
+        down, left = F.shiftright(n, bits) * F.lit(ten) + F.shiftright(behind, bits), behind.bitwiseAND(F.lit(unit - 1))
+        up = (left > unit // 2) | ((left == unit // 2) & (down % 2 == 1))
+        k = down + up.cast("long")
+        whole = ((k - k % ten) / F.lit(ten)).cast("long")
+        return F.format_string(f"%d.%0{digits}d {name}", whole, k % ten) if digits else F.concat(k.cast("string"), F.lit(f" {name}"))
+
     return (
-        F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(1 << 10, 0, "KB"))
-        .when(n < 1 << 30, scaled(1 << 20, 1, "MB")).otherwise(scaled(1 << 30, 2, "GB"))
+        F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(10, 0, "KB"))
+        .when(n < 1 << 30, scaled(20, 1, "MB")).otherwise(scaled(30, 2, "GB"))
     )
 
 
