@@ -227,3 +227,20 @@ def test_script(spark):
     w = spark.createDataFrame([("j", 0, k, t, float(k), k + 1.0) for k, t in enumerate("we saw drake argue loudly then leave court early".split())], "job_id string, block_index long, pos long, word string, word_start double, word_end double")
     row = script.align_lines(spark.createDataFrame([("j", 0, "Drake argued, leave court")], "job_id string, line_ord long, text string"), w).first()
     assert row["line_start"] == pytest.approx(1.94) and row["line_end"] == pytest.approx(8.1)
+
+
+def test_overused_clips_are_those_of_plans_too(spark, tmp_path):
+    """Ten users with one clip each to show, against the SQL."""
+    from cuebeam.plans.plan_queries import ORACLE, overused_clips
+    from tests.oracle import assert_same, duck
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/part.parquet").filter("p_brand not in ('Brand#11', 'Brand#22', 'Brand#33')").orderBy("p_partkey").limit(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.col("event_id") % 10).write.parquet(str(tmp_path / "events.parquet"))
+    con = duck(sf)
+    for t in ("part", "events"):
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = overused_clips(spark, str(tmp_path))
+    assert_same(found, con, ORACLE["overused_clips"])
+    clip = str(spark.read.parquet(str(tmp_path / "part.parquet")).first()["p_partkey"])
+    assert found.filter(F.col("clip_id") == clip).count() == 10 and found.filter("clip_id = 'even'").count() == 5
