@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions.text import count_words, ends_sentence, normalize_word, speech_weight, tokens
+from cuebeam.functions.text import count_words, ends_sentence, normalize_word, speech_weights, tokens
 from cuebeam.operators import stretches
 from cuebeam.operators.stretches import carry
 
@@ -19,18 +21,34 @@ def utterance_cues(utterances: DataFrame, words_per_10_s: int = 29, gap_ms: int
     return rows.select("job_id", place.cast("long").alias("cue_index"), "start_ms", (F.col("start_ms") + F.col("span")).alias("end_ms"), "text")
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array up to each of its numbers; of null none."""
+
+    @F.arrow_udf("array<bigint>")
+    def sums(lists: pa.Array) -> pa.Array:
+        import numpy as np
+
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.cumsum(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
+        ends = np.r_[0, np.cumsum(size)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat - np.repeat(np.r_[0, flat][ends[:-1]], size), pa.int64()))
+
+    return sums(numbers)
+
+
 def word_timeline(cues: DataFrame) -> DataFrame:
     """Each cue's words (word_index, cue_index, norm, raw, start_ms, end_ms) with their share of its time by speech weight.
 
-    Numbers of words before a cue come from the cues alone; only a cue's own words are ever ordered in one task.
+    Numbers of words before a cue come from the cues alone. Weights are summed in each cue's row, so words are neither dealt nor sorted.
     """
     cues = cues.withColumn("_tokens", tokens(F.col("text")))
     before = Window.partitionBy("job_id").orderBy("cue_index").rowsBetween(Window.unboundedPreceding, -1)
-    cues = cues.withColumn("_first", F.coalesce(F.sum(F.size("_tokens")).over(before), F.lit(0)).cast("long"))
-    words = cues.select("job_id", "cue_index", F.col("start_ms").alias("_from"), (F.col("end_ms") - F.col("start_ms")).alias("_span"), "_first", F.posexplode("_tokens").alias("pos", "raw"))
-    cue = Window.partitionBy("job_id", "cue_index")
-    words = words.withColumn("_w", speech_weight(F.col("raw")))
-    words = words.withColumns({"_sum": F.sum("_w").over(cue.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_w").over(cue)})
+    cues = cues.withColumn("_n", F.size("_tokens")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
+    cues = cues.withColumn("_weights", speech_weights(F.col("_tokens"))).withColumn("_sums", running_sums(F.col("_weights")))
+    words = cues.select(
+        "job_id", "cue_index", F.col("start_ms").alias("_from"), (F.col("end_ms") - F.col("start_ms")).alias("_span"), "_first", F.get("_sums", F.col("_n") - 1).alias("_all"),
+        F.posexplode(F.arrays_zip(F.col("_tokens").alias("raw"), F.col("_weights").alias("w"), F.col("_sums").alias("s"))).alias("pos", "_word"),
+    ).select("*", F.col("_word.raw").alias("raw"), F.col("_word.w").alias("_w"), F.col("_word.s").alias("_sum"))
     # the nearest millisecond, halves up, in whole numbers
     at = lambda acc: F.col("_from") + F.expr(f"(2 * ({acc}) * _span + _all) div (2 * _all)")
     words = words.withColumn("start_ms", at("_sum - _w"))

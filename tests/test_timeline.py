@@ -244,3 +244,14 @@ def test_overused_clips_are_those_of_plans_too(spark, tmp_path):
     assert_same(found, con, ORACLE["overused_clips"])
     clip = str(spark.read.parquet(str(tmp_path / "part.parquet")).first()["p_partkey"])
     assert found.filter(F.col("clip_id") == clip).count() == 10 and found.filter("clip_id = 'even'").count() == 5
+
+
+def test_words_are_neither_dealt_nor_sorted(spark):
+    """Times of words come from their cue's own row: no window runs over words, and empty texts and cues without text have none."""
+    cues = spark.createDataFrame([("a", 0, 0, 900, "One two, three!"), ("a", 1, 900, 1000, " "), ("a", 2, 1000, 1001, None), ("a", 3, 2000, 2600, "four"), ("b", 0, 0, 10, "é 5")], "job_id string, cue_index long, start_ms long, end_ms long, text string")
+    found = words.word_timeline(cues)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    rows = [(r["job_id"], r["word_index"], r["norm"], r["start_ms"], r["end_ms"]) for r in found.orderBy("job_id", "word_index").collect()]
+    # weights 236, 136 and 160 of 532; 50 and 192 of 242
+    assert rows[:1] == [("a", 0, "one", 0, rows[0][4])] and [r[1:3] for r in rows] == [(0, "one"), (1, "two"), (2, "three"), (3, "four"), (0, ""), (1, "5")]
+    assert [r[4] for r in rows[:2]] == [r[3] for r in rows[1:3]] and rows[2][4] == 900 and rows[3][3:] == (2000, 2600)
