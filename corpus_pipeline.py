@@ -24,7 +24,10 @@ def quality_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def simhash_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """One row of each group linked at similarity 0.8 of five-word shingles: of the smallest id, nulls last; rows with neither id nor words stay."""
+    """One row of each group linked at similarity 0.8 of five-word shingles: of the smallest id, nulls last; rows with neither id nor words stay.
+
+    Pairs of SimHash fingerprints three bits apart are linked first, each checked on its sets; what they miss follows exactly (see the operator).
+    """
     return simhash.first_rows(docs, shingle=5, similarity=0.8)
 
 

@@ -478,6 +478,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stage(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
 
 
+def fingerprint_pairs(rows: DataFrame, shingle: int, most_bits: int = 3) -> DataFrame:
+    """Pairs (a, b) that connect all rows (id, text) whose SimHash fingerprints differ in at most most_bits bits."""
+    of = stage(fingerprints(rows, shingle, id_col="id").select(F.col("doc_id").alias("id"), "fp"), "simhash-fp")
+    least = stage(of.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    same = of.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
+    near = links(least.select("fp"), most_bits).join(x, "a").join(y, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return same.unionByName(near).distinct()
+
+
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """row, doc_id, first (row number) and component_id of each row, by links at Jaccard similarity >= similarity of shingle sets.
 
@@ -485,8 +495,8 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     last, and of these of the least row; its id is component_id. Texts with one set are one node. Texts without words
     are alike; a row with neither an id nor words has no row here.
 
-    All links are met: two such sets share a shingle of their prefixes, and each prefix is posted whole. Pairs are
-    reduced only by true links: first each posting is compared with a few of its list's, then with the nearest of
+    Pairs of near SimHash fingerprints are tried first. All other links are met, too: two such sets share a shingle of their prefixes, and each prefix is posted whole. Pairs are
+    reduced only by true links: after those by fingerprint each posting is compared with a few of its list's, then with the nearest of
     another component, and at last, in lists of documents that these links leave apart, with all that sizes, places
     and parity bits allow. Every pair is verified on the texts' own sets.
     """
@@ -511,7 +521,8 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     pivots = posts.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*").drop("order")
     met = posts.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & likely(similarity, lanes))
     first = stage(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "simhash-likely")
-    links = verified(first, texts, shingle, similarity)
+    alike = stage(fingerprint_pairs(nodes, shingle), "simhash-alike")
+    links = verified(alike.unionByName(first).distinct(), texts, shingle, similarity)
     found = components(left_apart(posts, lanes, raw.filter("chunk is null"), texts, links, shingle, similarity))
 
     labels = stage(found.select(F.col("node").alias("id"), "label"), "simhash-labels")
@@ -533,4 +544,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     return similar_rows(numbered(docs.select("doc_id", "text")), shingle, similarity).select("doc_id", "component_id")
 
 
-__all__ = ["fingerprints", "first_rows", "links", "near_duplicates", "numbered", "similar_groups", "similar_rows", "spanning_links"]
+__all__ = ["fingerprint_pairs", "fingerprints", "first_rows", "links", "near_duplicates", "numbered", "similar_groups", "similar_rows", "spanning_links"]

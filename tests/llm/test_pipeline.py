@@ -83,3 +83,22 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()]
     assert sorted(kept, key=str) == sorted([(1, t[0]), (2, t[1]), (None, t[2]), (None, t[3])], key=str)
+
+
+def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
+    """Pairs that are checked on their sets hold those of near SimHash fingerprints, found through its index."""
+    from cuebeam.llm import simhash
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, f"{t} end") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = []
+    plain = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: pairs.append(plain(*a)) or pairs[0])
+    kept = corpus_pipeline.simhash_stage(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+    fp = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in simhash.fingerprints(docs, 5).collect()}
+    near = sum(bin(fp[k] ^ fp[10 + k]).count("1") <= 3 for k in range(6))
+    assert near and pairs[0].count() == near
