@@ -40,7 +40,9 @@ def token_candidates(known: DataFrame, heard: DataFrame, phonetic: bool = True)
     like = left.groupBy(*by).agg((F.min(F.length("known")) - 3).alias("low"), (F.max(F.length("known")) + 3).alias("high"), F.count(F.lit(1)).alias("n"))
     near = right.join(like, by).filter("length(heard) between low and high").select(*by, "heard", "n")
     many = near.groupBy(*by).agg((F.count(F.lit(1)) * F.first("n")).alias("pairs")).filter(F.col("pairs") > MOST_PAIRS).select(*by)
-    posted = lambda df, c: df.join(many, by, "left_semi").select("job_id", c, F.explode(token_keys_udf(F.col(c), phonetic)).alias("key")).select("job_id", c, F.xxhash64("key").alias("key"))
+    # tokens are small and their keys are not: dealt by number, so that few bytes do not end up in few tasks
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = lambda df, c: df.join(many, by, "left_semi").repartition(tasks, "job_id", c).select("job_id", c, F.explode(token_keys_udf(F.col(c), phonetic)).alias("key")).select("job_id", c, F.xxhash64("key").alias("key"))
     met = near.join(many, by, "left_anti").join(left, by).select("job_id", "known", "heard")
     met = met.unionByName(posted(left, "known").join(posted(near, "heard"), ["job_id", "key"]).select("job_id", "known", "heard").distinct())
     # an edit that swaps neighbours is two; what differs by plurals alone is three apart at most

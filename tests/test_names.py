@@ -72,3 +72,22 @@ def test_declared_names_are_bounded(spark):
     clips = spark.createDataFrame([], "job_id string, clip_ord long, clip_id string, filename string, tags array<string>, duration_ms long")
     with pytest.raises(ValueError, match="81"):
         analyse(cues, clips, declared=declared)
+
+
+@pytest.mark.parametrize("phonetic", [True, False])
+def test_batches_are_compared_as_pairs_are(phonetic):
+    rng = random.Random(5)
+    a = ["".join(rng.choices("abcdesph's", k=rng.choice([0, 1, 3, 4, 5, 6, 7, 8, 10, 11, 14, 31, 32, 33, 60]))) for _ in range(8000)]
+    b = [changed(rng, x, 6) for x in a]
+    a, b = [*a, "Anna", "x\0", "münchen"], [*b, "anna", "x", "munchen"]
+    found = names.similarities(a, b, phonetic).itertuples(index=False, name=None)
+    assert [tuple(x) for x in found] == [names.similarity(x, y, phonetic) for x, y in zip(a, b, strict=True)]
+    assert len(names.similarities([], [], phonetic)) == 0
+
+
+def test_batches_remember_no_pairs():
+    names.osa_distance.cache_clear(), names.similarity.cache_clear()
+    rng = random.Random(6)
+    a = ["".join(rng.choices("abcdes", k=rng.choice([8, 40]))) for _ in range(3000)]
+    names.similarities(a, [changed(rng, x, 3) for x in a])
+    assert names.osa_distance.cache_info().currsize == names.similarity.cache_info().currsize == 0
