@@ -153,7 +153,7 @@ def conversation_cast(spark: SparkSession, d: str) -> DataFrame:
     filename = F.when(k % 3 == 0, F.concat("norm", F.lit("_take_1.mp4"))).when(k % 3 == 1, F.concat("norm", F.lit("_"), F.coalesce("nxt", F.lit("")), F.lit(".mp4"))).otherwise(F.concat("norm", F.lit("s_02.mp4")))
     tags = F.when(k % 7 == 3, F.array(F.concat("norm", F.lit(" Zed")))).otherwise(F.array().cast("array<string>"))
     clips = named.select("job_id", "clip_ord", F.concat(F.lit("c"), k).alias("clip_id"), filename.alias("filename"), tags.alias("tags"))
-    declared = named.filter("clip_ord = 1").select("job_id", F.lit(0).alias("name_ord"), F.initcap("norm").alias("name"))
+    declared = named.filter("clip_ord = 1").select("job_id", F.lit(0).alias("name_ord"), text.title_case(F.col("norm")).alias("name"))
     cast = mentions.build_cast(clips, w, declared, phonetic=False)
     return cast.select("job_id", "entity_ord", "entity_id", "canonical", F.array_join("aliases", "|").alias("aliases"), "kind", F.array_join("clip_ids", ",").alias("clip_ids"))
 

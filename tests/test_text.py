@@ -97,3 +97,15 @@ def test_bytes_are_rounded_as_sql_does(spark):
     sql = "SELECT CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.0f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.2f', n / 1073741824.0) || ' GB' END FROM (SELECT unnest(?) AS n)"
     got = spark.createDataFrame([(k, x) for k, x in enumerate(n)], "k int, n long").select("k", time.format_bytes(F.col("n")).alias("x")).orderBy("k").collect()
     assert [r["x"] for r in got] == [r[0] for r in duckdb.connect().execute(sql, [n]).fetchall()]
+
+
+def test_case_of_all_letters(spark):
+    rows = spark.range(1, 0x3000).filter("id < 55296").selectExpr("concat('aB', char(id), 'Z''9', decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')) t").unionByName(spark.sql("select 'ABC xyz' t union all select 'Kİé'"))
+    t = F.translate(F.col("t"), "‘’", "''")
+    old = F.btrim(F.regexp_replace(F.lower(t), "[^a-z0-9']+", ""), F.lit("'"))
+    bad = rows.filter((text.normalize_word(F.col("t")) != old) | (text.lower(F.col("t")) != F.lower("t")) | (text.upper(F.col("t")) != F.upper("t")))
+    assert bad.count() == 0
+
+
+def test_words_are_normalized_without_tables_of_all_letters():
+    assert "lower" not in str(text.normalize_word(F.col("t"))) and "lower" not in str(text.speech_weight(F.col("t")))
