@@ -19,7 +19,8 @@ def _in(words_: object) -> str:
 
 
 def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("raw"))
+    # empty tokens are left out as rows: leaving them out of each array would copy it
+    t = table(spark, d, "documents").select(F.explode(F.split("text", text.SPACE + "+")).alias("raw")).filter("raw <> ''")
     # each different token is normalized once
     return t.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).groupBy(text.normalize_word(F.col("raw")).alias("norm")).agg(F.sum("n").alias("n"))
 

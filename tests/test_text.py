@@ -109,3 +109,15 @@ def test_case_of_all_letters(spark):
 
 def test_words_are_normalized_without_tables_of_all_letters():
     assert "lower" not in str(text.normalize_word(F.col("t"))) and "lower" not in str(text.speech_weight(F.col("t")))
+
+
+def test_words_of_documents_are_counted_without_copies_of_arrays(spark, tmp_path):
+    from cuebeam.plans.text_queries import tokenize_words
+
+    every = "".join(map(chr, range(1, 0x300))) + "\u2003\u2028\u3000 a\u00a0b\ufeffc\x85d\x1ce "
+    spark.createDataFrame([(every,), ("",), (None,), (" \t",), ("a  a\n",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = tokenize_words(spark, str(tmp_path))
+    old = F.filter(F.split("text", "[\\s\u00a0\ufeff]+"), lambda x: x != "")
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.explode(old).alias("raw")).groupBy(text.normalize_word(F.col("raw")).alias("norm")).count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "lambdafunction" not in found._jdf.queryExecution().executedPlan().toString()
