@@ -141,9 +141,9 @@ def fit(docs: list, classes: list[int], epochs: int = EPOCHS, rate: float = RATE
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `rows` labelled documents of each class, of any length, chosen by a hash of the id.
 
-    usable says which labelled ids may be learned from. The sample is the only thing that is gathered, as
-    hashed features, of which a document has no more than there are numbers for; a class without rows leaves a model
-    that gives everything the other class. Rows without a text or words are passed over; of rows of one id, all count.
+    usable says which labelled ids may be learned from. The sample is the only thing that is gathered, in one task, as
+    hashed features, of which a document has no more than there are numbers for; the driver gets the weights alone. A class without
+    rows leaves a model that gives everything the other class. Rows without a text or words are passed over; of rows of one id, all count.
     """
     import numpy as np
 
@@ -167,11 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
             out = [document(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<i4").tobytes() for x, _ in out], pa.binary()), pa.array([w.tobytes() for _, w in out], pa.binary())], names=["quality", "nth", "at", "w"])
 
-    sample = found.select("quality", "nth", "text").mapInArrow(features, "quality int, nth int, at binary, w binary").collect()
-    if not sample:
-        return Model(np.zeros(FEATURES, np.float32), 0.0)
-    sample.sort(key=lambda r: (r["quality"], r["nth"]))
-    return fit([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["w"], np.float32)) for r in sample], [r["quality"] for r in sample])
+    def learn(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            rows.sort(key=lambda r: r[:2])
+            model = fit([(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(w, np.float32)) for _, _, at, w in rows], [r[0] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    sample = found.select("quality", "nth", "text").mapInArrow(features, "quality int, nth int, at binary, w binary")
+    got = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else Model(np.zeros(FEATURES, np.float32), 0.0)
 
 
 class Words:

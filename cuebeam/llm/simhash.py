@@ -28,6 +28,34 @@ LONG_LIST = 400
 SHORT_LIST = 48
 
 
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42):
+    """Hashes of a text's shingles in their order, repeats included; a text of fewer words has one, a text of none has none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([h(joined, seed)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length + 1) - 1
+    starts = (ends - length)[: 1 - shingle].tolist()
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes) -> int:
+    """The bits, as a signed long, that over half the hashes have."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        part = hashes[k : k + (1 << 15)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a long) of each whole text.
 
@@ -37,32 +65,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     """
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest as h
 
         claim("simhash")
-
-        def fingerprint(text: str | None) -> int:
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if not words:
-                return 0
-            joined = b" ".join(words)
-            if len(words) <= shingle:
-                got = np.array([h(joined, seed)], np.uint64)
-            else:
-                length = np.fromiter(map(len, words), np.int64, len(words))
-                ends = np.cumsum(length + 1) - 1
-                starts = ends - length
-                got = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
-            ones = np.zeros(64, np.int64)
-            for k in range(0, len(got), 1 << 15):
-                part = got[k : k + (1 << 15)]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            return int(np.packbits(ones * 2 > len(got), bitorder="little").view(np.int64)[0])
-
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([majority(shingle_hashes(t.as_py(), shingle, seed)) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -137,11 +144,10 @@ def links(distinct: DataFrame, most_bits: int = 3) -> DataFrame:
     lengths = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     long = lengths.filter(F.col("n") > LONG_LIST).select("key", F.lit(True).alias("long"))
     # a pair in a long list shares three positions there and two more at least: each two of the other five
-    finer = F.lit(None)
-    for k, t in reversed([*enumerate(TRIPLES)]):
-        others = [p for p in range(BYTES) if p not in t]
-        more = F.array([_posting(t + pair, 16 + 10 * k + j) for j, pair in enumerate(combinations(others, 2))])
-        finer = F.when(F.col("triple") == k, more).otherwise(finer)
+    sets = [[t + pair for pair in combinations([p for p in range(BYTES) if p not in t], 2)] for t in TRIPLES]
+    of_triple = "array(" + ", ".join("array(" + ", ".join(f"array({', '.join(map(str, x))})" for x in more) + ")" for more in sets) + ")"
+    # as _posting() makes them, in a few nodes: written out, eighty postings weigh on the driver
+    finer = F.expr(f"transform({of_triple}[triple], (x, j) -> aggregate(x, cast(16 + 10 * triple + j as bigint), (acc, p) -> shiftleft(acc, 8) | (shiftrightunsigned(fp, 8 * p) & 255)))")
     routed = posts.join(long, "key", "left").select("fp", F.explode(F.when(F.col("long"), finer).otherwise(F.array("key"))).alias("key"))
 
     def find(batches: Iterator) -> Iterator:
@@ -188,24 +194,14 @@ SLICE_ROWS = 600
 
 
 def shingle_set(text: str | None, shingle: int):
-    """Ascending distinct hashes of a text's shingles; a text of fewer words has one, a text of none has none."""
+    """Ascending distinct hashes of a text's shingles; see shingle_hashes."""
     import numpy as np
-    from xxhash import xxh64_intdigest as h
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([h(joined, 42)], np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length + 1) - 1
-    starts = (ends - length)[: 1 - shingle].tolist()
-    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """Of each row (id, text): same (hash of its set), size, parity bits l0.. and wide; and rows of chunk and counts (shingles by bucket) beside.
+    """Of each row (id, text): same (hash of its set), size, SimHash fingerprint fp, parity bits l0.. and wide; and rows of chunk and counts (shingles by bucket) beside.
 
     A parity bit tells whether an even or odd number of the set's shingles have its low hash bits. A shingle that
     only one of two sets has flips one bit, so sets differ in at least as many shingles as parity bits. The few
@@ -219,28 +215,29 @@ def signatures(rows: DataFrame, shingle: int) -> DataFrame:
 
         claim("simhash")
         counts = np.zeros(BUCKETS, np.int32)
-        names = ["id", "same", "size", *[f"l{k}" for k in range(LANES)], "wide", "chunk", "counts"]
+        names = ["id", "same", "size", "fp", *[f"l{k}" for k in range(LANES)], "wide", "chunk", "counts"]
         for b in batches:
-            out, wide = np.zeros((b.num_rows, LANES + 2), np.int64), [bytes(8 * WIDE_LANES)] * b.num_rows
+            out, wide = np.zeros((b.num_rows, LANES + 3), np.int64), [bytes(8 * WIDE_LANES)] * b.num_rows
             for k, t in enumerate(b.column(1)):
-                got = shingle_set(t.as_py(), shingle)
-                if not len(got):
+                every = shingle_hashes(t.as_py(), shingle)
+                if not len(every):
                     continue
+                got = np.unique(every)
                 np.add.at(counts, _bucket(got), 1)
                 out[k, 0] = np.array([h(got.tobytes(), 7)], np.uint64).view(np.int64)[0]
-                out[k, 1] = len(got)
+                out[k, 1], out[k, 2] = len(got), majority(every)
                 odd = np.bincount((got % np.uint64(64 * WIDE_LANES)).astype(np.int64), minlength=64 * WIDE_LANES) % 2
                 bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
                 wide[k] = bits.tobytes()
-                out[k, 2:] = np.bitwise_xor.reduce(bits.reshape(-1, LANES), axis=0)
+                out[k, 3:] = np.bitwise_xor.reduce(bits.reshape(-1, LANES), axis=0)
             nulls = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T), pa.array(wide, pa.binary()), *nulls], names=names)
         parts = [(k, c.tobytes()) for k, c in enumerate(np.split(counts, 64)) if c.any()]
-        nulls = [pa.nulls(len(parts), pa.int64())] * (LANES + 3)
+        nulls = [pa.nulls(len(parts), pa.int64())] * (LANES + 4)
         yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(parts), pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
 
     lanes = ", ".join(f"l{k} long" for k in range(LANES))
-    return rows.mapInArrow(run, f"id long, same long, size long, {lanes}, wide binary, chunk int, counts binary")
+    return rows.mapInArrow(run, f"id long, same long, size long, fp long, {lanes}, wide binary, chunk int, counts binary")
 
 
 def _bucket(shingles):
@@ -478,9 +475,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stage(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
 
 
-def fingerprint_pairs(rows: DataFrame, shingle: int, most_bits: int = 3) -> DataFrame:
-    """Pairs (a, b) that connect all rows (id, text) whose SimHash fingerprints differ in at most most_bits bits."""
-    of = stage(fingerprints(rows, shingle, id_col="id").select(F.col("doc_id").alias("id"), "fp"), "simhash-fp")
+def fingerprint_pairs(of: DataFrame, most_bits: int = 3) -> DataFrame:
+    """Pairs (a, b) that connect all rows (id, fp) whose SimHash fingerprints differ in at most most_bits bits."""
     least = stage(of.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
     same = of.join(least, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
@@ -521,7 +517,8 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     pivots = posts.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*").drop("order")
     met = posts.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & likely(similarity, lanes))
     first = stage(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "simhash-likely")
-    alike = stage(fingerprint_pairs(nodes, shingle), "simhash-alike")
+    of = raw.select("id", "fp").join(classes.filter("same <> 0").select("id"), "id", "left_semi")
+    alike = stage(fingerprint_pairs(of), "simhash-alike")
     links = verified(alike.unionByName(first).distinct(), texts, shingle, similarity)
     found = components(left_apart(posts, lanes, raw.filter("chunk is null"), texts, links, shingle, similarity))
 

@@ -102,3 +102,37 @@ def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
     fp = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in simhash.fingerprints(docs, 5).collect()}
     near = sum(bin(fp[k] ^ fp[10 + k]).count("1") <= 3 for k in range(6))
     assert near and pairs[0].count() == near
+
+
+def test_training_and_index_leave_the_driver_small(spark, monkeypatch):
+    """The sample is trained on in a task, texts give fingerprints where their sets are made, and the index's plan is short."""
+    from pyspark.sql import functions as F
+
+    from cuebeam.llm import quality, simhash
+
+    here, plain_fit = [], quality.fit  # a worker appends to a copy
+    monkeypatch.setattr(quality, "fit", lambda *a: here.append(a) or plain_fit(*a))
+    rows = [(k, ("the river is quiet " if k % 2 else "buy now cheap ") * (3 + k % 5), k % 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    scored = {r["doc_id"]: r["predicted"] for r in quality.score(docs, model, at_least=0.5).collect()}
+    assert scored == {k: q for k, _, q in rows} and not here
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame([(90, None), (91, " "), (92, "a b")], "id long, text string"))
+    plain = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(texts, 3, id_col="id").collect()}
+    assert {r["id"]: r["fp"] for r in simhash.signatures(texts, 3).filter("id is not null").collect()} == plain
+    assert len(simhash.links(texts.select(F.col("id").alias("fp")))._jdf.queryExecution().analyzed().toString()) < 20_000
+
+
+def test_finer_postings_of_long_lists(spark, monkeypatch):
+    """A list beyond LONG_LIST is posted again under five positions each, with the keys that _posting() gives; the links are the same."""
+    from cuebeam.llm import components, simhash
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({(b ^ sum(1 << k for k in rng.sample(range(64), n))) for b in base for n in (0, 1, 2, 3)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    label = lambda: {r["node"]: r["label"] for r in components.components(simhash.links(df)).collect()}
+    plain = label()
+    monkeypatch.setattr(simhash, "LONG_LIST", 0)
+    assert len(plain) > 12 and label() == plain
