@@ -255,3 +255,14 @@ def test_words_are_neither_dealt_nor_sorted(spark):
     # weights 236, 136 and 160 of 532; 50 and 192 of 242
     assert rows[:1] == [("a", 0, "one", 0, rows[0][4])] and [r[1:3] for r in rows] == [(0, "one"), (1, "two"), (2, "three"), (3, "four"), (0, ""), (1, "5")]
     assert [r[4] for r in rows[:2]] == [r[3] for r in rows[1:3]] and rows[2][4] == 900 and rows[3][3:] == (2000, 2600)
+
+
+def test_segments_alone_plan_no_shots(spark, monkeypatch):
+    """Queries on segments leave out the shots, and get the segments of the whole analysis."""
+    from cuebeam.plans import analyse, plan_queries
+
+    d = "/root/testdata/sf0.001"
+    whole = analyse.analyse(*plan_queries._analysed(spark, d)).segments.drop("text").collect()
+    monkeypatch.setattr(analyse, "plan_shots", lambda *a: 1 / 0)
+    assert sorted(map(str, plan_queries.analyse_segments(spark, d).collect())) == sorted(map(str, whole)) and whole
+    assert {(r["gaps"], r["excess"]) for r in plan_queries.analyse_tiling(spark, d).collect()} == {(0, 0)}
