@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cuebeam.functions import text
 from cuebeam.operators import segments, stretches, words
 from cuebeam.operators.segments import SegmentOptions, enforce_floors_rows
 from tests.plain_segments import segment_job
@@ -60,6 +61,38 @@ def test_any_stretch_gives_the_walks_segments(spark, monkeypatch, seed, stretch,
     assert sorted(map(tuple, got.collect())) == plain(heard, said, totals, o)
 
 
+def test_words_are_read_once(spark):
+    """All steps read blocks, which are made in one pass: no step goes over the words again."""
+    heard, said, totals = timelines(9)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    own = spark.createDataFrame(heard, WORD)
+    got = segments.build_segments(own.mapInArrow(counted, own.schema), spark.createDataFrame(said, MENTION), spark.createDataFrame(totals, "job_id string, total_ms long"))
+    assert sorted(map(tuple, got.collect())) == plain(heard, said, totals, SegmentOptions())
+    assert read.value == len(heard)
+
+
+def test_known_long_timelines_spare_the_others_a_second_look(spark):
+    rows = spark.createDataFrame([(j, k, k % 3) for j, n in (("a", 4), ("b", 11), (None, 3)) for k in range(n)], "job_id string, k long, v long")
+    columns = {"n": ("sum", F.lit(1)), "was": ("before", F.when(F.col("v") > 0, F.col("v"))), "then": ("next", F.when(F.col("v") == 0, F.col("k")))}
+    long = spark.createDataFrame([("b",)], "job_id string")
+    plainly = stretches.carry(rows, ["job_id"], "k", columns, stretch=5)
+    assert sorted(map(tuple, stretches.carry(rows, ["job_id"], "k", columns, stretch=5, long=long).collect()), key=str) == sorted(map(tuple, plainly.collect()), key=str)
+
+
+def test_words_that_may_refer_back(spark):
+    """No text that refers back only with its last word is left out."""
+    texts = ["the team", "The old LABEL.", "his", "he's", "(her)", "the manager's", "the of", "river", "the old"]
+    rows = spark.createDataFrame([(t, t.split()[-1]) for t in texts], "text string, word string")
+    got = rows.filter(text.refers_back(F.col("text"))).select("text", text.may_refer_back(F.col("word")).alias("may")).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts[:6]) and all(r["may"] for r in got)
+
+
 def test_floors_of_stretches_are_those_of_the_whole(spark, monkeypatch):
     monkeypatch.setattr(stretches, "STRETCH", 4)
     rng = random.Random(8)
