@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuebeam.functions.names import edit_budget_col, similarity, similarity_udf, token_keys, token_keys_udf
+from cuebeam.functions.names import edit_budget_col, letters_and_sounds_udf, similarity, similarity_udf, token_keys, token_keys_udf
 from cuebeam.functions.text import COMMON_WORDS, filename_tokens, guess_kind, lower, normalize_word, slug, title_case, tokens
 
 #: Tokens of a known name under this length must be heard exactly.
@@ -43,7 +43,9 @@ def token_candidates(known: DataFrame, heard: DataFrame, phonetic: bool = True)
     # tokens are small and their keys are not: dealt by number, so that few bytes do not end up in few tasks
     tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = lambda df, c: df.join(many, by, "left_semi").repartition(tasks, "job_id", c).select("job_id", c, F.explode(token_keys_udf(F.col(c), phonetic)).alias("key")).select("job_id", c, F.xxhash64("key").alias("key"))
-    met = near.join(many, by, "left_anti").join(left, by).select("job_id", "known", "heard")
+    # where all meet, most pairs are told apart by the letters they have and by their sounds, which are told once a token
+    traits = lambda df, c: df.withColumn(f"{c}_is", letters_and_sounds_udf(F.col(c)))
+    met = traits(near.join(many, by, "left_anti"), "heard").join(traits(left, "known"), by).filter(_may_be_alike(phonetic)).select("job_id", "known", "heard")
     met = met.unionByName(posted(left, "known").join(posted(near, "heard"), ["job_id", "key"]).select("job_id", "known", "heard").distinct())
     # an edit that swaps neighbours is two; what differs by plurals alone is three apart at most
     edits = F.levenshtein(lower(F.col("known")), lower(F.col("heard")), 10 if phonetic else 6)
@@ -51,6 +53,17 @@ def token_candidates(known: DataFrame, heard: DataFrame, phonetic: bool = True)
     return met.filter("known <> heard and abs(length(known) - length(heard)) <= 3").filter((edits >= 0) & (edits <= most))
 
 
+def _may_be_alike(phonetic: bool) -> Column:
+    """Whether letters of known and heard, and sounds if phonetic, let similarity() match them: an edit changes two bits of letters at most, a plural or possessive three."""
+    budget = 2 * edit_budget_col(F.greatest(F.length("known"), F.length("heard")))
+    apart = F.bit_count(F.col("known_is.letters").bitwiseXOR(F.col("heard_is.letters")))
+    near = apart <= F.greatest(F.lit(3), budget)
+    if phonetic:
+        same = lambda c: (F.col(f"known_is.{c}") != "") & ((F.col(f"known_is.{c}") == F.col("heard_is.primary")) | (F.col(f"known_is.{c}") == F.col("heard_is.alternate")))
+        near = near | ((apart <= budget + 4) & (same("primary") | same("alternate")))
+    return (F.abs(F.length("known") - F.length("heard")) <= 3) & near
+
+
 def token_pairs(known: DataFrame, heard: DataFrame, fuzzy: bool = True, phonetic: bool = True) -> DataFrame:
     """(job_id, known, heard, score): tokens that name the same."""
     left, right = known.filter("known <> ''").distinct(), heard.filter("heard <> ''").distinct()
@@ -205,12 +218,13 @@ def greedy_spans(spans: DataFrame, partition: list[str], start: str = "word_inde
     w = Window.partitionBy(*partition).orderBy(start)
     reach = F.max(F.col(start) + F.col(count)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("_run", F.sum(F.coalesce((F.col(start) >= reach).cast("int"), F.lit(1))).over(w))
-    one = F.struct(F.col(start).alias("s"), F.col(count).alias("c"))
-    runs = rows.groupBy(*partition, "_run").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    first = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast("array<long>").alias("taken"))
-    step = lambda acc, x: F.when(x["s"] >= acc["free"], F.struct((x["s"] + x["c"]).cast("long").alias("free"), F.concat(acc["taken"], F.array(x["s"].cast("long"))).alias("taken"))).otherwise(acc)
-    taken = runs.select(*partition, F.explode(F.aggregate("all", first, step, lambda acc: acc["taken"])).alias(start))
-    return spans.join(taken, [*partition, start], "left_semi")
+    rest = [c for c in spans.columns if c not in (*partition, start, count)]
+    runs = rows.groupBy(*partition, "_run").agg(F.sort_array(F.collect_list(F.struct(start, count, *rest))).alias("all"))
+    first = F.struct(F.lit(0).cast("long").alias("free"), F.filter("all", lambda x: F.lit(False)).alias("taken"))
+    step = lambda acc, x: F.when(x[start] >= acc["free"], F.struct((x[start] + x[count]).cast("long").alias("free"), F.concat(acc["taken"], F.array(x)).alias("taken"))).otherwise(acc)
+    # whole spans are folded: joined back to their places, all spans would be found a second time
+    taken = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", first, step, lambda acc: acc["taken"]))
+    return runs.select(*partition, F.explode(taken).alias("_span")).select(*[c if c in partition else F.col(f"_span.{c}") for c in spans.columns])
 
 
 def find_mentions(words: DataFrame, entities: DataFrame, phonetic: bool = True) -> DataFrame:

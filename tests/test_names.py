@@ -85,6 +85,18 @@ def test_batches_are_compared_as_pairs_are(phonetic):
     assert len(names.similarities([], [], phonetic)) == 0
 
 
+def test_letters_tell_how_far_tokens_are_apart_at_least():
+    rng, far = random.Random(8), 0
+    for _ in range(20_000):
+        a = "".join(rng.choices("abcdesph'z_5é", k=rng.choice([1, 4, 7, 9, 12, 40])))
+        b = changed(rng, a, 6)
+        assert names.letters_apart(a, b) <= 2 * names.osa_distance(a, b), (a, b)
+        far += names.letters_apart(a, b) > 4
+        if (x := a.removesuffix("s").removesuffix("'s")) and names.similarity(a, x)[2] == "exact":
+            assert names.letters_apart(a, x) <= 3
+    assert far > 1000 and names.letters_apart("market", "tramke") == 0
+
+
 def test_batches_remember_no_pairs():
     names.osa_distance.cache_clear(), names.similarity.cache_clear()
     rng = random.Random(6)

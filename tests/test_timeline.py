@@ -266,3 +266,26 @@ def test_segments_alone_plan_no_shots(spark, monkeypatch):
     monkeypatch.setattr(analyse, "plan_shots", lambda *a: 1 / 0)
     assert sorted(map(str, plan_queries.analyse_segments(spark, d).collect())) == sorted(map(str, whole)) and whole
     assert {(r["gaps"], r["excess"]) for r in plan_queries.analyse_tiling(spark, d).collect()} == {(0, 0)}
+
+
+def _late_names(spark, tmp_path):
+    """One conversation of three turns, in which only the last two have words that are long enough for a name."""
+    rows = [(7, 0, "user", "so who was it then"), (7, 1, "assistant", "It was Montgomery all the way. We saw him go out and then come back in, and he did not say a word to any of us at all."), (7, 2, "user", "And Wellington went too. He had his own way to do it, and it took him all day to get it done the way he wants it.")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_segments_are_named_after_words_of_every_cue(spark, tmp_path):
+    from cuebeam.plans.plan_queries import analyse_segments
+
+    found = analyse_segments(spark, _late_names(spark, tmp_path)).filter("entity_id is not null").orderBy("seg_index").collect()
+    assert [r["entity_id"] for r in found] == ["montgomery", "wellington"]
+
+
+def test_spans_are_taken_whole(spark):
+    """Each span taken keeps its other columns, and spans are found once, not once more to be joined to."""
+    rows = [("a", 0, 2, "x"), ("a", 1, 3, "y"), ("a", 2, 1, "z"), ("a", 9, 1, None), ("b", 5, 2, "u")]
+    found = mentions.greedy_spans(spark.createDataFrame(rows, "job_id string, word_index long, word_count int, name string"), ["job_id"])
+    assert found.columns == ["job_id", "word_index", "word_count", "name"] and found.schema["word_count"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, found.collect())) == [rows[0], rows[2], rows[3], rows[4]]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 0
