@@ -282,6 +282,14 @@ def test_segments_are_named_after_words_of_every_cue(spark, tmp_path):
     assert [r["entity_id"] for r in found] == ["montgomery", "wellington"]
 
 
+def test_shots_show_names_of_every_cue(spark, tmp_path):
+    from cuebeam.plans.plan_queries import analyse_shots
+
+    found = analyse_shots(spark, _late_names(spark, tmp_path)).filter("entity_id is not null").orderBy("segment_index").collect()
+    # names are as frequent as each other, so the first by letters has clips 11 and 12, the next 21 and 22
+    assert [(r["entity_id"], r["clip_id"]) for r in found] == [("montgomery", "11"), ("montgomery", "12"), ("wellington", "21"), ("wellington", "22")]
+
+
 def test_spans_are_taken_whole(spark):
     """Each span taken keeps its other columns, and spans are found once, not once more to be joined to."""
     rows = [("a", 0, 2, "x"), ("a", 1, 3, "y"), ("a", 2, 1, "z"), ("a", 9, 1, None), ("b", 5, 2, "u")]
