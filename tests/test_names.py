@@ -52,6 +52,19 @@ def test_token_pairs(spark, phonetic):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("phonetic", [True, False])
+def test_token_pairs_by_keys(spark, monkeypatch, phonetic):
+    """Tokens that meet by their keys give the pairs that all pairs give."""
+    monkeypatch.setattr(mentions, "MOST_PAIRS", 0)
+    test_token_pairs(spark, phonetic)
+
+
+def test_candidates_of_other_sounds_are_few_edits_apart(spark):
+    """The wider budget is for tokens that sound alike: others are not compared any further."""
+    k, h = (spark.createDataFrame([("j", t) for t in x], f"job_id string, {c} string") for c, x in (("known", ["montgomery"]), ("heard", ["montgomery", "montgamary", "mongtomeyr", "mantronery"])))
+    assert {r["heard"] for r in mentions.token_candidates(k, h).collect()} == {"montgamary", "mongtomeyr"}
+
+
 def test_candidates_grow_with_the_input(spark):
     """Of random words, ten times as many have about ten times as many candidates for each known one, far below all pairs of a first letter."""
     rng = random.Random(7)
